@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -118,20 +119,19 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def slabs(batch: pa.RecordBatch | pa.Table, limit: int = 2 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of ``doc_id, text`` rows in lists of about ``limit`` characters."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= limit:
-            yield ids[at : i + 1], texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(ids):
-        yield ids[at:], texts[at:]
+    """Ids and texts of ``doc_id, text`` rows in lists of about ``limit`` bytes."""
+    ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)) + 1
+        part = batch.slice(at, stop - at)
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        at = stop
 
 
-def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Writes the rows as ``chunk_id, n_bytes, payload``: compressed Arrow tables of ``chunk_bytes`` of text.
+def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, measure: str = "text") -> DataFrame:
+    """Writes the rows as ``chunk_id, n_bytes, payload``: compressed Arrow tables of ``chunk_bytes`` of the
+    column ``measure``.
 
     Written once, so that every later pass sees the same chunks whatever the order of the input's rows.
     """
@@ -146,7 +146,7 @@ def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) ->
             return pa.RecordBatch.from_pydict(row, schema=shape)
 
         for batch in batches:
-            ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), np.int64) + 64)
+            ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(measure)).to_numpy(zero_copy_only=False), np.int64) + 64)
             at = 0
             while at < batch.num_rows:
                 base = int(ends[at - 1]) if at else 0
@@ -168,21 +168,24 @@ def bucket_count(table: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(LEAST_BUCKETS, math.ceil(total / bucket_bytes))
 
 
-Ask = Callable[[pa.Table, int], Iterable[tuple[int, bytes]]]
+Ask = Callable[[pa.Table, int, dict[int, bytes]], Iterable[tuple[int, bytes]]]
 Answer = Callable[[list[bytes]], tuple[list[bytes], tuple[int, int]]]
 
 
 def exchange(table: DataFrame, buckets: int, ask: Ask, answer: Answer) -> DataFrame:
     """``chunk_id, bucket, reply, total_a, total_b``: what each bucket answers each chunk.
 
-    ``ask`` gives a chunk's lists by bucket; ``answer`` gets all lists of one bucket and returns as many
-    replies and two numbers of the bucket, which stand in its first row (0 elsewhere).
+    ``table`` holds chunks, with the replies of an earlier exchange or without. ``ask`` gives a chunk's lists
+    by bucket; ``answer`` gets all lists of one bucket and returns as many replies and two numbers of the
+    bucket, which stand in its first row (0 elsewhere).
     """
+    has_replies = "replies" in table.columns
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(ask(unpack_table(payload.as_py()), buckets))
+            for k, (chunk, payload) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                earlier = replies_of(batch.column(2)[k]) if has_replies else {}
+                rows = list(ask(unpack_table(payload.as_py()), buckets, earlier))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "chunk_id", "list"])
 
     def answered(group: pa.Table) -> pa.Table:
@@ -190,10 +193,14 @@ def exchange(table: DataFrame, buckets: int, ask: Ask, answer: Answer) -> DataFr
         n = group.num_rows
         return pa.table({"chunk_id": group.column("chunk_id"), "bucket": group.column("bucket"), "reply": pa.array(replies, pa.binary()), "total_a": pa.array([a] + [0] * (n - 1), pa.int64()), "total_b": pa.array([b] + [0] * (n - 1), pa.int64())})
 
-    lists = table.select("chunk_id", "payload").mapInArrow(asked, "bucket int, chunk_id long, list binary")
+    lists = table.select("chunk_id", "payload", *["replies"] * has_replies).mapInArrow(asked, "bucket int, chunk_id long, list binary")
     return lists.groupBy("bucket").applyInArrow(answered, "chunk_id long, bucket int, reply binary, total_a long, total_b long")
 
 
+def replies_of(value: pa.Scalar) -> dict[int, bytes]:
+    return {r["bucket"]: r["reply"] for r in value.as_py() or []}
+
+
 def with_replies(table: DataFrame, replies: DataFrame) -> DataFrame:
     """``chunk_id, payload, replies``: a chunk beside its replies (one per bucket it asked)."""
     gathered = replies.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
@@ -206,8 +213,7 @@ def each_chunk(joined: DataFrame, finish: Callable[[int, pa.Table, dict[int, byt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload, replies in zip(*(batch.column(k) for k in range(3)), strict=True):
-                got = {r["bucket"]: r["reply"] for r in replies.as_py() or []}
-                yield from finish(chunk.as_py(), unpack_table(payload.as_py()), got)
+                yield from finish(chunk.as_py(), unpack_table(payload.as_py()), replies_of(replies))
 
     return joined.mapInArrow(run, schema)
 
@@ -223,8 +229,7 @@ def split_words(words: list[str], buckets: int) -> list[list[str]]:
 
 def split_hashes(values: np.ndarray, buckets: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Sorted hashes of ``bits`` bits by range."""
-    edges = np.searchsorted(values, np.array([((b << bits) // buckets) for b in range(buckets + 1)], np.uint64))
-    edges[-1] = len(values)
+    edges = np.append(np.searchsorted(values, np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)), len(values))
     for b in range(buckets):
         if edges[b] < edges[b + 1]:
             yield b, values[edges[b] : edges[b + 1]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_counts, word_bpe
+from . import exact_dedup, near_dedup, packing, repeats, token_counts, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +19,23 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encoding_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_exact_dedup, op8_word_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_exact_dedup, op7_ngram_jaccard_join, op8_word_bpe, op9_suffix_array_dedup, op10_token_counts)}
 
 ORACLES = {
     "op6_exact_dedup": r"""

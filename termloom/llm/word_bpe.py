@@ -84,7 +84,7 @@ def _encode(docs: DataFrame, tokenizer: str | None, chunk_bytes: int, digest: bo
                 found.update(splitter.words(text))
         return split_words(list(found.difference(splitter.special)), buckets)
 
-    def ask(rows: pa.Table, _: int) -> Iterable[tuple[int, bytes]]:
+    def ask(rows: pa.Table, _: int, __: dict[int, bytes]) -> Iterable[tuple[int, bytes]]:
         return [(b, pack_words(words)) for b, words in enumerate(distinct(rows, WordSplitter(path))) if words]
 
     def answer(lists: list[bytes]) -> tuple[list[bytes], tuple[int, int]]:
