@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, metric_tree, near_dedup, packing, repeats, token_counts, word_bpe
+from . import chat_format, exact_dedup, metric_tree, near_dedup, packing, repeats, token_counts, toxicity, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_exact_top_k, op4_chat_format, op6_exact_dedup, op7_ngram_jaccard_join, op8_word_bpe, op9_suffix_array_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_exact_top_k, op4_chat_format, op5_toxicity, op6_exact_dedup, op7_ngram_jaccard_join, op8_word_bpe, op9_suffix_array_dedup, op10_token_counts)}
 
 ORACLES = {
     "op3_exact_top_k": """
