@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -268,23 +270,58 @@ def special_tokens(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
+#: What a worker process remembers between its tasks, by vocabulary: two generations of pieces.
+_REMEMBERED: dict[str, list[dict]] = {}
+
+
+class Remembered:
+    """Facts about pieces that are dear to compute, kept for the worker's next tasks in two generations.
+
+    When the younger generation is full it becomes the older one, and what is used again moves back, so
+    common pieces stay. The bound is on memory; nothing depends on what is kept.
+    """
+
+    def __init__(self, key: str, most: int = 250_000) -> None:
+        self.generations, self.most = _REMEMBERED.setdefault(key, [{}, {}]), most
+
+    def turned(self) -> list[dict]:
+        """The younger and the older generation, after the younger has become the older if it was full."""
+        if len(self.generations[0]) > self.most:
+            self.generations[:] = {}, self.generations[0]
+        return self.generations
+
+    def holding(self, pieces: list[str], compute) -> dict:
+        """A dictionary that holds at least these pieces; ``compute`` gives the values of a list of others."""
+        young, old = self.turned()
+        missing = []
+        for piece in set(pieces).difference(young):
+            value = old.get(piece)
+            if value is None:
+                missing.append(piece)
+            else:
+                young[piece] = value
+        young.update(zip(missing, compute(missing), strict=True))
+        return young
+
+
 class PieceIds:
-    """Ids of pieces by the library, each piece encoded once while it is remembered."""
+    """Ids of pieces by the library, as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         quiet_tokenizers()
-        self.library, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {}
+        self.library, self.remembered = Tokenizer.from_file(path), Remembered(f"ids {path}")
+        self.packers: dict[int, struct.Struct] = {}
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """A dictionary that holds at least these pieces, as little-endian unsigned 32-bit ids."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        missing = list(set(pieces).difference(self.known))
-        for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            for piece, code in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(code.ids, "<u4").tobytes()
-        return self.known
+        return self.remembered.holding(pieces, self._encoded)
+
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(pieces), 20_000):
+            for code in self.library.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False):
+                ids = code.ids
+                n = len(ids)
+                if n not in self.packers:
+                    self.packers[n] = struct.Struct(f"<{n}I")
+                yield self.packers[n].pack(*ids)

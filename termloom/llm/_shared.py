@@ -44,21 +44,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables of one operator call in the shared folder; used instead of lineage that could be lost."""
+    """Tables of one operator call in the shared folder or the warehouse; used instead of lineage that could be lost."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table in buckets of ``key``, whose large rows a join on it need not shuffle."""
+        self.tables[name] = f"termloom_{name}_{uuid.uuid4().hex}"
+        number = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.format("parquet").option("compression", "uncompressed").bucketBy(number, key).saveAsTable(self.tables[name])
+        return self.spark.table(self.tables[name])
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later result reads."""
         jvm = self.spark._jvm
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+                continue
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -73,8 +84,8 @@ def remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
-def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def pack(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unpack(data: bytes) -> bytes:
@@ -85,7 +96,7 @@ def pack_table(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return pack(sink.getvalue())
+    return pack(sink.getvalue(), 5)
 
 
 def unpack_table(data: bytes) -> pa.Table:
@@ -133,7 +144,8 @@ def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, me
     """Writes the rows as ``chunk_id, n_bytes, payload``: compressed Arrow tables of ``chunk_bytes`` of the
     column ``measure``.
 
-    Written once, so that every later pass sees the same chunks whatever the order of the input's rows.
+    Written once, so that every later pass sees the same chunks whatever the order of the input's rows; in
+    buckets of ``chunk_id``, so that the texts aren't shuffled when replies join them.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +158,7 @@ def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, me
             return pa.RecordBatch.from_pydict(row, schema=shape)
 
         for batch in batches:
-            ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(measure)).to_numpy(zero_copy_only=False), np.int64) + 64)
+            ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(measure)), 0).to_numpy(zero_copy_only=False), np.int64) + 64)
             at = 0
             while at < batch.num_rows:
                 base = int(ends[at - 1]) if at else 0
@@ -160,7 +172,7 @@ def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, me
             yield close()
 
     shape = pa.schema([("chunk_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary())])
-    return scratch.write(docs.mapInArrow(build, "chunk_id long, n_bytes long, payload binary"), "chunks")
+    return scratch.write_bucketed(docs.mapInArrow(build, "chunk_id long, n_bytes long, payload binary"), "chunks", "chunk_id")
 
 
 def bucket_count(table: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, id_and_text, shared_folder  # noqa: F401
+from ._shared import SPACE, Scratch, id_and_text
 
 #: Bits of the quotient that choose a slice, and of the quotient within a slice.
 SLICE_BITS, RUN_BITS = 10, 8
@@ -118,8 +118,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; rows that repeat an id and text are one."""
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("group_size"))
-    single = groups.where("group_size = 1").select("kept_id")
-    several = groups.where("group_size > 1").select("kept_id").distinct()
-    return docs.join(single.union(several), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` with one row of each group of equal texts; a row with a null id always stays.
+
+    Rows that repeat an id and a text count as one. What goes is a small part of the rows: they are named by
+    id and digest, so that rows that share an id but not their text are told apart.
+    """
+    scratch = Scratch(docs.sparkSession, "exactdedup")
+    groups = scratch.write(exact_groups(docs), "groups").where("doc_id is not null")
+    digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, ""), 256)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text"))
+    left = docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (digest == F.col("gone_text")), "left_anti")
+    twice = groups.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
+    if twice.limit(1).count():
+        again = left.join(twice.distinct(), left["doc_id"] == F.col("twice_id"), "left_semi").withColumn("__digest", digest)
+        left = left.join(twice, left["doc_id"] == F.col("twice_id"), "left_anti").unionByName(again.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+    return left

@@ -344,6 +344,7 @@ def _search(scratch: Scratch, placed: DataFrame, content: DataFrame, percent: in
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component."""
-    kept = near_duplicates(docs, words, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` with the row of the smallest id of each component; rows that share an id stand or fall
+    together, and a row with a null id stays."""
+    gone = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")

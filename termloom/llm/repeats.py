@@ -129,7 +129,7 @@ class Windows:
     def __init__(self, rows: pa.Table, size: int) -> None:
         ids = rows.column(0).to_pylist()
         self.ids = np.array([LAST_ID if i is None else i for i in ids], np.int64)
-        parts = [t.encode() for t in rows.column(1).to_pylist()]
+        parts = [(t or "").encode() for t in rows.column(1).to_pylist()]
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.ends = np.cumsum(self.sizes)
         self.buffer = b"".join(parts)
@@ -278,9 +278,11 @@ def removal_digests(docs: DataFrame, size: int = 50, chunk_bytes: int = CHUNK_BY
     return _remove(docs, size, chunk_bytes, digest=True)
 
 
-def _remove(docs: DataFrame, size: int, chunk_bytes: int, digest: bool) -> DataFrame:
+def _remove(docs: DataFrame, size: int, chunk_bytes: int, digest: bool, whole_rows: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
-    table = chunks(scratch, id_and_text(docs), chunk_bytes)
+    order = docs.columns
+    rest = [c for c in order if c not in ("doc_id", "text")]
+    table = chunks(scratch, docs.select("doc_id", "text", *rest) if whole_rows else id_and_text(docs), chunk_bytes)
     buckets = bucket_count(table)
 
     def ask_anchors(rows: pa.Table, n: int, _: dict[int, bytes]) -> Iterable[tuple[int, bytes]]:
@@ -355,9 +357,39 @@ def _remove(docs: DataFrame, size: int, chunk_bytes: int, digest: bool) -> DataF
             spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if removed else 0
             for column, value in zip(out, (doc, n, removed, spans, hashlib.sha256(kept).hexdigest() if digest else kept), strict=True):
                 column.append(value)
+        if whole_rows:
+            yield from cut_rows(rows, out[2], out[4])
+            return
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
+    def cut_rows(rows: pa.Table, removed: list[int], kept: list[bytes]) -> Iterator[pa.RecordBatch]:
+        texts = [k.decode("utf-8", "ignore") if n else t for n, k, t in zip(removed, kept, rows.column("text").to_pylist(), strict=True)]
+        columns = {c: rows.column(c) for c in order}
+        columns["text"] = pa.array(texts, rows.schema.field("text").type)
+        if "n_chars" in columns:
+            field = rows.schema.field("n_chars").type
+            columns["n_chars"] = pa.array([len(t) if n else c for n, t, c in zip(removed, texts, columns["n_chars"].to_pylist(), strict=True)], field)
+        yield from pa.table(columns).to_batches()
+
+    if whole_rows:
+        return each_chunk(with_replies(table, both), finish, docs.schema)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
-    return each_chunk(with_replies(table, both), finish, schema)
+    result = each_chunk(with_replies(table, both), finish, schema)
+    if not digest:
+        return result
+    result = scratch.write(result, "result")
+    scratch.drop("chunks", "marks", "gone")
+    return result
+
+
+
+def without_repeats(docs: DataFrame, size: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``docs`` with texts cut to what :func:`remove_repeats` keeps (and ``n_chars``, if there, counted anew).
+
+    Bytes that no longer make up a character, where a cut goes through one, are dropped too. A text that
+    nothing is cut from stays as it is, null included; a text that is cut to nothing stays as an empty one.
+    Further columns stay.
+    """
+    return _remove(docs, size, chunk_bytes, digest=False, whole_rows=True)

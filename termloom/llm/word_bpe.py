@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._bytebpe import special_tokens
+from ._bytebpe import Remembered, special_tokens
 from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, pack, pack_words, quiet_tokenizers, slabs, split_words, tokenizer_path, unpack, unpack_words, with_replies
 
 #: Characters on which the normaliser only lower-cases (and white space only separates): ASCII and precomposed Latin.
@@ -20,6 +20,10 @@ PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-įı-ɏ]*+")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: Larger chunks than elsewhere: a chunk asks for each of its words once.
+WORD_CHUNK_BYTES = 3 * CHUNK_BYTES
+
+
 class WordSplitter:
     """The words of a text as the vocabulary's normaliser and splitter give them; special strings stand alone."""
 
@@ -44,18 +48,22 @@ class WordSplitter:
 
 
 def _code(ids: list[list[int]]) -> bytes:
+    """Numbers of ids (one byte, 255 where more follow) and the ids."""
     lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
-    return pack(lengths.tobytes() + np.array([i for x in ids for i in x], np.uint16).tobytes())
+    small = np.minimum(lengths, 255).astype(np.uint8)
+    return pack(small.tobytes() + lengths[small == 255].tobytes() + np.array([i for x in ids for i in x], np.uint16).tobytes())
 
 
-def _decode(data: bytes, n: int) -> list[list[int]]:
+def _decode(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in one array and where each list ends."""
     data = unpack(data)
-    lengths = np.frombuffer(data, np.uint32, n)
-    flat, ends = np.frombuffer(data, np.uint16, offset=4 * n).tolist(), np.cumsum(lengths).tolist()
-    return [flat[b - a : b] for a, b in zip(lengths.tolist(), ends, strict=True)]
+    lengths = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    many = np.flatnonzero(lengths == 255)
+    lengths[many] = np.frombuffer(data, np.uint32, len(many), n)
+    return np.frombuffer(data, np.uint16, offset=n + 4 * len(many)), np.cumsum(lengths)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, chunk_bytes: int = WORD_CHUNK_BYTES) -> DataFrame:
     """``doc_id, ids, pieces``: every document's ids and the decoded text, in the library's form.
 
     The distinct words of each chunk go to a table of words dealt by hash; there each distinct word of the
@@ -66,7 +74,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, chunk_bytes:
     return _encode(docs, tokenizer, chunk_bytes, digest=False)
 
 
-def encoding_digests(docs: DataFrame, tokenizer: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encoding_digests(docs: DataFrame, tokenizer: str | None = None, chunk_bytes: int = WORD_CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of :func:`encode_documents`, made where its rows are."""
     return _encode(docs, tokenizer, chunk_bytes, digest=True)
 
@@ -109,18 +117,30 @@ def _encode(docs: DataFrame, tokenizer: str | None, chunk_bytes: int, digest: bo
         with open(path, encoding="utf-8") as file:
             symbols = {i: piece for piece, i in json.load(file)["model"]["vocab"].items()}
         symbols |= {i: s for s, i in splitter.special.items()}
-        number, shown, size = ({w: f(i) for w, i in splitter.special.items()} for f in (str, lambda i: symbols[i], lambda _: 1))
+        remembered = Remembered(f"words {path}", 200_000)
+        known, old = remembered.turned()
+        for word, i in splitter.special.items():
+            known[word] = str(i), symbols[i], 1
         for b, words in enumerate(distinct(rows, splitter)):
-            if words:
-                for word, ids in zip(words, _decode(replies[b], len(words)), strict=True):
-                    number[word], shown[word], size[word] = " ".join(map(str, ids)), " ".join([symbols[i] for i in ids]), len(ids)
+            if not words:
+                continue
+            flat, ends = _decode(replies[b], len(words))
+            flat, ends = flat.tolist(), ends.tolist()
+            for k, word in enumerate(words):
+                if word not in known:
+                    value = old.get(word)
+                    if value is None:
+                        ids = flat[ends[k - 1] if k else 0 : ends[k]]
+                        value = " ".join(map(str, ids)), " ".join([symbols[i] for i in ids]), len(ids)
+                    known[word] = value
         for docs_ids, texts in slabs(rows):
             counts, left, right = [], [], []
             for text in texts:
                 words = splitter.words(text)
-                counts.append(sum(map(size.__getitem__, words)))
-                left.append(" ".join(map(number.__getitem__, words)))
-                right.append(" ".join(map(shown.__getitem__, words)))
+                numbers, shown, sizes = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
+                counts.append(sum(sizes))
+                left.append(" ".join(numbers))
+                right.append(" ".join(shown))
             if digest:
                 sha = [[hashlib.sha256(x.encode()).hexdigest() for x in side] for side in (left, right)]
                 arrays = [pa.array(docs_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sha[0]), pa.array(sha[1])]
@@ -130,4 +150,9 @@ def _encode(docs: DataFrame, tokenizer: str | None, chunk_bytes: int, digest: bo
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, pieces string"
     names = [c.split()[0] for c in schema.split(", ")]
-    return each_chunk(with_replies(table, exchange(table, buckets, ask, answer)), finish, schema)
+    result = each_chunk(with_replies(table, exchange(table, buckets, ask, answer)), finish, schema)
+    if not digest:
+        return result
+    result = scratch.write(result, "result")
+    scratch.drop("chunks")
+    return result
