@@ -181,7 +181,7 @@ def bucket_count(table: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
 
 
 Ask = Callable[[pa.Table, int, dict[int, bytes]], Iterable[tuple[int, bytes]]]
-Answer = Callable[[list[bytes]], tuple[list[bytes], tuple[int, int]]]
+Answer = Callable[[list[bytes]], tuple]
 
 
 def exchange(table: DataFrame, buckets: int, ask: Ask, answer: Answer) -> DataFrame:
@@ -201,9 +201,10 @@ def exchange(table: DataFrame, buckets: int, ask: Ask, answer: Answer) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "chunk_id", "list"])
 
     def answered(group: pa.Table) -> pa.Table:
-        replies, (a, b) = answer(group.column("list").to_pylist())
-        n = group.num_rows
-        return pa.table({"chunk_id": group.column("chunk_id"), "bucket": group.column("bucket"), "reply": pa.array(replies, pa.binary()), "total_a": pa.array([a] + [0] * (n - 1), pa.int64()), "total_b": pa.array([b] + [0] * (n - 1), pa.int64())})
+        replies, (a, b), *more = answer(group.column("list").to_pylist())
+        ids, bucket = group.column("chunk_id").to_pylist() + [-1] * len(more), group.column("bucket")[0].as_py()
+        rest = [0] * (len(ids) - 1)
+        return pa.table({"chunk_id": pa.array(ids, pa.int64()), "bucket": pa.array([bucket] * len(ids), pa.int32()), "reply": pa.array(replies + more, pa.binary()), "total_a": pa.array([a, *rest], pa.int64()), "total_b": pa.array([b, *rest], pa.int64())})
 
     lists = table.select("chunk_id", "payload", *["replies"] * has_replies).mapInArrow(asked, "bucket int, chunk_id long, list binary")
     return lists.groupBy("bucket").applyInArrow(answered, "chunk_id long, bucket int, reply binary, total_a long, total_b long")
@@ -234,8 +235,10 @@ def split_words(words: list[str], buckets: int) -> list[list[str]]:
     """Distinct words by bucket (a hash of their bytes), each list sorted."""
     lists: list[list[str]] = [[] for _ in range(buckets)]
     crc = zlib.crc32
-    for word in sorted(words):
+    for word in words:
         lists[crc(word.encode()) % buckets].append(word)
+    for part in lists:
+        part.sort()
     return lists
 
 

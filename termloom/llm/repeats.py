@@ -31,25 +31,23 @@ class ColumnwiseSuffixArray:
     Round j inserts the suffix of length j of every string: its symbol is written into the collection's
     Burrows-Wheeler transform beside the suffix of length j - 1, and its place among the suffixes with the
     same first symbol is the number of equal symbols before that in the transform. The common prefix with
-    its neighbours is one more than the least one between the two equal symbols. Transform, common
-    prefixes and owners are files that each round reads and writes front to back.
+    its neighbours is one more than the least one between the two equal symbols. Transform and common
+    prefixes are files that each round reads and writes front to back.
     """
 
-    COLUMNS = (("bwt", np.uint8), ("lcp", np.uint8), ("owner", np.uint32), ("length", np.uint8))
-
     def __init__(self, strings: list[bytes], folder: str | None = None) -> None:
         if strings and max(map(len, strings)) > 254:
             raise ValueError("strings of at most 254 bytes")
         with tempfile.TemporaryDirectory(dir=folder) as self.folder:
             self._build(strings)
-            self.lcp, self.owner, self.length = (self._read(c) for c in ("lcp", "owner", "length"))
+            self.lcp = self._read("lcp")
+            self._name_suffixes(np.fromiter(map(len, strings), np.int64, len(strings)))
 
     def _read(self, column: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, column), dict(self.COLUMNS)[column])
+        return np.fromfile(os.path.join(self.folder, column), np.uint8)
 
-    def _write(self, **columns: np.ndarray) -> None:
-        for name, values in columns.items():
-            values.tofile(os.path.join(self.folder, name))
+    def _write(self, column: str, values: np.ndarray) -> None:
+        values.tofile(os.path.join(self.folder, column))
 
     def _build(self, strings: list[bytes]) -> None:
         n = len(strings)
@@ -63,53 +61,60 @@ class ColumnwiseSuffixArray:
         code = np.zeros(256, np.uint8)
         code[used] = np.arange(1, len(used) + 1)
         place = np.arange(n, dtype=np.int64)
-        self._write(bwt=np.zeros(n, np.uint8), lcp=np.zeros(n, np.uint8), owner=np.arange(n, dtype=np.uint32), length=np.zeros(n, np.uint8))
+        self._write("bwt", np.zeros(n, np.uint8))
+        self._write("lcp", np.zeros(n, np.uint8))
         for j in range(1, int(sizes.max(initial=0)) + 1):
             active = np.flatnonzero(sizes >= j)
-            bwt = self._read("bwt")
+            bwt, lcp = self._read("bwt"), self._read("lcp")
             at = place[active]
-            bwt[at] = code[text[ends[active] - j]]
+            symbol = code[text[ends[active] - j]]
+            bwt[at] = symbol
             order = np.argsort(bwt, kind="stable")
-            unset = int(np.searchsorted(bwt[order], 1))
-            rank = np.empty(len(bwt), np.int64)
-            rank[order] = np.arange(len(bwt))
-            where = rank[at]  # index in ``order`` of the new suffix's own symbol
-            target = n + where - unset
-            lcp = self._read("lcp")
-            least = _RangeMinimum(lcp)
-            symbols = bwt[order]
+            first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=257))])
+            rank = np.empty(len(bwt), np.int32)
+            rank[order] = np.arange(len(bwt), dtype=np.int32)
+            where = rank[at].astype(np.int64)  # index in ``order`` of the new suffix's own symbol
+            target = n + where - first[1]
+            before, follow = where > first[symbol], np.flatnonzero(where + 1 < first[symbol.astype(np.int64) + 1])
+            low, high = order[where[before] - 1] + 1, order[where[before]]
+            next_low, next_high = order[where[follow]] + 1, order[where[follow] + 1]
+            least = _RangeMinimum(lcp, int(max((high - low).max(initial=0), (next_high - next_low).max(initial=0))) + 1)
             new_lcp = np.zeros(len(at), np.uint8)
-            before = symbols[where - 1] == symbols[where]
-            before &= where > unset
-            new_lcp[before] = least(order[where[before] - 1] + 1, order[where[before]]) + 1
-            follow = np.flatnonzero(where + 1 < len(order))
-            follow = follow[symbols[where[follow] + 1] == symbols[where[follow]]]
-            next_lcp = least(order[where[follow]] + 1, order[where[follow] + 1]) + 1
-            fresh = np.zeros(len(bwt) + len(at), bool)
-            fresh[target] = True
-            out = np.empty(len(fresh), np.uint8)
-            out[~fresh], out[fresh] = bwt, 0
-            self._write(bwt=out)
-            out = np.empty(len(fresh), np.uint8)
-            out[~fresh] = lcp
-            out[target[follow] + 1] = next_lcp
+            new_lcp[before] = least(low, high) + 1
+            old = np.ones(len(bwt) + len(at), bool)
+            old[target] = False
+            out = np.zeros(len(old), np.uint8)
+            out[old] = bwt
+            self._write("bwt", out)
+            out[old] = lcp
+            out[target[follow] + 1] = least(next_low, next_high) + 1
             out[target] = new_lcp
-            self._write(lcp=out)
-            for column, values in (("owner", active.astype(np.uint32)), ("length", np.full(len(active), j, np.uint8))):
-                old = self._read(column)
-                out = np.empty(len(fresh), old.dtype)
-                out[~fresh] = old
-                out[target] = values
-                self._write(**{column: out})
+            self._write("lcp", out)
             place[active] = target
 
+    def _name_suffixes(self, sizes: np.ndarray) -> None:
+        """String and length of every suffix: from a string's empty suffix, each step through the transform
+        leads to the suffix that is one symbol longer."""
+        bwt = self._read("bwt")
+        order = np.argsort(bwt, kind="stable")
+        unset = int((bwt == 0).sum())
+        longer = np.empty(len(bwt), np.int64)
+        longer[order] = len(sizes) + np.arange(len(bwt)) - unset
+        self.owner, self.length = np.zeros(len(bwt), np.uint32), np.zeros(len(bwt), np.uint8)
+        at = np.arange(len(sizes))
+        for j in range(int(sizes.max(initial=0)) + 1):
+            own = np.flatnonzero(sizes >= j)
+            if j:
+                at[own] = longer[at[own]]
+            self.owner[at[own]], self.length[at[own]] = own, j
+
 
 class _RangeMinimum:
     """Least value of inclusive ranges, from tables of the minima of 2^k neighbours."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, longest: int) -> None:
         self.levels = [values]
-        while 2 << (len(self.levels) - 1) <= len(values):
+        while 2 << (len(self.levels) - 1) <= min(longest, len(values)):
             last, half = self.levels[-1], 1 << (len(self.levels) - 1)
             self.levels.append(np.minimum(last[:-half], last[half:]))
 

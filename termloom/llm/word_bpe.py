@@ -47,14 +47,14 @@ class WordSplitter:
         return [whole[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(whole)]
 
 
-def _code(ids: list[list[int]]) -> bytes:
+def code_ids(ids: list[list[int]]) -> bytes:
     """Numbers of ids (one byte, 255 where more follow) and the ids."""
     lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
     small = np.minimum(lengths, 255).astype(np.uint8)
     return pack(small.tobytes() + lengths[small == 255].tobytes() + np.array([i for x in ids for i in x], np.uint16).tobytes())
 
 
-def _decode(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def decode_ids(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids in one array and where each list ends."""
     data = unpack(data)
     lengths = np.frombuffer(data, np.uint8, n).astype(np.int64)
@@ -110,7 +110,7 @@ def _encode(docs: DataFrame, tokenizer: str | None, chunk_bytes: int, digest: bo
         for at in range(0, len(every), 50_000):
             part = every[at : at + 50_000]
             ids.update(zip(part, (e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [_code([ids[w] for w in words]) for words in asked], (len(every), 0)
+        return [code_ids([ids[w] for w in words]) for words in asked], (len(every), 0)
 
     def finish(_: int, rows: pa.Table, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         splitter = WordSplitter(path)
@@ -124,7 +124,7 @@ def _encode(docs: DataFrame, tokenizer: str | None, chunk_bytes: int, digest: bo
         for b, words in enumerate(distinct(rows, splitter)):
             if not words:
                 continue
-            flat, ends = _decode(replies[b], len(words))
+            flat, ends = decode_ids(replies[b], len(words))
             flat, ends = flat.tolist(), ends.tolist()
             for k, word in enumerate(words):
                 if word not in known:
