@@ -1,7 +1,363 @@
-"""Registry of the engine's own queries and their SQL."""
+"""The engine's registered queries and the SQL that states the same results."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termloom.functions.languages import ENGLISH
+from termloom.functions.text import clean_markup, fold
+from termloom.functions.values import bump, caption_stamp, iso_date, too_old_for, version_numbers, video_id, watch_link
+from termloom.operators import evaluate, match, merge, registry, render, reports, resolve
+from termloom.operators.tokens import tokenize, windows
+from termloom.plans import demo
+from termloom.sources.captions import locate, rolling_lines, touched_lines
+
 FLAGSHIP = "annotation_report"
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.find_annotations(demo.transcripts(spark, sf_dir), demo.plain_pack())
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = demo.caption_lines(spark, sf_dir)
+    return match.find_annotations(demo.transcripts(spark, sf_dir), demo.full_pack(), lines)
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(demo.transcripts(spark, sf_dir), ENGLISH)
+
+
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo.caption_lines(spark, sf_dir)
+
+
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir)
+
+
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows(_tokens(spark, sf_dir), ENGLISH)
+    return rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum(F.length("raw")).alias("chars"))
+
+
+def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo.table(spark, sf_dir, "documents").select("doc_id", F.md5(fold(F.col("text"), ENGLISH)).alias("folded_md5"))
+
+
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo.table(spark, sf_dir, "pages").select("page_id", F.md5(clean_markup(F.col("html"))).alias("text_md5"))
+
+
+def exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(spark, sf_dir).where("rule in ('term:exact', 'term:variant')").select("doc_id", "start", "end", "original", "term", "rule", "kind", "band", "score")
+
+
+def inflected_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(spark, sf_dir).where("rule = 'term:alias'").select("doc_id", "start", "end", "original", "term", "kind")
+
+
+def unit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.find_annotations(demo.unit_captions(spark, sf_dir), demo.plain_pack())
+    return found.where("rule = 'unit'").select("doc_id", "start", "end", "original", "replacement", "term", "band")
+
+
+def annotation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.with_section(resolve.resolve_overlaps(_plain(spark, sf_dir))).where("section is not null")
+    return rows.groupBy("section", "term", "form").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report(resolve.resolve_overlaps(_plain(spark, sf_dir))).select("section", "term", "total")
+
+
+def pack_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.pack_fit(resolve.resolve_overlaps(_plain(spark, sf_dir)))
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary(resolve.resolve_overlaps(_plain(spark, sf_dir)))
+
+
+def band_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.band_rollup(resolve.resolve_overlaps(_plain(spark, sf_dir))).select("term", "rule", "band", "n")
+
+
+def frequent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.frequent_terms(resolve.resolve_overlaps(_plain(spark, sf_dir)), 2)
+
+
+def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_lines(demo.caption_lines(spark, sf_dir), resolve.resolve_overlaps(_plain(spark, sf_dir)))
+
+
+def annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.annotation_json(resolve.resolve_overlaps(_plain(spark, sf_dir)))
+
+
+def asof_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = locate(_plain(spark, sf_dir).select("doc_id", "start", "term"), demo.caption_lines(spark, sf_dir))
+    return found.select("doc_id", "start", "term", "line_no", "ts")
+
+
+def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _tokens(spark, sf_dir).where("i % 50 = 0").select("doc_id", F.col("i"), "start", (F.col("end") + 60).alias("end"))
+    return touched_lines(tokens, demo.caption_lines(spark, sf_dir)).select("doc_id", "i", "line_no")
+
+
+def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.with_section(resolve.resolve_overlaps(_plain(spark, sf_dir))).select("doc_id", "term", "form", "start", "end")
+    return reports.examples(touched_lines(rows, demo.caption_lines(spark, sf_dir))).select("doc_id", "term", "form", "example", "ts")
+
+
+def rolling_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_lines(demo.event_cues(spark, sf_dir), 1800.0)
+
+
+def near_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of errors and purchases of a user within 90 minutes: time cells make the range an equi-join."""
+    events = demo.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("sec"))
+    width = 5400
+    cell = F.floor(F.col("sec") / width)
+    left = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("sec").alias("error_sec"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    right = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), "sec", cell.alias("cell"))
+    return left.join(right, ["user_id", "cell"]).where(F.abs(F.col("sec") - F.col("error_sec")) <= width).select("error_id", "purchase_id")
+
+
+def merge_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = merge.presence(*demo.term_tables(spark, sf_dir))
+    return plan.select("key", "class", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), F.array_join(F.array_sort("variants"), ",").alias("variants"), "outcome")
+
+
+def merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.outcomes(merge.presence(*demo.term_tables(spark, sf_dir)))
+
+
+def form_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = demo.table(spark, sf_dir, "part").select(F.col("p_name").alias("folded"), F.col("p_brand").alias("term"))
+    return merge.collisions(forms).select("folded", F.array_join("terms", ",").alias("terms"))
+
+
+def registry_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.newest(demo.pack_index(spark, sf_dir), "0.8.1")
+
+
+def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.pack_index(spark, sf_dir)
+    numbers = version_numbers(F.col("version"))
+    return rows.select("position", "version", F.element_at(numbers, 1).alias("major"), (numbers > version_numbers(F.lit("1.4"))).alias("later"), bump(F.col("version")).alias("bumped"), too_old_for(F.lit("0.8.1"), F.col("min_engine")).alias("too_old"))
+
+
+def run_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = demo.table(spark, sf_dir, "orders")
+    source = F.element_at(F.array(F.lit("meta"), F.lit("header"), F.lit("annotations")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    date = F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    rows = o.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").cast("string").alias("run_id"), source.alias("source")).agg(F.max(date).alias("date"), F.min("o_orderpriority").alias("title"))
+    return registry.run_catalog(rows)
+
+
+def track_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = demo.table(spark, sf_dir, "events")
+    code = F.element_at(F.array(*map(F.lit, ("pt-BR", "pt", "en", "en-US", "es"))), (F.col("event_id") % 5 + 1).cast("int"))
+    tracks = e.select(F.col("user_id").alias("video_id"), code.alias("code"), F.when(F.col("event_type") == "purchase", "manual").otherwise("automatic").alias("source"), (F.col("event_type") == "error").alias("translated")).distinct()
+    return registry.track_choice(tracks, F.lit("en"), F.lit("pt-BR"))
+
+
+def watch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = demo.table(spark, sf_dir, "pages")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), F.substring(F.md5(F.col("page_id").cast("string")), 1, 11))).otherwise(F.col("url"))
+    stamp = caption_stamp(F.col("page_id") * 7)
+    return p.select("page_id", video_id(url).alias("video"), watch_link(url, stamp).alias("link"), stamp.alias("stamp"), iso_date((F.lit(20240100) + F.col("page_id") % 28 + 1).cast("string")).alias("day"))
+
+
+def local_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve.resolve_overlaps(_full(spark, sf_dir))
+    chosen = found.where("band in ('ask', 'low') and start % 2 = 0").select("doc_id", "term", F.col("original").alias("form")).distinct()
+    return resolve.apply_local(found, chosen).select("doc_id", "start", "end", "term", "rule", "kind", "band", "score")
+
+
+def full_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full(spark, sf_dir)
+
+
+def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full(spark, sf_dir).where("rule = 'term:fuzzy'").groupBy("original", "term", "band", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+def resolved_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_overlaps(_full(spark, sf_dir))
+
+
+def pending_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.pending(resolve.resolve_overlaps(_full(spark, sf_dir)))
+
+
+def review_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.review_stops(resolve.resolve_overlaps(_full(spark, sf_dir)))
+
+
+def evaluate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the full pack against gold rows that the plain pack's corrections make up."""
+    lines = demo.caption_lines(spark, sf_dir)
+    gold = locate(resolve.resolve_overlaps(_plain(spark, sf_dir)), lines).select("doc_id", (F.col("start")).cast("long").alias("row_no"), F.col("ts").alias("timestamp"), F.col("original").alias("wrong"), F.col("replacement").alias("correct"), "term", F.lit("").alias("class"), F.when(F.col("kind") == "alias", "alias").otherwise("certo").alias("status"))
+    return evaluate.counts(evaluate.score(_full(spark, sf_dir), lines, gold, ENGLISH))
+
+
+_WORDS = (
+    caption_lines, token_stream, sentence_windows, fold_text, html_clean, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
+    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
+    fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts,
+)
+QUERIES = {f.__name__: f for f in _WORDS}
+
+_LINES = r"""
+    raw_lines AS (
+        SELECT doc_id::VARCHAR AS doc_id, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS text,
+               generate_subscripts(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS line_no
+        FROM documents
+    ), lines AS (
+        SELECT doc_id, line_no::INT AS line_no, (line_no * 5 // 60)::VARCHAR || ':' || lpad((line_no * 5 % 60)::VARCHAR, 2, '0') AS ts, (line_no * 5)::INT AS ts_sec, text,
+               coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start,
+               (coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text))::INT AS "end"
+        FROM raw_lines
+    )"""
+_TOKENS = (
+    _LINES
+    + r""", texts AS (
+        SELECT d.doc_id::VARCHAR AS doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(d.text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text FROM documents d
+    ), pieces AS (
+        SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS p
+        FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_À-ÿ$%,.]+|[^\p{L}\p{N}_À-ÿ$%,.]+') AS l FROM texts)
+    ), marked AS (
+        SELECT *, regexp_matches(piece, '[\p{L}\p{N}_]') AND regexp_matches(piece, '^[\p{L}\p{N}_À-ÿ$%,.]') AS wordy,
+               regexp_replace(regexp_replace(piece, '^[.,]+', ''), '[.,]+$', '') AS token, regexp_extract(piece, '^[.,]*') AS head, regexp_extract(piece, '[.,]*$') AS tail,
+               coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+        FROM pieces
+    ), signs AS (
+        SELECT *, CASE WHEN wordy THEN regexp_matches(head, '[.?!;,]')::INT ELSE regexp_matches(piece, '[.?!;,]')::INT END AS before,
+               (wordy AND regexp_matches(tail, '[.?!;,]'))::INT AS after FROM marked
+    ), summed AS (
+        SELECT *, sum(before + after) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) - after AS seen, sum(before + after) OVER (PARTITION BY doc_id) AS total FROM signs
+    ), tokens AS (
+        SELECT doc_id, (row_number() OVER w - 1)::INT AS i, token, (pos + length(head))::INT AS start, (pos + length(head) + length(token))::INT AS "end",
+               coalesce(lead(seen) OVER w, total) > seen AS closes, p
+        FROM summed WHERE wordy AND token <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+    )"""
+)
+_FOUND = (
+    _TOKENS
+    + r""", forms(form, term, origin) AS (
+        VALUES ('orantion', 'orantion', 'term'), ('ononst', 'orantion', 'alias'), ('thatin', 'orantion', 'variant'), ('attion', 'attion', 'term'), ('ertion', 'attion', 'alias'),
+               ('thtion', 'attion', 'variant'), ('thanea', 'thanea', 'term'), ('eriner', 'thanea', 'variant'), ('hehely', 'hehely', 'term')
+    ), folded AS (
+        SELECT *, trim(regexp_replace(strip_accents(lower(token)), '[^a-z0-9$ ]+', ' ', 'g')) AS f FROM tokens
+    ), plain AS (
+        SELECT t.doc_id, t.i, t.p, t.start, t."end", t.token, g.term, CASE g.origin WHEN 'term' THEN 'term:exact' WHEN 'alias' THEN 'term:alias' ELSE 'term:variant' END AS rule,
+               CASE g.origin WHEN 'variant' THEN 'correction' ELSE 'alias' END AS kind
+        FROM folded t JOIN forms g ON t.f = g.form
+        UNION ALL
+        SELECT t.doc_id, t.i, t.p, t.start, t."end", t.token, g.term, 'term:alias', 'alias'
+        FROM folded t JOIN forms g ON g.origin <> 'variant' AND (t.f = g.form || 's' OR t.f = g.form || 'es' OR (g.form LIKE '%y' AND t.f = left(g.form, length(g.form) - 1) || 'ies'))
+        WHERE t.f NOT IN (SELECT form FROM forms) AND t.f NOT LIKE '%ss'
+    ), found AS (
+        SELECT *, token AS original, 'high' AS band, 100 AS score, CASE kind WHEN 'alias' THEN token ELSE term END AS replacement FROM plain
+    )"""
+)
+_SECTION = "CASE WHEN kind = 'correction' THEN 'terms' ELSE 'recognized (not changed)' END"
+_TERMS = """
+    base AS (SELECT lower(s_name) AS key, (s_suppkey % 3)::VARCHAR AS class, ['a' || (s_suppkey % 5)::VARCHAR] AS aliases, ['v'] AS variants FROM supplier WHERE s_suppkey % 7 <> 0),
+    up AS (SELECT lower(s_name) AS key, CASE WHEN s_suppkey % 4 = 0 THEN '9' ELSE (s_suppkey % 3)::VARCHAR END AS class, ['a' || (s_suppkey % 5)::VARCHAR] AS aliases,
+                  CASE WHEN s_suppkey % 2 = 0 THEN ['v', 'w'] ELSE ['v'] END AS variants FROM supplier WHERE s_suppkey % 11 <> 0),
+    mine AS (SELECT lower(s_name) AS key, CASE WHEN s_suppkey % 6 = 0 THEN '8' ELSE (s_suppkey % 3)::VARCHAR END AS class,
+                    CASE WHEN s_suppkey % 10 = 0 THEN []::VARCHAR[] ELSE ['a' || (s_suppkey % 5)::VARCHAR] END AS aliases, ['v'] AS variants FROM supplier WHERE s_suppkey % 13 <> 0),
+    three AS (
+        SELECT key, b.key IS NOT NULL AS hb, u.key IS NOT NULL AS hu, m.key IS NOT NULL AS hm, b.class AS bc, u.class AS uc, m.class AS mc,
+               coalesce(b.aliases, []) AS ba, coalesce(u.aliases, []) AS ua, coalesce(m.aliases, []) AS ma, coalesce(b.variants, []) AS bv, coalesce(u.variants, []) AS uv, coalesce(m.variants, []) AS mv
+        FROM (SELECT key FROM base UNION SELECT key FROM up UNION SELECT key FROM mine) k
+        LEFT JOIN base b USING (key) LEFT JOIN up u USING (key) LEFT JOIN mine m USING (key)
+    ), plan AS (
+        SELECT key,
+               CASE WHEN hu AND hm THEN CASE WHEN uc = bc THEN mc WHEN mc = bc THEN uc ELSE mc END ELSE coalesce(uc, mc) END AS class,
+               CASE WHEN hu AND hm THEN list_filter(list_distinct(list_concat(ma, ua)), lambda x: NOT (list_contains(ba, x) AND (NOT list_contains(ua, x) OR NOT list_contains(ma, x)))) WHEN hu THEN ua ELSE ma END AS aliases,
+               CASE WHEN hu AND hm THEN list_filter(list_distinct(list_concat(mv, uv)), lambda x: NOT (list_contains(bv, x) AND (NOT list_contains(uv, x) OR NOT list_contains(mv, x)))) WHEN hu THEN uv ELSE mv END AS variants,
+               CASE WHEN hu AND hm THEN CASE WHEN uc = mc AND list_sort(ua) = list_sort(ma) AND list_sort(uv) = list_sort(mv) THEN 'unchanged'
+                                             WHEN hb AND bc = mc AND list_sort(ba) = list_sort(ma) AND list_sort(bv) = list_sort(mv) THEN 'updated'
+                                             WHEN hb AND bc = uc AND list_sort(ba) = list_sort(ua) AND list_sort(bv) = list_sort(uv) THEN 'kept' ELSE 'combined' END
+                    WHEN hu AND hb THEN 'removed here' WHEN hu THEN 'added upstream'
+                    WHEN hm AND hb THEN CASE WHEN bc = mc AND list_sort(ba) = list_sort(ma) AND list_sort(bv) = list_sort(mv) THEN 'removed upstream' ELSE 'kept' END
+                    WHEN hm THEN 'added here' ELSE 'left out' END AS outcome
+        FROM three
+    )"""
+_INDEX = """
+    idx AS (
+        SELECT p_partkey AS position, p_brand AS name, (p_size % 4)::VARCHAR || '.' || (p_partkey % 13)::VARCHAR || '.' || (p_partkey % 7)::VARCHAR AS version,
+               [(p_size % 4)::BIGINT, (p_partkey % 13)::BIGINT, (p_partkey % 7)::BIGINT] AS v, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 12 END AS needs
+        FROM part
+    ), held AS (SELECT *, coalesce(needs > 8, false) AS is_held FROM idx)"""
+
+ORACLES: dict[str, str] = {
+    "caption_lines": f"WITH {_LINES} SELECT * FROM lines",
+    "token_stream": f'WITH {_TOKENS} SELECT doc_id, i, token, start, "end", closes FROM tokens',
+    "sentence_windows": f"""WITH {_TOKENS}, a AS (
+            SELECT doc_id, i, start, token, "end", closes, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead("end", 1) OVER w AS e1, lead("end", 2) OVER w AS e2, lead(closes, 1) OVER w AS c1
+            FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), u AS (
+            SELECT doc_id, 1 AS n, start, "end", length(token) AS l FROM a
+            UNION ALL SELECT doc_id, 2, start, e1, length(token) + 1 + length(t1) FROM a WHERE e1 IS NOT NULL AND NOT closes
+            UNION ALL SELECT doc_id, 3, start, e2, length(token) + 2 + length(t1) + length(t2) FROM a WHERE e2 IS NOT NULL AND NOT closes AND NOT c1
+        ) SELECT doc_id, n::INT AS n, count(*)::BIGINT AS n_windows, sum(start)::BIGINT AS starts, sum("end")::BIGINT AS ends, sum(l)::BIGINT AS chars FROM u GROUP BY doc_id, n""",
+    "fold_text": "SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9$ ]+', ' ', 'g'))) AS folded_md5 FROM documents",
+    "html_clean": r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), chr(160), ' '), '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')) AS text_md5 FROM pages""",
+    "exact_matches": f"""WITH {_FOUND} SELECT doc_id, start, "end", original, term, rule, kind, band, score::INT AS score FROM found WHERE rule IN ('term:exact', 'term:variant')""",
+    "inflected_aliases": f"""WITH {_FOUND} SELECT doc_id, start, "end", original, term, kind FROM found WHERE rule = 'term:alias'""",
+    "unit_hits": """SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR AS doc_id, 7::INT AS start,
+            (7 + length(l_quantity::INT::VARCHAR) + CASE WHEN l_tax > 0.04 THEN 3 ELSE 1 END)::INT AS "end", l_quantity::INT::VARCHAR || CASE WHEN l_tax > 0.04 THEN ' bn' ELSE 'B' END AS original,
+            l_quantity::INT::VARCHAR || ' billion' AS replacement, 'billion' AS term, 'high' AS band FROM lineitem""",
+    "annotation_report": f"""WITH {_FOUND} SELECT {_SECTION} AS section, term, original AS form, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM found GROUP BY ALL""",
+    "report_sections": f"""WITH {_FOUND} SELECT {_SECTION} AS section, term, count(*)::BIGINT AS total FROM found GROUP BY ALL""",
+    "pack_fit": f"""WITH {_FOUND} SELECT doc_id, count(DISTINCT term)::BIGINT AS n_terms, count(DISTINCT term) >= 3 AS fits FROM found GROUP BY doc_id""",
+    "run_summary": f"""WITH {_FOUND} SELECT doc_id, sum((kind = 'correction')::INT)::BIGINT AS applied, sum((kind = 'alias')::INT)::BIGINT AS recognized, 0::BIGINT AS to_confirm, 0::BIGINT AS suggested,
+            0::BIGINT AS low, count(DISTINCT term)::BIGINT AS terms FROM found GROUP BY doc_id""",
+    "band_rollup": f"""WITH {_FOUND} SELECT term, rule, band, count(*)::BIGINT AS n FROM found GROUP BY ROLLUP (term, rule, band)""",
+    "frequent_terms": f"""WITH {_FOUND}, c AS (SELECT doc_id, term, count(*)::BIGINT AS n FROM found GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)::INT AS place FROM c)
+            SELECT * FROM r WHERE place <= 2""",
+    "rendered_lines": f"""WITH {_FOUND}, fixes AS (SELECT doc_id, p, term FROM found WHERE kind = 'correction'), whole AS (
+            SELECT m.doc_id, m.pos, CASE WHEN f.term IS NULL THEN m.piece ELSE m.head || f.term || m.tail END AS piece
+            FROM marked m LEFT JOIN fixes f ON m.doc_id = f.doc_id AND m.p = f.p
+        ), parts AS (
+            SELECT l.doc_id, l.line_no, l.ts, string_agg(CASE WHEN w.pos >= l.start AND w.pos + length(w.piece) <= l."end" OR length(trim(w.piece)) > 0 AND w.pos >= l.start THEN w.piece
+                   ELSE substr(w.piece, greatest(1, l.start - w.pos + 1), least(length(w.piece), l."end" - w.pos) - greatest(1, l.start - w.pos + 1) + 1) END, '' ORDER BY w.pos) AS text
+            FROM lines l JOIN whole w ON l.doc_id = w.doc_id AND w.pos < l."end" AND w.pos + length(w.piece) > l.start GROUP BY l.doc_id, l.line_no, l.ts
+        ) SELECT doc_id, line_no, ts, trim(text) AS text FROM parts""",
+    "asof_line": f"""WITH {_FOUND} SELECT f.doc_id, f.start, f.term, l.line_no, l.ts FROM found f ASOF JOIN lines l ON f.doc_id = l.doc_id AND f.start >= l.start""",
+    "span_lines": f"""WITH {_TOKENS} SELECT t.doc_id, t.i, l.line_no FROM tokens t JOIN lines l ON t.doc_id = l.doc_id AND l.start < t."end" + 60 AND t.start < l."end" WHERE t.i % 50 = 0""",
+    "top_examples": f"""WITH {_FOUND}, r AS (SELECT f.doc_id, f.term, f.original AS form, l.ts, row_number() OVER (PARTITION BY f.doc_id, f.term, f.original ORDER BY f.start, l.line_no)::INT AS example
+            FROM found f JOIN lines l ON f.doc_id = l.doc_id AND l.start < f."end" AND f.start < l."end") SELECT * FROM r WHERE example <= 3""",
+    "rolling_dedupe": """WITH c AS (SELECT user_id::VARCHAR AS doc_id, event_type AS line, floor(epoch(ts))::BIGINT AS s, event_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS cue_no FROM events),
+            b AS (SELECT *, max(s) OVER (PARTITION BY doc_id, line ORDER BY cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
+            SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY cue_no) - 1)::INT AS line_no, ((s + 2) // 60)::VARCHAR || ':' || lpad(((s + 2) % 60)::VARCHAR, 2, '0') AS ts, line AS text
+            FROM b WHERE before IS NULL OR s - before > 1800""",
+    "near_range_join": """SELECT a.event_id AS error_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND abs(floor(epoch(a.ts)) - floor(epoch(b.ts))) <= 5400
+            WHERE a.event_type = 'error' AND b.event_type = 'purchase'""",
+    "merge_presence": f"""WITH {_TERMS} SELECT key, class, array_to_string(list_sort(aliases), ',') AS aliases, array_to_string(list_sort(variants), ',') AS variants, outcome FROM plan""",
+    "merge_summary": f"""WITH {_TERMS} SELECT outcome, count(*)::BIGINT AS n FROM plan GROUP BY outcome""",
+    "form_collisions": """SELECT p_name AS folded, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS terms FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1""",
+    "registry_choice": f"""WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY name, is_held ORDER BY v DESC, position DESC) AS k FROM held)
+            SELECT name, max(CASE WHEN NOT is_held THEN version END) AS usable, max(CASE WHEN is_held THEN version END) AS held FROM r WHERE k = 1 GROUP BY name""",
+    "version_compare": f"""WITH {_INDEX} SELECT position, version, v[1]::INT AS major, v > [1, 4, 0]::BIGINT[] AS later, v[1]::VARCHAR || '.' || v[2]::VARCHAR || '.' || (v[3] + 1)::VARCHAR AS bumped, is_held AS too_old FROM held""",
+    "run_catalog": """WITH s AS (
+            SELECT o_custkey::VARCHAR AS run_id, o_orderkey % 3 AS rank, ['meta', 'header', 'annotations'][(o_orderkey % 3 + 1)::INT] AS source,
+                   max(CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS date, min(o_orderpriority) AS title FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL
+        ), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank) AS n FROM s)
+        SELECT run_id, source, date, title, row_number() OVER (ORDER BY coalesce(date, '9999'), run_id)::INT AS place FROM k WHERE n = 1""",
+    "track_choice": """WITH t AS (
+            SELECT DISTINCT user_id AS video_id, ['pt-BR', 'pt', 'en', 'en-US', 'es'][(event_id % 5 + 1)::INT] AS code, CASE WHEN event_type = 'purchase' THEN 'manual' ELSE 'automatic' END AS source, event_type = 'error' AS translated FROM events
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN source = 'manual' THEN 0 WHEN translated THEN 3 ELSE 2 END, CASE WHEN code = 'en' THEN 0 ELSE 1 END, code) AS k FROM t WHERE code LIKE 'en%'
+        ) SELECT video_id, code, source, translated FROM r WHERE k = 1""",
+    "watch_links": """WITH u AS (SELECT page_id, page_id % 3 = 0 AS known, substr(md5(page_id::VARCHAR), 1, 11) AS v, url, (page_id * 7 // 60)::VARCHAR || ':' || lpad((page_id * 7 % 60)::VARCHAR, 2, '0') AS stamp FROM pages)
+            SELECT page_id, CASE WHEN known THEN v END AS video, CASE WHEN known THEN 'https://youtu.be/' || v || '?t=' || (page_id * 7)::VARCHAR ELSE url || ' at ' || stamp END AS link, stamp,
+                   '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS day FROM u""",
+}
