@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, marked, pack, pack_sorted, shared_marks, split_hashes, unpack, with_replies
 
 ANCHOR_BITS = 44
+#: Smaller chunks and buckets than elsewhere: hashes and segments take several times the text's memory.
+REPEAT_CHUNK_BYTES, SEGMENT_BUCKET_BYTES = CHUNK_BYTES // 2, 5 << 20
 LAST_ID = (1 << 63) - 1  # a null id comes after all others
 
 
@@ -228,8 +230,9 @@ def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return anchors, docs, [data[b - a : b] for a, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def earliest_holders(strings: list[bytes], docs: np.ndarray, anchors: np.ndarray, size: int, most: int = 30_000) -> list[np.ndarray]:
-    """For each string and each of its windows, the smallest id of a document that holds the window's bytes.
+def earliest_holders(strings: list[bytes], docs: np.ndarray, anchors: np.ndarray, size: int, most: int = 30_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each string, the smallest id of a document that holds the window's bytes: one array
+    in the order of strings and windows, and each string's number of windows.
 
     Equal strings are inserted once, with the smallest of their ids. A string that is the only one of its
     anchor has no other to share a window with. ``most`` strings (more if one anchor has more) make up one
@@ -237,37 +240,40 @@ def earliest_holders(strings: list[bytes], docs: np.ndarray, anchors: np.ndarray
     """
     number: dict[bytes, int] = {}
     which = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
-    least = np.full(len(number), LAST_ID)
+    single = list(number)
+    del number
+    least = np.full(len(single), LAST_ID)
     np.minimum.at(least, which, docs)
-    anchor = np.zeros(len(number), np.uint64)
+    anchor = np.zeros(len(single), np.uint64)
     anchor[which] = anchors
-    single = list(number)
-    found = [np.full(len(s) - size + 1, d, np.int64) for s, d in zip(single, least.tolist(), strict=True)]
+    sizes = np.fromiter(map(len, single), np.int64, len(single))
+    windows_of = sizes - size + 1
+    first = np.cumsum(windows_of) - windows_of
+    found = np.repeat(least, windows_of)
     order = np.argsort(anchor, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
-    groups = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
-    held: list[np.ndarray] = []
-    for k, group in enumerate(groups):
-        held.append(group)
-        if k + 1 < len(groups) and sum(map(len, held)) + len(groups[k + 1]) <= most:
-            continue
-        members = np.concatenate(held)
-        held = []
+    low, many = cuts[:-1], np.diff(cuts)
+    low, many = low[many > 1], many[many > 1]
+    # Anchors are put together until a collection is full.
+    full = np.cumsum(many)
+    at = 0
+    while at < len(low):
+        stop = max(at + 1, int(np.searchsorted(full, (full[at - 1] if at else 0) + most, "right")))
+        members = order[np.concatenate([np.arange(a, a + n) for a, n in zip(low[at:stop].tolist(), many[at:stop].tolist(), strict=True)])]
+        at = stop
         array = ColumnwiseSuffixArray([single[i] for i in members.tolist()])
         whole = np.flatnonzero(array.length >= size)
         # Two neighbouring windows are equal when no common prefix between their suffixes is shorter than a window.
         border = np.cumsum(array.lcp < size)[whole]
-        first = np.flatnonzero(np.concatenate([[True], border[1:] != border[:-1]]))
+        begin = np.flatnonzero(np.concatenate([[True], border[1:] != border[:-1]]))
         owner = members[array.owner[whole]]
-        smallest = np.minimum.reduceat(least[owner], first)
-        value = np.repeat(smallest, np.diff(first, append=len(whole)))
-        offset = np.fromiter((len(single[i]) for i in owner.tolist()), np.int64, len(owner)) - array.length[whole]
-        for i, o, v in zip(owner.tolist(), offset.tolist(), value.tolist(), strict=True):
-            found[i][o] = v
-    return [found[i] for i in which.tolist()]
+        smallest = np.minimum.reduceat(least[owner], begin)
+        found[first[owner] + sizes[owner] - array.length[whole]] = np.repeat(smallest, np.diff(begin, append=len(whole)))
+    counts = windows_of[which]
+    return found[np.repeat(first[which] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))], counts
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 50, chunk_bytes: int = REPEAT_CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: the bytes of each row's text that stay.
 
     A byte goes if a string of ``size`` bytes that covers it also starts in a row with a smaller ``doc_id``;
@@ -278,7 +284,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, chunk_bytes: int = CHUNK_BYT
     return _remove(docs, size, chunk_bytes, digest=False)
 
 
-def removal_digests(docs: DataFrame, size: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def removal_digests(docs: DataFrame, size: int = 50, chunk_bytes: int = REPEAT_CHUNK_BYTES) -> DataFrame:
     """As :func:`remove_repeats` with ``kept_sha256`` in place of ``kept``."""
     return _remove(docs, size, chunk_bytes, digest=True)
 
@@ -288,7 +294,7 @@ def _remove(docs: DataFrame, size: int, chunk_bytes: int, digest: bool, whole_ro
     order = docs.columns
     rest = [c for c in order if c not in ("doc_id", "text")]
     table = chunks(scratch, docs.select("doc_id", "text", *rest) if whole_rows else id_and_text(docs), chunk_bytes)
-    buckets = bucket_count(table)
+    buckets = bucket_count(table, SEGMENT_BUCKET_BYTES)
 
     def ask_anchors(rows: pa.Table, n: int, _: dict[int, bytes]) -> Iterable[tuple[int, bytes]]:
         return [(b, pack_sorted(part)) for b, part in split_hashes(Windows(rows, size).distinct()[0], n, ANCHOR_BITS)]
@@ -324,14 +330,13 @@ def _remove(docs: DataFrame, size: int, chunk_bytes: int, digest: bool, whole_ro
     def answer_segments(lists: list[bytes]) -> tuple[list[bytes], tuple[int, int]]:
         opened = [_opened(x) for x in lists]
         strings = [s for _, _, part in opened for s in part]
-        docs_ = np.concatenate([d for _, d, _ in opened])
-        found = earliest_holders(strings, docs_, np.concatenate([a for a, _, _ in opened]), size)
-        gone = [f < d for f, d in zip(found, docs_.tolist(), strict=True)]
-        replies, at = [], 0
-        for _, _, part in opened:
-            replies.append(pack(np.packbits(np.concatenate(gone[at : at + len(part)])).tobytes()))
-            at += len(part)
-        return replies, (len(strings), 0)
+        numbers = [len(part) for _, _, part in opened]
+        docs_, anchors = np.concatenate([d for _, d, _ in opened]), np.concatenate([a for a, _, _ in opened])
+        del opened
+        found, counts = earliest_holders(strings, docs_, anchors, size)
+        gone = found < np.repeat(docs_, counts)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *numbers])].tolist()
+        return [pack(np.packbits(gone[a:b]).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], (len(strings), 0)
 
     gone = scratch.write(exchange(once, buckets, ask_segments, answer_segments), "gone")
     shift = buckets  # replies of the second exchange follow those of the first
@@ -390,7 +395,7 @@ def _remove(docs: DataFrame, size: int, chunk_bytes: int, digest: bool, whole_ro
 
 
 
-def without_repeats(docs: DataFrame, size: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 50, chunk_bytes: int = REPEAT_CHUNK_BYTES) -> DataFrame:
     """``docs`` with texts cut to what :func:`remove_repeats` keeps (and ``n_chars``, if there, counted anew).
 
     Bytes that no longer make up a character, where a cut goes through one, are dropped too. A text that
