@@ -328,7 +328,7 @@ ORACLES: dict[str, str] = {
             FROM marked m LEFT JOIN fixes f ON m.doc_id = f.doc_id AND m.p = f.p
         ), parts AS (
             SELECT l.doc_id, l.line_no, l.ts, string_agg(CASE WHEN w.pos >= l.start AND w.pos + length(w.piece) <= l."end" OR length(trim(w.piece)) > 0 AND w.pos >= l.start THEN w.piece
-                   ELSE substr(w.piece, greatest(1, l.start - w.pos + 1), least(length(w.piece), l."end" - w.pos) - greatest(1, l.start - w.pos + 1) + 1) END, '' ORDER BY w.pos) AS text
+                   ELSE substr(w.piece, greatest(1, l.start - w.pos + 1)::BIGINT, (least(length(w.piece), l."end" - w.pos) - greatest(1, l.start - w.pos + 1) + 1)::BIGINT) END, '' ORDER BY w.pos) AS text
             FROM lines l JOIN whole w ON l.doc_id = w.doc_id AND w.pos < l."end" AND w.pos + length(w.piece) > l.start GROUP BY l.doc_id, l.line_no, l.ts
         ) SELECT doc_id, line_no, ts, trim(text) AS text FROM parts""",
     "asof_line": f"""WITH {_FOUND} SELECT f.doc_id, f.start, f.term, l.line_no, l.ts FROM found f ASOF JOIN lines l ON f.doc_id = l.doc_id AND f.start >= l.start""",

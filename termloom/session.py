@@ -19,6 +19,7 @@ def build_session(app: str = "termloom", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
