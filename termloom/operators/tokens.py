@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.languages import Language
-from termloom.functions.text import collapse, fold, normalize
+from termloom.functions.text import collapse, fold_numbers, fold_part, has_number_word
 from termloom.schemas import NGRAMS
 
 WORD_SIGNS = r"\p{L}\p{N}_À-ÿ$%,."
@@ -52,13 +52,22 @@ def windows(tokens: DataFrame, language: Language, exact_fold: bool = False) ->
     ``plain`` has the folded text without number words.
     """
     order = Window.partitionBy("doc_id").orderBy("i")
+    # Tokens are folded once, not once for each window that they stand in.
+    part = fold_part(F.col("token"), language)
+    tokens = tokens.withColumn("part", part).withColumn("number", has_number_word(F.col("part"), language))
     ahead = lambda c, k: F.lead(c, k).over(order) if k else F.col(c)
     options: list[Column] = []
     for n in range(1, NGRAMS + 1):
         whole = ahead("end", n - 1).isNotNull()
+        number = ahead("number", 0)
         for k in range(n - 1):
             whole = whole & ~ahead("closes", k)
-        options.append(F.when(whole, F.struct(F.lit(n).alias("n"), ahead("end", n - 1).alias("end"), F.concat_ws(" ", *[ahead("token", k) for k in range(n)]).alias("raw"))))
+            number = number | ahead("number", k + 1)
+        joined = lambda c, n=n: F.concat_ws(" ", *[ahead(c, k) for k in range(n)])
+        options.append(F.when(whole, F.struct(F.lit(n).alias("n"), ahead("end", n - 1).alias("end"), joined("token").alias("raw"), F.trim(joined("part")).alias("plain"), number.alias("number"))))
     rows = tokens.select("doc_id", "i", "start", F.array(*options).alias("options")).select("doc_id", "i", "start", F.explode("options").alias("w")).where("w is not null")
-    rows = rows.select("doc_id", "i", F.col("w.n").alias("n"), "start", F.col("w.end").alias("end"), F.col("w.raw").alias("raw")).withColumn("folded", normalize(F.col("raw"), language)).withColumn("run", collapse(F.col("folded")))
-    return rows.withColumn("plain", collapse(fold(F.col("raw"), language))) if exact_fold else rows
+    single = lambda c: F.when(F.col(c).contains("  "), collapse(F.col(c))).otherwise(F.col(c))
+    folded = F.when(F.col("w.number"), fold_numbers(F.col("w.plain"), language)).otherwise(F.col("w.plain"))
+    rows = rows.select("doc_id", "i", F.col("w.n").alias("n"), "start", F.col("w.end").alias("end"), F.col("w.raw").alias("raw"), F.col("w.plain").alias("plain"), folded.alias("folded"))
+    rows = rows.withColumn("run", single("folded"))
+    return rows.withColumn("plain", single("plain")) if exact_fold else rows.drop("plain")
