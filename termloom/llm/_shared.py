@@ -9,11 +9,13 @@ per chunk, so no key makes a bucket large, and nothing passes through the driver
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import tempfile
 import uuid
 import zlib
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -96,7 +98,7 @@ def pack_table(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return pack(sink.getvalue(), 5)
+    return pack(sink.getvalue())
 
 
 def unpack_table(data: bytes) -> pa.Table:
@@ -131,7 +133,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 def slabs(batch: pa.RecordBatch | pa.Table, limit: int = 2 << 20) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of ``doc_id, text`` rows in lists of about ``limit`` bytes."""
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), np.int64))
+    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), np.int64))
     at = 0
     while at < batch.num_rows:
         stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)) + 1
@@ -231,14 +233,25 @@ def each_chunk(joined: DataFrame, finish: Callable[[int, pa.Table, dict[int, byt
     return joined.mapInArrow(run, schema)
 
 
-def split_words(words: list[str], buckets: int) -> list[list[str]]:
-    """Distinct words by bucket (a hash of their bytes), each list sorted."""
+class WordNumbers(defaultdict):
+    """Numbers words as they are first seen, the same in every pass over a chunk."""
+
+    def __init__(self) -> None:
+        super().__init__(itertools.count().__next__)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def see(self, words: list[str]) -> None:
+        deque(map(self.__getitem__, words), maxlen=0)
+
+
+def split_words(words: Iterable[str], buckets: int) -> list[list[str]]:
+    """Distinct words by bucket (a hash of their bytes), each list in the order given."""
     lists: list[list[str]] = [[] for _ in range(buckets)]
     crc = zlib.crc32
     for word in words:
         lists[crc(word.encode()) % buckets].append(word)
-    for part in lists:
-        part.sort()
     return lists
 
 

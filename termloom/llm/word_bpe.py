@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,13 +12,22 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._bytebpe import Remembered, special_tokens
-from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, pack, pack_words, quiet_tokenizers, slabs, split_words, tokenizer_path, unpack, unpack_words, with_replies
+from ._bytebpe import Library, Remembered, special_tokens
+from ._shared import CHUNK_BYTES, Scratch, WordNumbers, bucket_count, chunks, each_chunk, exchange, id_and_text, pack, pack_words, quiet_tokenizers, slabs, split_words, tokenizer_path, unpack, unpack_words, with_replies
 
-#: Characters on which the normaliser only lower-cases (and white space only separates): ASCII and precomposed Latin.
-PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-įı-ɏ]*+")
-#: The vocabulary's own split pattern.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters on which the normaliser only lower-cases (and white space only separates): ASCII, Latin-1 and
+#: Latin Extended-A but for one capital; and those of them that one byte of Latin-1 holds.
+PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-įı-ſ]*+")
+PLAIN_BYTES = bytes([*range(9, 14), *range(32, 127), *range(161, 256)])
+#: The vocabulary's split pattern for lower-cased plain text, with its classes of letters and numbers spelled out.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾a-zªµºß-öø-ſ]+")
+
+
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return PLAIN.fullmatch(text) is not None
 
 
 #: Larger chunks than elsewhere: a chunk asks for each of its words once.
@@ -41,17 +51,31 @@ class WordSplitter:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if PLAIN.fullmatch(text):
+        if is_plain(text):
             return WORD.findall(text.lower())
         whole = self.library.normalizer.normalize_str(text)
         return [whole[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(whole)]
 
 
-def code_ids(ids: list[list[int]]) -> bytes:
+def code_ids(flat: np.ndarray, lengths: np.ndarray) -> bytes:
     """Numbers of ids (one byte, 255 where more follow) and the ids."""
-    lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
     small = np.minimum(lengths, 255).astype(np.uint8)
-    return pack(small.tobytes() + lengths[small == 255].tobytes() + np.array([i for x in ids for i in x], np.uint16).tobytes())
+    return pack(small.tobytes() + lengths[small == 255].astype(np.uint32).tobytes() + flat.astype(np.uint16).tobytes())
+
+
+class IdTable:
+    """The ids of a bucket's distinct words, each encoded once, and replies cut from them."""
+
+    def __init__(self, library: Library, words: list[str], shown: list[str] | None = None) -> None:
+        self.flat, self.ends = library.encode(shown or words)
+        self.lengths = np.diff(self.ends, prepend=0)
+        self.number = {w: k for k, w in enumerate(words)}
+
+    def reply(self, words: list[str]) -> bytes:
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        lengths = self.lengths[which]
+        at = np.repeat(self.ends[which] - np.cumsum(lengths), lengths) + np.arange(int(lengths.sum()))
+        return code_ids(self.flat[at], lengths)
 
 
 def decode_ids(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,62 +109,58 @@ def _encode(docs: DataFrame, tokenizer: str | None, chunk_bytes: int, digest: bo
     table = chunks(scratch, id_and_text(docs), chunk_bytes)
     buckets = bucket_count(table)
 
-    def distinct(rows: pa.Table, splitter: WordSplitter) -> list[list[str]]:
-        found: set[str] = set()
-        for _, texts in slabs(rows):
-            for text in texts:
-                found.update(splitter.words(text))
-        return split_words(list(found.difference(splitter.special)), buckets)
+    def asked_words(numbers: WordNumbers, splitter: WordSplitter) -> list[list[str]]:
+        return split_words([w for w in numbers if w not in splitter.special], buckets)
 
     def ask(rows: pa.Table, _: int, __: dict[int, bytes]) -> Iterable[tuple[int, bytes]]:
-        return [(b, pack_words(words)) for b, words in enumerate(distinct(rows, WordSplitter(path))) if words]
+        splitter, numbers = WordSplitter(path), WordNumbers()
+        for _ids, texts in slabs(rows):
+            for text in texts:
+                numbers.see(splitter.words(text))
+        return [(b, pack_words(words)) for b, words in enumerate(asked_words(numbers, splitter)) if words]
 
     def answer(lists: list[bytes]) -> tuple[list[bytes], tuple[int, int]]:
-        from tokenizers import Tokenizer
-
-        quiet_tokenizers()
-        # Words are normalised and split already, so only the model (with its byte symbols) is left to apply.
-        bare = json.loads(open(path, encoding="utf-8").read())
-        bare["normalizer"], bare["added_tokens"] = None, []
-        bare["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        library = Tokenizer.from_str(json.dumps(bare))
         asked = [unpack_words(x) for x in lists]
         every = list(set().union(*asked))
-        ids: dict[str, list[int]] = {}
-        for at in range(0, len(every), 50_000):
-            part = every[at : at + 50_000]
-            ids.update(zip(part, (e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [code_ids([ids[w] for w in words]) for words in asked], (len(every), 0)
+        ids = IdTable(Library(path), every)
+        return [ids.reply(words) for words in asked], (len(every), 0)
 
     def finish(_: int, rows: pa.Table, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         splitter = WordSplitter(path)
         with open(path, encoding="utf-8") as file:
             symbols = {i: piece for piece, i in json.load(file)["model"]["vocab"].items()}
         symbols |= {i: s for s, i in splitter.special.items()}
-        remembered = Remembered(f"words {path}", 200_000)
-        known, old = remembered.turned()
+        numbers, parts = WordNumbers(), []
+        for docs_ids, texts in slabs(rows):
+            parts.append((docs_ids, [numbers.of(splitter.words(text)) for text in texts]))
+        known, old = Remembered(f"words {path}", 200_000).turned()
+        shown_ids, shown_pieces, sizes = ([""] * len(numbers) for _ in range(3))
         for word, i in splitter.special.items():
             known[word] = str(i), symbols[i], 1
-        for b, words in enumerate(distinct(rows, splitter)):
+            if word in numbers:
+                k = numbers[word]
+                shown_ids[k], shown_pieces[k], sizes[k] = known[word]
+        for b, words in enumerate(asked_words(numbers, splitter)):
             if not words:
                 continue
             flat, ends = decode_ids(replies[b], len(words))
-            flat, ends = flat.tolist(), ends.tolist()
-            for k, word in enumerate(words):
-                if word not in known:
+            flat, at = flat.tolist(), 0
+            for word, end, k in zip(words, ends.tolist(), numbers.of(words).tolist(), strict=True):
+                value = known.get(word)
+                if value is None:
                     value = old.get(word)
                     if value is None:
-                        ids = flat[ends[k - 1] if k else 0 : ends[k]]
+                        ids = flat[at:end]
                         value = " ".join(map(str, ids)), " ".join([symbols[i] for i in ids]), len(ids)
                     known[word] = value
-        for docs_ids, texts in slabs(rows):
-            counts, left, right = [], [], []
-            for text in texts:
-                words = splitter.words(text)
-                numbers, shown, sizes = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
-                counts.append(sum(sizes))
-                left.append(" ".join(numbers))
-                right.append(" ".join(shown))
+                shown_ids[k], shown_pieces[k], sizes[k] = value
+                at = end
+        sizes = np.array(sizes, np.int64)
+        for docs_ids, texts in parts:
+            counts = [int(sizes[own].sum()) for own in texts]
+            rows_ = [own.tolist() for own in texts]
+            left = [" ".join([shown_ids[k] for k in own]) for own in rows_]
+            right = [" ".join([shown_pieces[k] for k in own]) for own in rows_]
             if digest:
                 sha = [[hashlib.sha256(x.encode()).hexdigest() for x in side] for side in (left, right)]
                 arrays = [pa.array(docs_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sha[0]), pa.array(sha[1])]
