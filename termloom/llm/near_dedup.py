@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, spanning_roots
+from ._bytebpe import forget
 from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, marked, pack_sorted, shared_marks, split_hashes, unpack_sorted, with_replies
 
 MARK_BITS = 44
@@ -170,6 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, chunk_by
         return [(b, pack_sorted(part)) for b, part in split_hashes(distinct(chunk_sets(rows))[0], n, MARK_BITS)]
 
     def shared_sets(_: int, rows: pa.Table, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        forget()
         sets = chunk_sets(rows)
         every, twice = distinct(sets)
         twice |= marked(every, replies, buckets, MARK_BITS)

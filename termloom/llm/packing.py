@@ -69,7 +69,7 @@ def token_pieces(docs: DataFrame, size: int = 1024, tokenizer: str | None = None
         places: Counter = Counter()
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for ids, texts in slabs(batch):
+            for ids, texts in slabs(batch, 3 << 20):
                 pieces, counts = split.pieces(texts)
                 known = library.learn(pieces)
                 rows, at = [], 0

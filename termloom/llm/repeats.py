@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytebpe import forget
 from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, marked, pack, pack_sorted, shared_marks, split_hashes, unpack, with_replies
 
 ANCHOR_BITS = 44
@@ -134,6 +135,7 @@ class Windows:
     """The windows of a chunk's texts with their anchors."""
 
     def __init__(self, rows: pa.Table, size: int) -> None:
+        forget()
         ids = rows.column(0).to_pylist()
         self.ids = np.array([LAST_ID if i is None else i for i in ids], np.int64)
         parts = [(t or "").encode() for t in rows.column(1).to_pylist()]

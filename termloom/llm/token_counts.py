@@ -28,7 +28,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
         remembered = Remembered(f"counts {path}")
         count = lambda pieces: [1 if p in special else machine.tokens(p.encode()) for p in pieces]
         for batch in batches:
-            for ids, texts in slabs(batch):
+            for ids, texts in slabs(batch, 3 << 20):
                 pieces, counts = split.pieces(texts)
                 known = remembered.holding(pieces, count)
                 sums = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))])
