@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ._shared import SPACE, Scratch, id_and_text
 
-#: Bits of the quotient that choose a slice, and of the quotient within a slice.
-SLICE_BITS, RUN_BITS = 10, 8
+#: Bits of the quotient that choose a slice (at least; more from so many rows a slice on), and within a slice.
+SLICE_BITS, SLICE_ROWS, RUN_BITS = 10, 1 << 20, 8
 
 
 class CountingQuotientFilter:
@@ -100,8 +100,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     are grouped by the text itself, after partial aggregation in each task).
     """
     bare = F.translate("text", SPACE, "")
+    slice_bits = max(SLICE_BITS, (docs.count() // SLICE_ROWS).bit_length())
     rows = id_and_text(docs).select("doc_id", bare.alias("bare"), F.length("text").alias("points")).withColumn("fp", F.xxhash64("bare"))
-    often = repeated_fingerprints(rows).select("fp")
+    often = repeated_fingerprints(rows, slice_bits).select("fp")
     best = F.max(F.struct("points", (-F.col("doc_id")).alias("order"))).alias("best")
     groups = (
         rows.join(often, "fp")

@@ -17,6 +17,8 @@ from ._bytebpe import forget
 from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, marked, pack_sorted, shared_marks, split_hashes, unpack_sorted, with_replies
 
 MARK_BITS = 44
+#: Calls of the block search for each bucket of hashes: they grow with the corpus, their size does not.
+SHARES_A_BUCKET = 64
 #: Postings that are merged with a heap; more are merged by sorting, with the same result.
 HEAP_POSTINGS = 256
 
@@ -204,6 +206,7 @@ def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int
     """``id, root`` of the classes that have a link."""
     table = chunks(scratch, classes.select("class", "size", "shared"), 2 << 20, measure="shared")
     buckets = bucket_count(table)
+    shares = SHARES_A_BUCKET * buckets
 
     def opened(rows: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
         return rows.column(0).to_pylist(), rows.column(1).to_pylist(), [np.frombuffer(s, np.uint64) for s in rows.column(2).to_pylist()]
@@ -278,7 +281,7 @@ def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int
     homes = F.when(pivot & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     inside = placed.select("class", "cluster", F.explode(homes).alias("left"))
     content = classes.select("class", "size", "shared")
-    links = _search(scratch, inside.withColumn("right", F.lit(-1).cast("long")).withColumn("side", F.lit(0)), content, percent, "inside")
+    links = _search(scratch, inside.withColumn("right", F.lit(-1).cast("long")).withColumn("side", F.lit(0)), content, percent, "inside", shares)
 
     # What is left: clusters of several blocks that the links so far have not joined into one.
     wide = placed.where("blocks > 1").select("class", "cluster")
@@ -300,7 +303,7 @@ def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int
         sides = todo.select(F.explode(F.when(F.col("here") == F.col("there"), F.array(F.struct(F.col("here").alias("at"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("here").alias("at"), F.lit(0).alias("side")), F.struct(F.col("there").alias("at"), F.lit(1).alias("side"))))).alias("s"), F.col("here").alias("left"), F.when(F.col("here") != F.col("there"), F.col("there")).alias("right"))
         sides = sides.select("s.at", "s.side", "left", F.coalesce("right", F.lit(-1).cast("long")).alias("right"))
         across = named.join(sides, F.col("here") == F.col("at")).select("class", "cluster", "left", "right", "side")
-        links = links.union(_search(scratch, across, content, percent, "across"))
+        links = links.union(_search(scratch, across, content, percent, "across", shares))
         scratch.drop("wide", "pairs")
     found = scratch.write(components(scratch, links, "final").distinct(), "roots")
     scratch.drop("clusters", "inside", "across")
@@ -320,8 +323,11 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(lead)], ["hash", "class", "lead"])
 
 
-def _search(scratch: Scratch, placed: DataFrame, content: DataFrame, percent: int, name: str) -> DataFrame:
-    """``a, b``: a spanning set of the links that the searches of all blocks (or pairs of blocks) find."""
+def _search(scratch: Scratch, placed: DataFrame, content: DataFrame, percent: int, name: str, shares: int) -> DataFrame:
+    """``a, b``: a spanning set of the links that the searches of all blocks (or pairs of blocks) find.
+
+    Blocks are dealt to ``shares``, so that many small clusters make up one call.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         order = group.sort_by([("cluster", "ascending"), ("left", "ascending"), ("right", "ascending"), ("side", "ascending"), ("class", "ascending")])
@@ -340,7 +346,7 @@ def _search(scratch: Scratch, placed: DataFrame, content: DataFrame, percent: in
         empty = np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate(out_a or [empty]), pa.int64()), "b": pa.array(np.concatenate(out_b or [empty]), pa.int64())})
 
-    tasks = placed.withColumn("share", F.pmod(F.xxhash64("cluster", "left", "right"), F.lit(4096)))
+    tasks = placed.withColumn("share", F.pmod(F.xxhash64("cluster", "left", "right"), F.lit(shares)))
     rows = tasks.join(content, "class")
     return scratch.write(rows.groupBy("share").applyInArrow(run, "a long, b long").where("a != b"), name)
 
