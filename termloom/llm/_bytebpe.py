@@ -9,14 +9,12 @@ library's own pre-tokenizer, so they follow its Unicode tables.
 
 from __future__ import annotations
 
-import ctypes
 import functools
 import json
-import sys
 
 import numpy as np
 
-from ._shared import quiet_tokenizers
+from ._shared import quiet_tokenizers, release
 
 LETTER, STMD, RV, ELL, E, NUMBER, OTHER, QUOTE, BLANK, WHITE, END = range(11)
 CLASSES = 11
@@ -344,15 +342,14 @@ def forget() -> None:
     """Gives back what a worker remembers of pieces, for tasks of operators that have no use for it."""
     if any(map(any, _REMEMBERED.values())):
         _REMEMBERED.clear()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
 
 class PieceIds:
     """Ids of pieces by the library, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
-        self.library, self.special, self.remembered = Library(path), special_tokens(path), Remembered(f"ids {path}", 450_000)
+        self.library, self.special, self.remembered = Library(path), special_tokens(path), Remembered(f"ids {path}", 550_000)
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """A dictionary that holds at least these pieces."""

@@ -9,9 +9,11 @@ per chunk, so no key makes a bucket large, and nothing passes through the driver
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import math
 import os
+import sys
 import tempfile
 import uuid
 import zlib
@@ -86,6 +88,13 @@ def remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that idle workers don't hold what a large chunk took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(data: bytes, level: int = 3) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
@@ -152,6 +161,7 @@ def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, me
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        release()
 
         def close() -> pa.RecordBatch:
             nonlocal made, held, size
@@ -170,6 +180,7 @@ def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, me
                 at = stop
                 if size >= chunk_bytes or at < batch.num_rows:
                     yield close()
+            release()
         if held:
             yield close()
 
@@ -201,9 +212,12 @@ def exchange(table: DataFrame, buckets: int, ask: Ask, answer: Answer) -> DataFr
                 earlier = replies_of(batch.column(2)[k]) if has_replies else {}
                 rows = list(ask(unpack_table(payload.as_py()), buckets, earlier))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "chunk_id", "list"])
+                del rows
+                release()
 
     def answered(group: pa.Table) -> pa.Table:
         replies, (a, b), *more = answer(group.column("list").to_pylist())
+        release()
         ids, bucket = group.column("chunk_id").to_pylist() + [-1] * len(more), group.column("bucket")[0].as_py()
         rest = [0] * (len(ids) - 1)
         return pa.table({"chunk_id": pa.array(ids, pa.int64()), "bucket": pa.array([bucket] * len(ids), pa.int32()), "reply": pa.array(replies + more, pa.binary()), "total_a": pa.array([a, *rest], pa.int64()), "total_b": pa.array([b, *rest], pa.int64())})
@@ -229,6 +243,7 @@ def each_chunk(joined: DataFrame, finish: Callable[[int, pa.Table, dict[int, byt
         for batch in batches:
             for chunk, payload, replies in zip(*(batch.column(k) for k in range(3)), strict=True):
                 yield from finish(chunk.as_py(), unpack_table(payload.as_py()), replies_of(replies))
+                release()
 
     return joined.mapInArrow(run, schema)
 

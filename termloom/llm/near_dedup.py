@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, spanning_roots
 from ._bytebpe import forget
-from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, marked, pack_sorted, shared_marks, split_hashes, unpack_sorted, with_replies
+from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, marked, pack_sorted, release, shared_marks, split_hashes, unpack_sorted, with_replies
 
 MARK_BITS = 44
 #: Calls of the block search for each bucket of hashes: they grow with the corpus, their size does not.
@@ -343,6 +343,8 @@ def _search(scratch: Scratch, placed: DataFrame, content: DataFrame, percent: in
                 nodes, roots = spanning_roots(ids[a:b][q], ids[a:b][t])
                 out_a.append(nodes)
                 out_b.append(roots)
+        del order, sets
+        release()
         empty = np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate(out_a or [empty]), pa.int64()), "b": pa.array(np.concatenate(out_b or [empty]), pa.int64())})
 

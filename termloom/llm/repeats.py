@@ -8,7 +8,6 @@ collection whose suffix array is built column by column.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import tempfile
@@ -186,7 +185,6 @@ class Windows:
         return [self.buffer[a:b] for a, b in zip(low.tolist(), (low + count + self.size - 1).tolist(), strict=True)]
 
 
-@functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = np.uint64(0x9E3779B97F4A7C15 | 1)
     inverse = np.uint64(pow(int(base), -1, 1 << 64))
@@ -199,7 +197,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(data: np.ndarray, gram: int, window: int) -> np.ndarray:
     """For each position the least hash of the ``window`` strings of ``gram`` bytes from there on (garbage at the very end)."""
     n = len(data)
-    up, down = _powers(1 << max(16, n.bit_length()))
+    up, down = _powers(n + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
