@@ -32,7 +32,7 @@ def shingles(texts: list[str], words: int) -> list[np.ndarray]:
         flat = np.fromiter((digest(w) for s in split for w in s), np.uint64, sum(counts))
         runs = np.zeros(max(0, len(flat) - words + 1), np.uint64)
         for k in range(words):
-            runs = runs * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - words + 1 + k]
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + len(runs)]
         runs = _mixed(runs)
         out, at = [], 0
         for n in counts:

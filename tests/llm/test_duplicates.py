@@ -88,6 +88,17 @@ def test_near_duplicates_of_nothing(nothing):
     assert near_dedup.without_near_duplicates(nothing).columns == nothing.columns
 
 
+@pytest.mark.parametrize("n", range(8))
+def test_shingles_of_one_short_text(n):
+    (own,) = near_dedup.shingles([" ".join(f"w{k}" for k in range(n))], 5)
+    assert len(own) == (max(1, n - 4) if n else 0)
+
+
+def test_near_duplicates_of_one_text_of_three_words(spark):
+    one = spark.createDataFrame([(1, "just three words")], "doc_id long, text string")
+    assert [(r["doc_id"], r["component_id"], r["n_shingles"]) for r in near_dedup.near_duplicates(one).collect()] == [(1, 1, 1)]
+
+
 @pytest.mark.parametrize("heap", [0, 10**9])
 def test_occurrence_search_finds_all_links(monkeypatch, heap):
     monkeypatch.setattr(near_dedup, "HEAP_POSTINGS", heap)
