@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import math
 import zlib
 from collections import Counter
@@ -54,6 +55,19 @@ def test_windows_score_each_position_once():
     assert all(i == (0 if t in starts else t - 1) for i, t in zip(inputs[chosen].tolist(), token[chosen].tolist(), strict=True))
 
 
+def test_shipped_windows_overlap_by_half_and_the_model_has_its_size():
+    shipped = {k: p.default for k, p in inspect.signature(lm_scoring.score_documents).parameters.items()}
+    size, stride = shipped["window"], shipped["stride"]
+    lengths = np.array([3, size, size + 1, 400])
+    _, _, chosen, token = windows(np.arange(lengths.sum()), lengths, size, stride)
+    starts = np.repeat(np.cumsum(lengths) - lengths, np.maximum(0, -(-(lengths - size) // stride)) + 1)
+    seen = np.arange(size) + 1  # what a position is predicted from: the ids before it in its window and the start
+    least = np.where(chosen & (token - starts[:, None] >= size), seen, size).min()
+    assert least >= size // 2
+    model = AttentionModel.fresh(np.ones(shipped["kinds"]), size)
+    assert shipped["kinds"] >= 256 and model.width >= 32 and model.params["up"].shape[1] >= 64
+
+
 def test_training_learns_a_pattern():
     rng = np.random.default_rng(3)
     data = (np.arange(33)[None] + rng.integers(0, 8, (400, 1))) % 8
