@@ -68,6 +68,24 @@ def test_shipped_windows_overlap_by_half_and_the_model_has_its_size():
     assert shipped["kinds"] >= 256 and model.width >= 32 and model.params["up"].shape[1] >= 64
 
 
+def test_every_class_and_end_of_every_text_is_learned():
+    shipped = inspect.signature(lm_scoring.score_documents).parameters
+    parts, size = [np.arange(n) % 5 for n in (0, 1, 7, 40, 900)], np.array([1, 2, 1, 3, 1, 1])
+    kind = np.append(np.arange(1, 9), lm_scoring.END_CLASS)
+    _, _, _, flat, lengths = lm_scoring._sequences(parts, size, kind)
+    draw, rows = lm_scoring._examples(flat, lengths, np.arange(5, dtype=np.uint64), 32, shipped["every"].default)
+    targets, real = rows[:, 1:-1], np.arange(32) < rows[:, -1:]
+    assert targets[real].tolist() == flat.tolist() and (targets[real] == lm_scoring.END_CLASS).sum() == 5
+    assert (rows[:, 0] == 0).sum() == 5 and len(set(draw.tolist())) == len(draw)
+
+
+def test_short_texts_shape_the_scores(spark):
+    docs = spark.createDataFrame([(k, f"aa bb cc dd {'ee' if k % 2 else 'ff'}") for k in range(60)], "doc_id long, text string").coalesce(1)
+    longer = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, updates=120).collect()}
+    none = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, updates=0, every=1 << 31).collect()}
+    assert all(longer[k] > none[k] + 1 for k in longer)
+
+
 def test_training_learns_a_pattern():
     rng = np.random.default_rng(3)
     data = (np.arange(33)[None] + rng.integers(0, 8, (400, 1))) % 8
