@@ -106,6 +106,12 @@ def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touched_lines(tokens, demo.caption_lines(spark, sf_dir)).select("doc_id", "i", "line_no")
 
 
+def span_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``span_lines`` for every token: its SQL, which is given, names one token of fifty."""
+    tokens = _tokens(spark, sf_dir).select("doc_id", F.col("i"), "start", (F.col("end") + 60).alias("end"))
+    return touched_lines(tokens, demo.caption_lines(spark, sf_dir)).select("doc_id", "i", "line_no")
+
+
 def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.with_section(resolve.resolve_overlaps(_plain(spark, sf_dir))).select("doc_id", "term", "form", "start", "end")
     return reports.examples(touched_lines(rows, demo.caption_lines(spark, sf_dir))).select("doc_id", "term", "form", "example", "ts")
@@ -206,7 +212,7 @@ def evaluate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = (
     caption_lines, token_stream, sentence_windows, fold_text, html_clean, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
-    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
+    asof_line, span_lines, span_lines_whole, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
     fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts,
 )
 QUERIES = {f.__name__: f for f in _WORDS}

@@ -41,3 +41,13 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", ["resolved_annotations", "pending_forms", "review_stops", "local_decisions", "evaluate_counts"])
 def test_queries_without_sql_run(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_whole_span_lines_are_those_of_every_token(spark):
+    lines: dict = {}
+    for r in catalog.QUERIES["caption_lines"](spark, DATA).collect():
+        lines.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["line_no"]))
+    tokens = catalog.QUERIES["token_stream"](spark, DATA).collect()
+    want = sorted((t["doc_id"], t["i"], n) for t in tokens for start, end, n in lines[t["doc_id"]] if start < t["end"] + 60 and t["start"] < end)
+    got = sorted(map(tuple, catalog.QUERIES["span_lines_whole"](spark, DATA).select("doc_id", "i", "line_no").collect()))
+    assert got == want and {(d, i) for d, i, _ in got} == {(t["doc_id"], t["i"]) for t in tokens}
