@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -27,6 +28,8 @@ SIGNS = {
 SWAP, REPEAT, KEEP_SIGN = 1.5, 1.0, 6.0
 #: Letters of the longest word looked for within a run of spaced letters.
 PART_LENGTH = 16
+#: Letters of the longest disguise whose word is remembered.
+REMEMBERED_LENGTH = 60
 #: Log odds below which a feature is left out: in long texts weak ones would add up.
 LEAST_WEIGHT = 3.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,6 +37,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|€£])([ .\-_*~])(?:[^\W_]|[@$!|€£])(?:\1(?:[^\W_]|[@$!|€£])(?![^\W_]))+")
 #: Words in which a sign stands between or before letters.
 SIGNED = re.compile(r"[^\s]*[0-9@$!|+€£(*#][^\W\d_][^\s]*|[^\W\d_][0-9@$€£]+(?=\s|$)")
+#: What separators leave of a token: letters, digits and signs.
+PART = re.compile(r"(?:[^\W_]|[@$!|+€£(*#])+")
 #: Letters three times in a row.
 STRETCHED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 LETTER_BIT, SIGN_BIT, GAP_BIT = 1, 2, 4
@@ -119,7 +124,12 @@ def decode(noisy: str, model: CharacterModel) -> str:
     """
     runs = [(m.group(0)[0], len(m.group(0))) for m in re.finditer(r"(.)\1*", noisy, re.S)]
     paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for sign, n in runs:
+    done = ""
+    for at, (sign, n) in enumerate(runs):
+        if at % 32 == 31:  # what all paths begin with is settled, so that long texts aren't copied at each step
+            shared = len(os.path.commonprefix([text for _, text in paths.values()]))
+            done += next(iter(paths.values()))[1][:shared]
+            paths = {state: (cost, text[shared:]) for state, (cost, text) in paths.items()}
         arcs: dict[str, float] = {}
         for letter in (sign, *SIGNS.get(sign, "")):
             price = 0.0 if letter == sign and sign.isalpha() else KEEP_SIGN if letter == sign else SWAP
@@ -137,7 +147,7 @@ def decode(noisy: str, model: CharacterModel) -> str:
                 if known is None or (spent, text + out) < known:
                     following[now] = spent, text + out
         paths = following
-    return min((cost + model.cost(state, "$"), text) for state, (cost, text) in paths.items())[1]
+    return done + min((cost + model.cost(state, "$"), text) for state, (cost, text) in paths.items())[1]
 
 
 def disguised(text: str, mark: int = HAS_STRETCH | HAS_SIGN) -> list[str]:
@@ -145,10 +155,9 @@ def disguised(text: str, mark: int = HAS_STRETCH | HAS_SIGN) -> list[str]:
     found = []
     for m in SIGNED.finditer(text) if mark & HAS_SIGN else ():
         word = m.group(0).strip(".,;:?\"'()[]")
-        if len(word) <= 40 and any(c.isalpha() for c in word):
-            found.append(word)
+        found += [part for part in (word, *PART.findall(word)) if any(c.isalpha() for c in part)]
     if mark & HAS_STRETCH:
-        found += [m.group(0) for m in STRETCHED.finditer(text) if len(m.group(0)) <= 40]
+        found += [m.group(0) for m in STRETCHED.finditer(text)]
     return [w for w in dict.fromkeys(found) if len(w) > 1]
 
 
@@ -186,12 +195,14 @@ class ToxicityModel:
         return self.of_words(words)
 
     def restore(self, noisy: str) -> str:
-        """The likeliest word behind a disguise; very long runs stay as they are."""
+        """The likeliest word behind a disguise of any length; short ones are remembered."""
+        if len(noisy) > REMEMBERED_LENGTH:
+            return decode(noisy, self.letters)
         word = self.restored.get(noisy)
         if word is None:
             if len(self.restored) > 100_000:
                 self.restored.clear()
-            word = self.restored[noisy] = decode(noisy, self.letters) if len(noisy) <= 60 else noisy
+            word = self.restored[noisy] = decode(noisy, self.letters)
         return word
 
     def of_words(self, words: set[str]) -> float:

@@ -124,6 +124,15 @@ def test_disguises(text, found):
     assert toxicity.spaced_runs(text) + toxicity.disguised(text) == found
 
 
+ODD = toxicity.ToxicityModel(LETTERS, {"idiot$": 9.0, "moron$": 7.0})
+FAR = "/".join(["hello"] * 12)
+
+
+@pytest.mark.parametrize(("text", "evidence"), [("an idi" + "i" * 50 + "ot", 9), (f"{FAR}/1d10t/{FAR}/m0r0n", 16), (" ".join("hello" * 14 + "1d10t"), 9), ("the " + "z" * 4000 + " m0r0n", 7), ("hello/the/" * 9, 0)])
+def test_disguises_of_any_length_count(text, evidence):
+    assert ODD.evidence([text]) == [evidence]
+
+
 def test_toxicity_scores(spark, nothing, labels):
     filler = [f"alpha{k} beta gamma{k % 7} delta you" for k in range(300)]
     rows = [(k, t + (" moron" if k % 8 == 0 else " idiot" if k % 4 == 0 else "")) for k, t in enumerate(filler)]
