@@ -35,39 +35,42 @@ LEAST_WEIGHT = 3.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Runs of single letters or signs with the same separator between any two.
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|€£])([ .\-_*~])(?:[^\W_]|[@$!|€£])(?:\1(?:[^\W_]|[@$!|€£])(?![^\W_]))+")
-#: Words in which a sign stands between or before letters.
-SIGNED = re.compile(r"[^\s]*[0-9@$!|+€£(*#][^\W\d_][^\s]*|[^\W\d_][0-9@$€£]+(?=\s|$)")
 #: What separators leave of a token: letters, digits and signs.
 PART = re.compile(r"(?:[^\W_]|[@$!|+€£(*#])+")
-#: Letters three times in a row.
-STRETCHED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
-LETTER_BIT, SIGN_BIT, GAP_BIT = 1, 2, 4
+#: Signs before letters, and those that end a part (other signs there are punctuation).
+SIGNED = re.compile(r"[0-9@$!|+€£(*#][^\W\d_]|[^\W\d_][0-9@$€£]+[!|+(*#]*\Z")
+#: A letter twice in a row.
+DOUBLED = re.compile(r"([^\W\d_])\1")
+LETTER_BIT, SIGN_BIT, GAP_BIT, DIGIT_BIT, TAIL_BIT = 1, 2, 4, 8, 16
 HAS_STRETCH, HAS_SIGN, HAS_GAPS = 1, 2, 4
 
 
 @functools.cache
 def _bits() -> np.ndarray:
-    table = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
+    every = [chr(c) for c in range(0x110000)]
+    table = np.fromiter((LETTER_BIT * (c.isalnum() and not c.isdecimal()) | DIGIT_BIT * c.isdecimal() for c in every), np.uint8, 0x110000)
     for c in "0123456789@$!|+€£(*#":
         table[ord(c)] |= SIGN_BIT
+    for c in "0123456789@$€£":
+        table[ord(c)] |= TAIL_BIT
     for c in " .-_*~":
         table[ord(c)] |= GAP_BIT
     return table
 
 
 def marks(texts: list[str]) -> np.ndarray:
-    """Which disguises each lower-case text can hold, found for all texts at once."""
+    """Which disguises each lower-case text can hold, found for all texts at once: all that the expressions find, and more."""
     whole = "\n\n\n\n".join(["", *texts, ""])
     points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
     bits = _bits()[points]
     letter, sign, gap = bits & LETTER_BIT, bits & SIGN_BIT > 0, bits & GAP_BIT > 0
-    single = (letter > 0) | sign
+    single = (bits & (LETTER_BIT | DIGIT_BIT) > 0) | sign
     same = points[1:] == points[:-1]
     ends = np.cumsum(np.fromiter((len(t) + 4 for t in texts), np.int64, len(texts))) + 4
     out = np.zeros(len(texts), np.uint8)
-    stretched = same[:-1] & same[1:] & (letter[2:] > 0)
+    stretched = same & (letter[1:] > 0)
     signed = sign[:-1] & (letter[1:] > 0)
-    signed[:-1] |= (letter[:-2] > 0) & sign[1:-1] & np.isin(points[2:], (32, 10, 9, 13))
+    signed |= (letter[:-1] > 0) & (bits[1:] & TAIL_BIT > 0)
     spaced = single[:-4] & gap[1:-3] & single[2:-2] & gap[3:-1] & single[4:] & (points[1:-3] == points[3:-1])
     for found, bit in ((stretched, HAS_STRETCH), (signed, HAS_SIGN), (spaced, HAS_GAPS)):
         out[np.unique(np.searchsorted(ends, np.flatnonzero(found), "right"))] |= bit
@@ -152,15 +155,17 @@ def decode(noisy: str, model: CharacterModel) -> str:
 
 def disguised(text: str, mark: int = HAS_STRETCH | HAS_SIGN) -> list[str]:
     """The words of a lower-case text whose lattice has more than one path."""
-    found = []
-    for m in SIGNED.finditer(text) if mark & HAS_SIGN else ():
-        word = m.group(0).strip(".,;:?\"'()[]")
-        found += [part for part in (word, *PART.findall(word)) if any(c.isalpha() for c in part)]
+    found = [part.strip("()") for part in PART.findall(text) if SIGNED.search(part)] if mark & HAS_SIGN else []
     if mark & HAS_STRETCH:
-        found += [m.group(0) for m in STRETCHED.finditer(text)]
+        found += [w for w in WORD.findall(text) if DOUBLED.search(w)]
     return [w for w in dict.fromkeys(found) if len(w) > 1]
 
 
+def collapsed(word: str) -> str:
+    """Every run of a letter once."""
+    return "".join(a for a, b in zip(word, "\0" + word, strict=False) if a != b)
+
+
 def spaced_runs(text: str) -> list[str]:
     """Runs of spaced letters of a lower-case text without their separators."""
     return list(dict.fromkeys(m.group(0)[::2] for m in SPACED.finditer(text)))
@@ -174,10 +179,13 @@ class ToxicityModel:
     weights: dict[str, float]
     slope: float = 1.0
     shift: float = 0.0
+    #: Words with doubled letters that the labelled rows know as clean ones: no disguises.
+    known: frozenset[str] = frozenset()
     restored: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.starts = {f.rstrip("$")[:4] for f in self.weights}
+        self.bare_starts = {collapsed(f) for f in self.starts}
 
     def evidence(self, texts: list[str]) -> list[float]:
         """The evidence of each text. Only texts that can hold a disguise are searched for one."""
@@ -187,13 +195,20 @@ class ToxicityModel:
     def _of(self, text: str, mark: int) -> float:
         words = set(WORD.findall(text))
         if mark:
-            words.update(map(self.restore, disguised(text, mark)))
+            words.update(self.restore(w) for w in disguised(text, mark) if self.can_count(w))
         for run in spaced_runs(text) if mark & HAS_GAPS else ():
             # A run can hold more than one word, so its parts are words too.
             whole = self.restore(run)
             words.update(whole[a : a + n] for a in range(len(whole)) for n in range(3, min(PART_LENGTH, len(whole) - a) + 1))
         return self.of_words(words)
 
+    def can_count(self, noisy: str) -> bool:
+        """Whether what is behind a disguise can have weight: signs stand for other letters, repetition only for the same."""
+        if noisy in self.known:
+            return False
+        bare = collapsed(noisy) if noisy.isalpha() else ""
+        return not bare or any(bare[:k] in self.bare_starts for k in range(1, 5))
+
     def restore(self, noisy: str) -> str:
         """The likeliest word behind a disguise of any length; short ones are remembered."""
         if len(noisy) > REMEMBERED_LENGTH:
@@ -272,8 +287,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     doubt = 1.5 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5)) * (F.col("clean") > 0).cast("int")
     strong = seen.withColumn("weight", F.log(odds) - doubt).where(f"weight > {LEAST_WEIGHT}").orderBy(F.desc(F.col("weight") * F.least(F.col("kinds"), F.lit(50))), "key").limit(most_words)
     weights = {r["key"][1:]: r["weight"] for r in strong.collect()}
+    # Of the words that clean rows hold, those whose doubled letters could otherwise be taken for a disguise.
+    bare = sorted({collapsed(f.rstrip("$")[:4]) for f in weights})
+    word = F.regexp_replace("key", r"^w|\$$", "")
+    single = F.regexp_replace(word, r"(.)\1+", "$1")
+    clean = counts.where("key like 'w%$' and clean > toxic").where(word.rlike(r"(.)\1")).where(F.arrays_overlap(F.array(*(F.substring(single, 1, k) for k in range(1, 5))), F.lit(bare or [""])))
+    known = frozenset(r["word"] for r in clean.select(word.alias("word")).collect())
     counts.unpersist()
-    model = ToxicityModel(CharacterModel(grams), weights)
+    model = ToxicityModel(CharacterModel(grams), weights, known=known)
     model.slope, model.shift = _curve(rows, model, positives, negatives)
     return model
 

@@ -133,6 +133,25 @@ def test_disguises_of_any_length_count(text, evidence):
     assert ODD.evidence([text]) == [evidence]
 
 
+@pytest.mark.parametrize(("text", "evidence"), [("an idio7", 9), ("an idio7, really", 9), ("(m0r0n)", 7), ("an iddioott", 9), ("moronn", 7), ("hello little better $5 and 7", 0)])
+def test_last_signs_and_doubled_letters_count(text, evidence):
+    assert ODD.evidence([text]) == [evidence]
+
+
+def test_known_clean_words_are_no_disguises():
+    known = toxicity.ToxicityModel(LETTERS, {"idiot$": 9.0}, known=frozenset(["iddiott"]))
+    assert known.evidence(["an iddiott", "an iddioott"]) == [0, 9]
+
+
+def test_marks_hold_all_that_is_found():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab²٣½5$!(é. -_\n日"), rng.integers(1, 9))) for _ in range(4000)]
+    for text, mark in zip(texts, toxicity.marks(texts).tolist(), strict=True):
+        assert mark & toxicity.HAS_SIGN or not toxicity.disguised(text, toxicity.HAS_SIGN)
+        assert mark & toxicity.HAS_STRETCH or not toxicity.disguised(text, toxicity.HAS_STRETCH)
+        assert mark & toxicity.HAS_GAPS or not toxicity.spaced_runs(text)
+
+
 def test_toxicity_scores(spark, nothing, labels):
     filler = [f"alpha{k} beta gamma{k % 7} delta you" for k in range(300)]
     rows = [(k, t + (" moron" if k % 8 == 0 else " idiot" if k % 4 == 0 else "")) for k, t in enumerate(filler)]
