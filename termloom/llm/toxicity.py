@@ -230,13 +230,42 @@ class ToxicityModel:
         return [1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * e + self.shift)))) for e in self.evidence(texts)]
 
 
+def letter_counts(docs: DataFrame, most_held: int = 200_000) -> dict[str, int]:
+    """Trigrams of the words of all documents, a word once per document; a task counts before it sends,
+    whenever it holds ``most_held`` words and at its end."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        words: Counter = Counter()
+
+        def sums() -> pa.RecordBatch:
+            grams: Counter = Counter()
+            for w, n in words.items():
+                for g in trigrams(w):
+                    grams[g] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+
+        for batch in batches:
+            for _, texts in slabs(batch):
+                for text in texts:
+                    words.update(set(WORD.findall(text.lower())))
+                    if len(words) >= most_held:
+                        yield sums()
+        yield sums()
+        release()
+
+    rows = id_and_text(docs).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r["gram"]: r["n"] for r in rows.collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_labelled: int = 20_000, most_words: int = 4_000, support: int = 4) -> ToxicityModel:
     """Learns from at most ``most_labelled`` labelled rows, those whose id has the smallest checksum.
 
     A word counts for a class once per document, and documents that resemble each other (one smallest word
     hash) count together, so that the other words of a toxic text with many copies don't look toxic. At
-    most ``most_words`` words are kept, those with the strongest evidence, and the letters of all words of
-    the sample make the character model.
+    most ``most_words`` words are kept, those with the strongest evidence. The letters of the words of all
+    documents, labelled or not, make the character model.
     """
     spark = docs.sparkSession
     wanted = F.crc32(F.col("labelled").cast("string")) % modulus != held_out
@@ -250,13 +279,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         tally: dict[str, list] = {}
-        letters: Counter = Counter()
         for batch in batches:
             for toxic, texts in slabs(batch):
                 for t, text in zip(toxic, texts, strict=True):
                     words = set(WORD.findall(text.lower()))
                     kind = min((zlib.crc32(w.encode()) for w in words), default=0)
-                    letters.update(w for w in words if len(w) <= 40)
                     for w in {f for word in words for f in features(word)}:
                         own = tally.setdefault(w, [0, 0, None])
                         own[t == 1] += 1
@@ -264,21 +291,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
                             own[2] = own[2] or set()
                             if len(own[2]) < 64:
                                 own[2].add(kind)
-        grams: Counter = Counter()
-        for w, n in letters.items():
-            for g in trigrams(w):
-                grams[g] += n
         names = ["key", "clean", "toxic", "kinds"]
-        items = [(f"w{w}", a, b, sorted(k or ())) for w, (a, b, k) in tally.items()] + [(f"g{g}", n, 0, []) for g, n in grams.items()]
+        items = [(f"w{w}", a, b, sorted(k or ())) for w, (a, b, k) in tally.items()]
         for at in range(0, len(items), 20_000):
             part = list(zip(*items[at : at + 20_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.list_(pa.int64()))], names)
-        del tally, items, letters, grams
+        del tally, items
         release()
 
     counts = rows.mapInArrow(count, "key string, clean long, toxic long, kinds array<long>").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
     counts = counts.persist()
-    grams = {r["key"][1:]: r["clean"] for r in counts.where("key like 'g%'").orderBy(F.desc("clean"), "key").limit(100_000).collect()}
+    grams = letter_counts(docs)
     seen = counts.where(f"key like 'w%' and kinds >= {support}")
     positives = sum(t == 1 for _, t in sample)
     negatives = len(sample) - positives

@@ -152,6 +152,15 @@ def test_marks_hold_all_that_is_found():
         assert mark & toxicity.HAS_GAPS or not toxicity.spaced_runs(text)
 
 
+def test_letters_come_from_all_documents(spark):
+    rows = [(k, f"alpha beta Gamma{'x' * (k % 50)}") for k in range(200)] + [(None, "жизнь alpha alpha"), (900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(g for _, t in rows for w in set(toxicity.WORD.findall((t or "").lower())) for g in toxicity.trigrams(w))
+    assert toxicity.letter_counts(docs) == toxicity.letter_counts(docs, most_held=3) == want
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, marks).letters.three == want
+
+
 def test_toxicity_scores(spark, nothing, labels):
     filler = [f"alpha{k} beta gamma{k % 7} delta you" for k in range(300)]
     rows = [(k, t + (" moron" if k % 8 == 0 else " idiot" if k % 4 == 0 else "")) for k, t in enumerate(filler)]
