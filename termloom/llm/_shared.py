@@ -151,9 +151,9 @@ def slabs(batch: pa.RecordBatch | pa.Table, limit: int = 2 << 20) -> Iterator[tu
         at = stop
 
 
-def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, measure: str = "text") -> DataFrame:
+def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, measure: str = "text", shaped: Callable[[pa.Table], pa.Table] = lambda rows: rows) -> DataFrame:
     """Writes the rows as ``chunk_id, n_bytes, payload``: compressed Arrow tables of ``chunk_bytes`` of the
-    column ``measure``.
+    column ``measure``, each in the form that ``shaped`` gives it.
 
     Written once, so that every later pass sees the same chunks whatever the order of the input's rows; in
     buckets of ``chunk_id``, so that the texts aren't shuffled when replies join them.
@@ -165,7 +165,7 @@ def chunks(scratch: Scratch, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, me
 
         def close() -> pa.RecordBatch:
             nonlocal made, held, size
-            row = {"chunk_id": [task << 32 | made], "n_bytes": [size], "payload": [pack_table(pa.Table.from_batches(held))]}
+            row = {"chunk_id": [task << 32 | made], "n_bytes": [size], "payload": [pack_table(shaped(pa.Table.from_batches(held)))]}
             made, held, size = made + 1, [], 0
             return pa.RecordBatch.from_pydict(row, schema=shape)
 

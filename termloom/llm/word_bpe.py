@@ -59,6 +59,8 @@ class WordSplitter:
 
 def code_ids(flat: np.ndarray, lengths: np.ndarray) -> bytes:
     """Numbers of ids (one byte, 255 where more follow) and the ids."""
+    if len(flat) and int(flat.max()) >= 1 << 16:
+        raise ValueError("ids of more than 16 bits")
     small = np.minimum(lengths, 255).astype(np.uint8)
     return pack(small.tobytes() + lengths[small == 255].astype(np.uint32).tobytes() + flat.astype(np.uint16).tobytes())
 

@@ -1,101 +1,127 @@
 from __future__ import annotations
 
-import inspect
+import itertools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from termloom.llm import lm_scoring, toxicity
-from termloom.llm._attention import AttentionModel, windows
+from termloom.llm._attention import BLOCK, AttentionModel, Symbols, blocks
+from termloom.llm._shared import pack
+from termloom.llm.word_bpe import code_ids
+
+
+def small_model(kinds: int = 20, members: int = 4, seed: int = 0) -> AttentionModel:
+    rng = np.random.default_rng(seed)
+    symbols = Symbols(rng.integers(0, 50, 30), rng.random(30) < 0.5, 5, kinds, members)
+    return AttentionModel.fresh(symbols, 6, 8, seed)
+
+
+def drawn(model: AttentionModel, n: int, seed: int = 1) -> np.ndarray:
+    return np.random.default_rng(seed).choice(np.flatnonzero(model.symbols.frequency >= 0), (n, BLOCK))
 
 
 def test_gradients():
-    rng = np.random.default_rng(0)
-    model = AttentionModel.fresh(rng.random(20) * 10, 6, 8, 2, 12)
-    model.params = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.1 for k, v in model.params.items()}
-    model.mask = model.mask.astype(np.float64)
-    inputs, targets, real = rng.integers(0, 20, (3, 6)), rng.integers(0, 20, (3, 6)), rng.random((3, 6)) > 0.3
-    _, gradients = model.gradients(inputs, targets, real)
+    rng, model = np.random.default_rng(0), small_model()
+    model.params = {k: v.astype(np.float64) + np.where(v > -1e8, rng.standard_normal(v.shape) * 0.1, 0) for k, v in model.params.items()}
+    inputs, targets, real = drawn(model, 4), drawn(model, 4, 2), rng.random((4, BLOCK)) > 0.3
+    fresh = np.array([True, False, True, False])
+    _, gradients = model.gradients(inputs, fresh, targets, real)
     for name, value in model.params.items():
         flat = value.ravel()
         for j in rng.integers(0, flat.size, 4):
             old = flat[j]
             flat[j] = old + 1e-5
-            up = model.gradients(inputs, targets, real)[0]
+            up = model.gradients(inputs, fresh, targets, real)[0]
             flat[j] = old - 1e-5
-            down = model.gradients(inputs, targets, real)[0]
+            down = model.gradients(inputs, fresh, targets, real)[0]
             flat[j] = old
             assert (up - down) / 2e-5 == pytest.approx(gradients[name].ravel()[j], abs=1e-6)
 
 
 def test_scoring_is_the_trained_function_and_sums_to_one():
-    rng = np.random.default_rng(1)
-    model = AttentionModel.fresh(rng.random(12), 5, 8)
-    inputs = np.repeat(rng.integers(0, 12, (1, 5)), 12, 0)
-    targets = np.tile(np.arange(12)[:, None], 5)
-    logs = model.log_probabilities(inputs, targets, np.arange(60)).reshape(12, 5)
-    assert np.exp(logs).sum(0) == pytest.approx(np.ones(5), abs=1e-4)
-    loss, _ = model.gradients(inputs, targets, np.ones((12, 5), bool))
+    model = small_model()
+    every = np.flatnonzero(model.symbols.frequency >= 0)
+    inputs = np.tile(drawn(model, 3), (len(every), 1))
+    fresh = np.arange(len(inputs)) % 3 == 0
+    targets = np.repeat(every, 3)[:, None] + np.zeros((1, BLOCK), np.int64)
+    logs, begun = model.log_probabilities(inputs, fresh, targets, most=4 * BLOCK)
+    logs = logs.reshape(len(every), 3, BLOCK)
+    assert np.exp(logs.astype(np.float64)).sum(0) == pytest.approx(np.ones((3, BLOCK)), abs=1e-4)
+    starts = model.symbols.begins[every // model.symbols.members]
+    assert np.exp(logs[starts].astype(np.float64)).sum(0).ravel() == pytest.approx(np.exp(begun[: 3 * BLOCK]), abs=1e-4)
+    loss, _ = model.gradients(inputs, fresh, targets, np.ones(inputs.shape, bool))
     assert -logs.mean() == pytest.approx(loss, abs=1e-4)
     later = inputs.copy()
-    later[:, 3:] = 0  # what comes later changes nothing
-    assert np.allclose(model.log_probabilities(later, targets, np.arange(60)).reshape(12, 5)[:, :3], logs[:, :3], atol=1e-5)
+    later[:, 5:] = every[0]  # what comes later changes nothing
+    again, _ = model.log_probabilities(later, fresh, targets)
+    assert np.allclose(again.reshape(len(every), 3, BLOCK)[:, 0, :5], logs[:, 0, :5], atol=1e-5)
 
 
-def test_windows_score_each_position_once():
-    lengths = np.array([0, 1, 5, 32, 33, 56, 57, 400])
-    flat = np.arange(lengths.sum())
-    inputs, targets, chosen, token = windows(flat, lengths, 32, 24)
-    assert sorted(token[chosen].tolist()) == flat.tolist()
-    assert (targets[chosen] == token[chosen]).all()
+def test_blocks_score_each_position_once_with_half_a_window_before():
+    lengths = np.array([0, 1, 5, 32, 33, 56, 64, 400])
+    flat = np.arange(lengths.sum()) + 1
+    inputs, fresh, targets, real, token = blocks(flat, lengths, 0)
+    assert (token[real] == np.arange(len(flat))).all() and (targets[real] == flat).all()
     starts = set((np.cumsum(lengths) - lengths).tolist())
-    assert all(i == (0 if t in starts else t - 1) for i, t in zip(inputs[chosen].tolist(), token[chosen].tolist(), strict=True))
-
-
-def test_shipped_windows_overlap_by_half_and_the_model_has_its_size():
-    shipped = {k: p.default for k, p in inspect.signature(lm_scoring.score_documents).parameters.items()}
-    size, stride = shipped["window"], shipped["stride"]
-    lengths = np.array([3, size, size + 1, 400])
-    _, _, chosen, token = windows(np.arange(lengths.sum()), lengths, size, stride)
-    starts = np.repeat(np.cumsum(lengths) - lengths, np.maximum(0, -(-(lengths - size) // stride)) + 1)
-    seen = np.arange(size) + 1  # what a position is predicted from: the ids before it in its window and the start
-    least = np.where(chosen & (token - starts[:, None] >= size), seen, size).min()
-    assert least >= size // 2
-    model = AttentionModel.fresh(np.ones(shipped["kinds"]), size)
-    assert shipped["kinds"] >= 256 and model.width >= 32 and model.params["up"].shape[1] >= 64
-
-
-def test_every_class_and_end_of_every_text_is_learned():
-    shipped = inspect.signature(lm_scoring.score_documents).parameters
-    parts, size = [np.arange(n) % 5 for n in (0, 1, 7, 40, 900)], np.array([1, 2, 1, 3, 1, 1])
-    kind = np.append(np.arange(1, 9), lm_scoring.END_CLASS)
-    _, _, _, flat, lengths = lm_scoring._sequences(parts, size, kind)
-    draw, rows = lm_scoring._examples(flat, lengths, np.arange(5, dtype=np.uint64), 32, shipped["every"].default)
-    targets, real = rows[:, 1:-1], np.arange(32) < rows[:, -1:]
-    assert targets[real].tolist() == flat.tolist() and (targets[real] == lm_scoring.END_CLASS).sum() == 5
-    assert (rows[:, 0] == 0).sum() == 5 and len(set(draw.tolist())) == len(draw)
-
-
-def test_short_texts_shape_the_scores(spark):
-    docs = spark.createDataFrame([(k, f"aa bb cc dd {'ee' if k % 2 else 'ff'}") for k in range(60)], "doc_id long, text string").coalesce(1)
-    longer = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, updates=120).collect()}
-    none = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, updates=0, every=1 << 31).collect()}
-    assert all(longer[k] > none[k] + 1 for k in longer)
+    assert all(i == (0 if t in starts else t) for i, t in zip(inputs[real].tolist(), token[real].tolist(), strict=True))
+    assert fresh.sum() == (lengths > 0).sum()
+    model = small_model()
+    x = drawn(model, 2)
+    before = model.log_probabilities(x, np.array([True, False]), x)[0][BLOCK:]
+    x[0, 1] = x[0, 0] + (x[0, 0] == x[0, 1])
+    assert (model.log_probabilities(x, np.array([True, False]), x)[0][BLOCK:] != before).any()
 
 
 def test_training_learns_a_pattern():
+    symbols = Symbols(np.ones(9, np.int64), np.arange(9) % 2 == 0, 5, 9, 4)
+    ids = symbols.of[np.arange(9)]
     rng = np.random.default_rng(3)
-    data = (np.arange(33)[None] + rng.integers(0, 8, (400, 1))) % 8
-    model = AttentionModel.fresh(np.ones(8), 32)
-    losses = model.train(data[:, :-1], data[:, 1:], np.ones((400, 32), bool), 150)
+    data = ids[(np.arange(BLOCK + 1)[None] + rng.integers(0, 8, (1200, 1))) % 8]
+    model = AttentionModel.fresh(symbols)
+    rest = (data[:, :-1], np.ones(1200, bool), data[:, 1:], np.ones((1200, BLOCK), bool))
+    losses = model.train(*rest, updates=150, batch=64)
     assert losses[-1] < 0.3 < losses[0]
+    held = model.params["qkv"].copy()
+    model.train(*rest, through=False)
+    assert (model.params["qkv"] == held).all()
+
+
+def chunk_of(texts: list[str], counts: dict[str, int]) -> tuple[lm_scoring.Lookup, AttentionModel, np.ndarray]:
+    """A chunk whose words are their letters, a blank in front (id 0); the other ids are a to h."""
+    rows = lm_scoring.numbered(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
+    words = rows.column("words")[0].as_py().decode().split("\n")
+    ids = [[0, *(ord(c) - 96 for c in w)] for w in words]
+    head = code_ids(np.concatenate(ids), np.array([len(i) for i in ids]))
+    reply = len(head).to_bytes(8, "little") + head + pack(np.array([counts.get(w, 0) for w in words], np.uint64).tobytes())
+    symbols = Symbols(np.arange(9)[::-1].copy() * 3, np.arange(9) == 0, 4, 9, 4)
+    firsts = np.zeros(9, np.int64)
+    firsts[0] = sum(counts.values())
+    return lm_scoring.Lookup(rows, {0: reply}, 1, 4), AttentionModel.fresh(symbols), firsts
+
+
+def test_chances_of_next_words_sum_to_at_most_one():
+    counts = {"ab": 5, "abc": 2, "b": 7}
+    words = ["".join(w) for n in (1, 2, 3) for w in itertools.product("abcdefgh", repeat=n)]
+    texts = [f"ab b {w}" for w in words] + ["ab b"]
+    chunk, model, firsts = chunk_of(texts, counts)
+    rng = np.random.default_rng(5)
+    model = model.filled(model.flat() + np.where(model.flat() > -1e8, rng.standard_normal(len(model.flat())) * 0.3, 0))
+    mixture = lm_scoring.Mixture(chunk, model, firsts, sum(counts.values()) + 4)
+    (_, per_row, which), *more = chunk.slabs(np.ones(len(texts), bool))
+    assert not more
+    parts, _ = mixture.parts(per_row, which)
+    third = np.cumsum(per_row) - per_row + 2
+    sums = np.exp(parts[:, third]).sum(1)
+    assert (sums <= 1.0001).all() and sums[1:3] == pytest.approx([1, 1], abs=1e-4) and sums[0] > 0.2
 
 
 def test_scores(docs, corpus, nothing):
-    got = lm_scoring.score_documents(docs, updates=40, every=1, chunk_bytes=20_000).collect()
+    got = lm_scoring.score_documents(docs, updates=40, chunk_bytes=20_000).collect()
     counts: Counter = Counter()
     for i, t in corpus:
         if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
@@ -111,6 +137,15 @@ def test_scores(docs, corpus, nothing):
     assert lm_scoring.score_documents(nothing).count() == 0
 
 
+def test_shipped_scores_beat_the_base_on_held_out_rows_and_stay_finite(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(10_000_000 + k, f"{'qz' * 10_000} {k}") for k in range(30)], "doc_id long, text string")
+    got = lm_scoring.score_documents(rows.union(odd)).toPandas()
+    assert np.isfinite(got.score).all() and got.held_out[got.doc_id >= 10_000_000].any()
+    held = got[got.held_out & (got.doc_id < 10_000_000)]
+    assert held.score.sum() > held.base_score.sum()
+
+
 LETTERS = toxicity.CharacterModel(Counter(g for w in ["idiot", "moron", "worthless", "scum", "little", "better", "hello", "the", "and", "this"] * 20 for g in toxicity.trigrams(w)))
 
 
