@@ -10,6 +10,7 @@ per chunk, so no key makes a bucket large, and nothing passes through the driver
 from __future__ import annotations
 
 import ctypes
+import functools
 import itertools
 import math
 import os
@@ -95,6 +96,21 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@functools.cache
+def one_thread() -> None:
+    """Keeps numpy's products on this worker's own core: Spark's tasks are the parallelism, and products of narrow
+    matrices gain nothing from threads."""
+    if sys.platform != "linux":
+        return
+    with open("/proc/self/maps") as maps:
+        found = {line.split()[-1] for line in maps if "openblas" in line and line.rstrip().endswith(".so")}
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def pack(data: bytes, level: int = 3) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
