@@ -40,11 +40,31 @@ def test_bounds_spare_distances():
     centres = rng.standard_normal((20, 16)) * 5000
     vectors = np.floor(np.repeat(centres, 60, 0) + rng.standard_normal((1200, 16)) * 50)
     tree = metric_tree.MetricTree(np.arange(1200), vectors, page=32)
-    found, computed = tree.search(vectors[7], 7, 5)
-    scores = vectors @ vectors[7]
-    want = sorted(((int(scores[i]), -i) for i in range(1200) if i != 7), reverse=True)[:5]
-    assert found == [(s, -i) for s, i in want]
-    assert computed < 900
+    asked = np.arange(0, 1200, 50)
+    scores, found, computed = tree.search(vectors[asked], asked, 5)
+    every = vectors[asked] @ vectors.T
+    for q, own in enumerate(asked.tolist()):
+        want = sorted(((int(every[q, i]), -i) for i in range(1200) if i != own), reverse=True)[:5]
+        assert list(zip(scores[q].tolist(), (-found[q]).tolist(), strict=True)) == want
+    assert computed < 0.5 * len(asked) * 1200
+    # What another tree already found spares more, and nothing below it comes back.
+    least = scores[:, 4] + 1
+    again, _, fewer = tree.search(vectors[asked], asked, 5, least)
+    assert fewer < computed and ((again >= least[:, None]) | (again == metric_tree.NONE)).all()
+    assert ((again > metric_tree.NONE).sum(1) == (scores >= least[:, None]).sum(1)).all()
+
+
+def test_vectors_of_other_dimensions_have_neighbours_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.standard_normal(3 if k % 3 else 5).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = set()
+    for i, q in rows:
+        if i % 50 == 0:
+            q = [math.floor(256 * x) for x in q]
+            scored = sorted((-sum(a * math.floor(256 * b) for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i and len(v) == len(q))
+            want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])}
+    assert {tuple(r) for r in metric_tree.nearest(df, tree_size=40, query_block=2).select("query_id", "rank", "vec_id", "score").collect()} == want
 
 
 def test_fewer_candidates_than_asked(spark):
