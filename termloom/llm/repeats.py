@@ -9,8 +9,6 @@ collection whose suffix array is built column by column.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,23 +31,16 @@ class ColumnwiseSuffixArray:
     Round j inserts the suffix of length j of every string: its symbol is written into the collection's
     Burrows-Wheeler transform beside the suffix of length j - 1, and its place among the suffixes with the
     same first symbol is the number of equal symbols before that in the transform. The common prefix with
-    its neighbours is one more than the least one between the two equal symbols. Transform and common
-    prefixes are files that each round reads and writes front to back.
+    its neighbours is one more than the least one between the two equal symbols. Each round reads transform and
+    common prefixes front to back and writes them anew. A collection is bounded, so they are held in memory: a
+    folder of one machine would be lost with it, and a Python worker can't write to the shared one.
     """
 
-    def __init__(self, strings: list[bytes], folder: str | None = None) -> None:
+    def __init__(self, strings: list[bytes]) -> None:
         if strings and max(map(len, strings)) > 254:
             raise ValueError("strings of at most 254 bytes")
-        with tempfile.TemporaryDirectory(dir=folder) as self.folder:
-            self._build(strings)
-            self.lcp = self._read("lcp")
-            self._name_suffixes(np.fromiter(map(len, strings), np.int64, len(strings)))
-
-    def _read(self, column: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, column), np.uint8)
-
-    def _write(self, column: str, values: np.ndarray) -> None:
-        values.tofile(os.path.join(self.folder, column))
+        self._build(strings)
+        self._name_suffixes(np.fromiter(map(len, strings), np.int64, len(strings)))
 
     def _build(self, strings: list[bytes]) -> None:
         n = len(strings)
@@ -63,11 +54,10 @@ class ColumnwiseSuffixArray:
         code = np.zeros(256, np.uint8)
         code[used] = np.arange(1, len(used) + 1)
         place = np.arange(n, dtype=np.int64)
-        self._write("bwt", np.zeros(n, np.uint8))
-        self._write("lcp", np.zeros(n, np.uint8))
+        self.bwt, self.lcp = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
         for j in range(1, int(sizes.max(initial=0)) + 1):
             active = np.flatnonzero(sizes >= j)
-            bwt, lcp = self._read("bwt"), self._read("lcp")
+            bwt, lcp = self.bwt, self.lcp
             at = place[active]
             symbol = code[text[ends[active] - j]]
             bwt[at] = symbol
@@ -85,19 +75,18 @@ class ColumnwiseSuffixArray:
             new_lcp[before] = least(low, high) + 1
             old = np.ones(len(bwt) + len(at), bool)
             old[target] = False
-            out = np.zeros(len(old), np.uint8)
-            out[old] = bwt
-            self._write("bwt", out)
-            out[old] = lcp
-            out[target[follow] + 1] = least(next_low, next_high) + 1
-            out[target] = new_lcp
-            self._write("lcp", out)
+            self.bwt = np.zeros(len(old), np.uint8)
+            self.bwt[old] = bwt
+            self.lcp = np.zeros(len(old), np.uint8)
+            self.lcp[old] = lcp
+            self.lcp[target[follow] + 1] = least(next_low, next_high) + 1
+            self.lcp[target] = new_lcp
             place[active] = target
 
     def _name_suffixes(self, sizes: np.ndarray) -> None:
         """String and length of every suffix: from a string's empty suffix, each step through the transform
         leads to the suffix that is one symbol longer."""
-        bwt = self._read("bwt")
+        bwt = self.bwt
         order = np.argsort(bwt, kind="stable")
         unset = int((bwt == 0).sum())
         longer = np.empty(len(bwt), np.int64)
