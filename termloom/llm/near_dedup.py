@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterable, Iterator
 
@@ -19,8 +18,9 @@ from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exc
 MARK_BITS = 44
 #: Calls of the block search for each bucket of hashes: they grow with the corpus, their size does not.
 SHARES_A_BUCKET = 64
-#: Postings that are merged with a heap; more are merged by sorting, with the same result.
-HEAP_POSTINGS = 256
+#: A shingle of more classes than this is met in 16 salted parts first.
+COMMON_POSTINGS = 4096
+SALTS = 16
 
 
 def shingles(texts: list[str], words: int) -> list[np.ndarray]:
@@ -73,7 +73,7 @@ class OccurrenceIndex:
         """Members whose overlap with ``own`` (of a set of ``size``) reaches ``percent`` of the union.
 
         A member that small sets allow must be in at least T lists. The L longest lists are set aside, the
-        short ones are merged, and members in at least T - L of them are looked up in the long ones by
+        short ones are merged (as runs of a merge sort; a heap gives the same counts, one posting at a time), and members in at least T - L of them are looked up in the long ones by
         binary search.
         """
         need = math.ceil(percent * size / 100)
@@ -106,17 +106,12 @@ class OccurrenceIndex:
         return member[count >= wanted]
 
     def _merged(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members of the lists in order and in how many each is."""
+        """Members of the lists in order and in how many each is: a natural merge of the lists, which are the
+        runs of a stable sort."""
         parts = [self.members[a:b] for a, b in zip(self.low[lists].tolist(), self.high[lists].tolist(), strict=True)]
-        if sum(map(len, parts)) > HEAP_POSTINGS:
-            return np.unique(np.concatenate(parts), return_counts=True)
-        found: list[list[int]] = []
-        for m in heapq.merge(*(p.tolist() for p in parts)):
-            if found and found[-1][0] == m:
-                found[-1][1] += 1
-            else:
-                found.append([m, 1])
-        return np.array([m for m, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+        every = np.sort(np.concatenate([*parts, self.members[:0]]), kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        return every[first], np.diff(first, append=len(every))
 
 
 def links_between(sets: list[np.ndarray], sizes: np.ndarray, queries: np.ndarray, targets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +127,7 @@ def links_between(sets: list[np.ndarray], sizes: np.ndarray, queries: np.ndarray
     return np.concatenate(left or [empty]), np.concatenate(right or [empty])
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int = CHUNK_BYTES, block: int = 300, pivots: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int = CHUNK_BYTES, block: int = 300, pivots: int = 24, common: int = COMMON_POSTINGS) -> DataFrame:
     """``doc_id, n_shingles, component_id``: a row per row, with the smallest id its links reach.
 
     Rows link when their sets of distinct word shingles have a Jaccard similarity of at least ``percent``
@@ -191,7 +186,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, chunk_by
     least = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     classes = sets.where("shared is not null").groupBy("print").agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("n_shingles", "shared"), least).alias("set"))
     classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("class"), "print", "least_id", F.col("set.n_shingles").alias("size"), F.col("set.shared").alias("shared")), "classes")
-    root = _link_classes(scratch, classes, percent, block, pivots)
+    root = _link_classes(scratch, classes, percent, block, pivots, common)
     named = classes.select("class", "print", "least_id").join(root, F.col("class") == F.col("id"), "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component"))
     by_print = named.select("print", "root").join(names, "root").select("print", "component")
@@ -202,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, chunk_by
     return result
 
 
-def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int, pivots: int) -> DataFrame:
+def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int, pivots: int, common: int) -> DataFrame:
     """``id, root`` of the classes that have a link."""
     table = chunks(scratch, classes.select("class", "size", "shared"), 2 << 20, measure="shared")
     buckets = bucket_count(table)
@@ -236,41 +231,45 @@ def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int
         ids, sizes, sets = opened(rows)
         every, _count = counted(sets)
         total = np.concatenate([np.frombuffer(replies[b], np.uint32) for b, _ in split_hashes(every, buckets, 64)]) if len(every) else np.zeros(0, np.uint32)
-        left, right = [], []
+        left, right, salt = [], [], []
         for i, n, own in zip(ids, sizes, sets, strict=True):
             often = total[np.searchsorted(every, own)]
             shared, often = own[often > 1], often[often > 1]
             # The order is by frequency, then hash; shingles of this class alone come first and match nothing.
             take = n - math.ceil(percent * n / 100) + 1 - (n - len(shared))
             if take > 0:
-                first = shared[np.lexsort((shared, often))[:take]]
-                left.append(first)
+                first = np.lexsort((shared, often))[:take]
+                left.append(shared[first])
                 right.append(np.full(len(first), i))
+                salt.append(np.where(often[first] > common, i % SALTS, -1))
         if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left).view(np.int64)), pa.array(np.concatenate(right), pa.int64())], ["hash", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left).view(np.int64)), pa.array(np.concatenate(salt), pa.int32()), pa.array(np.concatenate(right), pa.int64())], ["hash", "salt", "class"])
 
     counts = exchange(table, buckets, ask_counts, answer_counts)
-    postings = each_chunk(with_replies(table, counts), prefixes, "hash long, class long")
+    postings = each_chunk(with_replies(table, counts), prefixes, "hash long, salt int, class long")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links each class to the least one with the same hash, within the task's share of hashes."""
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        """Links the classes that share a hash, within the task's share of hashes: an edge a class at most (with
+        a null hash). What is left of a salted hash is its least class here, beside the hash."""
+        held = [tuple(b.column(c).to_numpy() for c in ("hash", "salt", "class")) for b in batches]
         if held:
-            hashes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((ids, hashes))
-            hashes, ids = hashes[order], ids[order]
-            start = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            hashes, salts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            del held
+            order = np.lexsort((ids, salts, hashes))
+            hashes, salts, ids = hashes[order], salts[order], ids[order]
+            start = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (salts[1:] != salts[:-1])])
             lead = ids[np.maximum.accumulate(np.where(start, np.arange(len(ids)), 0))]
             nodes, roots = spanning_roots(ids, lead)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
+            apart = nodes != roots
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(apart.sum()), pa.int64()), pa.array(nodes[apart]), pa.array(roots[apart])], ["hash", "a", "b"])
+            salted = start & (salts >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[salted]), pa.array(ids[salted]), pa.array(ids[salted])], ["hash", "a", "b"])
 
-    # One row per class and hash in a task at most, and a hash's rows are as many as it has classes: salt the
-    # common ones by meeting first within (hash, salt), then among the leads.
-    first = postings.repartition(buckets, "hash", (F.col("class") % 16)).mapInArrow(_leads, "hash long, class long, lead long")
+    # Postings are dealt once; of a common hash, parts meet first, then their least classes.
+    first = postings.repartition(buckets, "hash", "salt").mapInArrow(stars, "hash long, a long, b long")
     first = scratch.write(first, "leads")
-    edges = first.select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct().union(
-        first.select("hash", F.col("lead").alias("class")).distinct().repartition(buckets, "hash").mapInArrow(stars, "a long, b long")
-    )
+    rest = first.where("hash is not null").select("hash", F.lit(-1).alias("salt"), F.col("a").alias("class")).repartition(buckets, "hash").mapInArrow(stars, "hash long, a long, b long")
+    edges = first.where("hash is null").union(rest).select("a", "b")
     cluster = scratch.write(components(scratch, edges, "cluster").distinct().select(F.col("id").alias("class"), F.col("root").alias("cluster")), "clusters")
     scratch.drop("leads", "chunks")
 
@@ -310,19 +309,6 @@ def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int
     return found
 
 
-def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with the least class of its hash among the task's rows with the same salt."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if held:
-        hashes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        salt = ids % 16
-        order = np.lexsort((ids, salt, hashes))
-        hashes, ids, salt = hashes[order], ids[order], salt[order]
-        start = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (salt[1:] != salt[:-1])])
-        lead = ids[np.maximum.accumulate(np.where(start, np.arange(len(ids)), 0))]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(lead)], ["hash", "class", "lead"])
-
-
 def _search(scratch: Scratch, placed: DataFrame, content: DataFrame, percent: int, name: str, shares: int) -> DataFrame:
     """``a, b``: a spanning set of the links that the searches of all blocks (or pairs of blocks) find.
 

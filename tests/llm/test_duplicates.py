@@ -72,11 +72,11 @@ def near_classes(sets):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize(("block", "pivots"), [(300, 24), (6, 2)])
-def test_near_duplicates(docs, corpus, block, pivots):
+@pytest.mark.parametrize(("block", "pivots", "common"), [(300, 24, 4096), (6, 2, 2)])
+def test_near_duplicates(docs, corpus, block, pivots, common):
     sets = shingle_sets(corpus)
     classes = near_classes(sets)
-    got = near_dedup.near_duplicates(docs, chunk_bytes=8000, block=block, pivots=pivots).collect()
+    got = near_dedup.near_duplicates(docs, chunk_bytes=8000, block=block, pivots=pivots, common=common).collect()
     assert len(got) == len(corpus)
     for r in got:
         if r["doc_id"] is not None:
@@ -99,9 +99,7 @@ def test_near_duplicates_of_one_text_of_three_words(spark):
     assert [(r["doc_id"], r["component_id"], r["n_shingles"]) for r in near_dedup.near_duplicates(one).collect()] == [(1, 1, 1)]
 
 
-@pytest.mark.parametrize("heap", [0, 10**9])
-def test_occurrence_search_finds_all_links(monkeypatch, heap):
-    monkeypatch.setattr(near_dedup, "HEAP_POSTINGS", heap)
+def test_occurrence_search_finds_all_links():
     rng = np.random.default_rng(2)
     base = rng.choice(5000, (6, 60), replace=False).astype(np.uint64)
     sets = []
