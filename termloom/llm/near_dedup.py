@@ -185,7 +185,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, chunk_by
 
     least = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     classes = sets.where("shared is not null").groupBy("print").agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("n_shingles", "shared"), least).alias("set"))
-    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("class"), "print", "least_id", F.col("set.n_shingles").alias("size"), F.col("set.shared").alias("shared")), "classes")
+    # In buckets of the class, so that the sets aren't shuffled when the searches join them.
+    classes = classes.select(F.monotonically_increasing_id().alias("class"), "print", "least_id", F.col("set.n_shingles").alias("size"), F.col("set.shared").alias("shared"))
+    classes = scratch.write_bucketed(classes, "classes", "class")
     root = _link_classes(scratch, classes, percent, block, pivots, common)
     named = classes.select("class", "print", "least_id").join(root, F.col("class") == F.col("id"), "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component"))
