@@ -9,6 +9,7 @@ from termloom.functions.languages import Language
 from termloom.functions.text import collapse, normalize
 from termloom.operators.resolve import applied, resolve_overlaps
 from termloom.schemas import GOLD_COLUMNS, GOLD_STATUSES
+from termloom.session import settled
 from termloom.sources.captions import touched_lines
 
 
@@ -32,9 +33,10 @@ def score(annotations: DataFrame, lines: DataFrame, gold: DataFrame, language: L
     """
     key = lambda c: collapse(normalize(F.col(c), language))
     kept = applied(resolve_overlaps(annotations)).withColumn("a_id", F.struct("start", "end")).withColumn("a_key", key("original"))
-    on_line = touched_lines(kept.select("doc_id", "start", "end", "a_id", "a_key", "term", "kind", "original"), lines)
+    # Read by every part below, so written once.
+    on_line = settled(touched_lines(kept.select("doc_id", "start", "end", "a_id", "a_key", "term", "kind", "original"), lines), "on_line")
     at = on_line.select("doc_id", F.col("ts").alias("timestamp"), "a_id", "a_key", F.col("term").alias("a_term"), "kind", "line_no", F.col("original").alias("a_original"))
-    rows = gold.withColumn("wrong_key", key("wrong")).withColumn("correct_key", key("correct"))
+    rows = settled(gold.withColumn("wrong_key", key("wrong")).withColumn("correct_key", key("correct")), "gold")
     covers = F.col("a_key").contains(F.col("wrong_key")) | F.col("wrong_key").contains(F.col("a_key"))
     met = rows.join(at, ["doc_id", "timestamp"]).where(covers)
     touched = met.where("status = 'manter' and kind = 'correction'").select("doc_id", "row_no", "timestamp", "wrong", F.col("a_original").alias("original"), F.col("a_term").alias("term")).distinct()
@@ -49,7 +51,7 @@ def score(annotations: DataFrame, lines: DataFrame, gold: DataFrame, language: L
     used = F.when(F.col("status") == "alias", F.when(~substituted, F.col("name"))).otherwise(F.col("fix"))
     scored = scored.withColumn("substituting", F.when(substituted, F.col("any_fix"))).withColumn("used", used)
     outcome = F.when(substituted, "substituted").when(F.col("used").isNull(), "miss").when(F.col("status") == "alias", "recognized").otherwise("hit")
-    scored = scored.withColumn("outcome", outcome)
+    scored = settled(scored.withColumn("outcome", outcome), "scored")
     fixes = on_line.where("kind = 'correction'")
     bad = scored.where("substituting is not null").select("doc_id", F.col("substituting").alias("a_id")).distinct()
     good = scored.where("used is not null").select("doc_id", F.col("used").alias("a_id")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -18,9 +19,12 @@ from termloom.schemas import (
     APPLY_AT, BROADCAST_ROWS, MARK_AT, MAX_LENGTH_GAP, MIN_FUZZY_LENGTH, MIN_SKELETON, NEAR_SECONDS, NEAR_TOKENS,
     PHONETIC_AT, PHONETIC_NGRAMS, VARIANT_APPLY_AT,
 )
+from termloom.session import settled
 from termloom.sources.packs import Pack, spaced
 
 OUTPUT = ("doc_id", "start", "end", "original", "replacement", "term", "rule", "kind", "band", "score", "pack_version")
+#: Characters of a cell of text in which spans look for spans that they overlap.
+CELL = 256
 
 
 def small(table: DataFrame, rows: int) -> DataFrame:
@@ -49,8 +53,10 @@ def unit_hits(transcripts: DataFrame, rules: tuple[UnitRule, ...]) -> DataFrame:
                 for pattern, new, term in patterns:
                     for m in pattern.finditer(text):
                         a, b = m.span()
-                        if all(b <= s or e <= a for s, e in taken):
-                            taken.append((a, b))
+                        # Taken spans are in order and apart, so only the neighbours can overlap.
+                        at = bisect.bisect_left(taken, (a, b))
+                        if (not at or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                            taken.insert(at, (a, b))
                             out.append((doc, a, b, m.group(), m.expand(new), term))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "start", "end", "original", "replacement", "term"])
@@ -192,8 +198,11 @@ def phonetic(every_window: DataFrame, taken: DataFrame, pack: Pack) -> DataFrame
     single = best.where("n = 1").select("doc_id", F.col("i").alias("k"), F.col("ratio").alias("alone"))
     weak = best.where("n = 2").withColumn("k", F.explode(F.array(F.col("i"), F.col("i") + 1))).join(single, ["doc_id", "k"]).where("ratio <= alone").select("doc_id", "i", "n").distinct()
     best = best.join(weak, ["doc_id", "i", "n"], "left_anti")
-    spans = taken.where("band in ('high', 'medium')").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    free = best.join(spans, "doc_id", "left").where(F.col("taken").isNull() | ~F.exists("taken", lambda t: (t["start"] < F.col("end")) & (t["end"] > F.col("start"))))
+    # Overlaps by cells of the text: each side stands in the cells that it touches.
+    cells = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))).alias("cell")
+    spans = taken.where("band in ('high', 'medium')").select("doc_id", cells, F.col("start").alias("from"), F.col("end").alias("to"))
+    touched = best.select("doc_id", "i", "n", "start", "end", cells).join(spans, ["doc_id", "cell"]).where((F.col("from") < F.col("end")) & (F.col("to") > F.col("start"))).select("doc_id", "i", "n").distinct()
+    free = best.join(touched, ["doc_id", "i", "n"], "left_anti")
     rejected = _rejected(pack)
     return free.where(~rejected(F.col("folded"), F.col("term"))).select("doc_id", "i", "n", "start", "end", "term", F.col("ratio").cast("int").alias("score"), "folded")
 
@@ -221,22 +230,23 @@ def in_context(found: DataFrame, spans: DataFrame, tokens: DataFrame, lines: Dat
     table = small(spark.createDataFrame(rows, "term string, form string, context array<string>, unless_near array<string>, by_name boolean"), len(rows))
     wanted = sorted({x for c, u in conditions.values() for x in (*c, *u)})
     places = occurrences(spans.where(F.col("term").isin(wanted)))
-    totals = places.groupBy("doc_id").agg(F.collect_list(F.struct("term", "i")).alias("places"))
     marked = found.join(table, (found["term"] == table["term"]) & F.when(found["rule"] == "term:phonetic", table["by_name"]).otherwise(found["form"] == table["form"]), "left").select(found["*"], "context", "unless_near")
-    marked = marked.join(totals, "doc_id", "left")
-    places_ = F.coalesce("places", F.array().cast("array<struct<term:string,i:int>>"))
-    count = F.size(F.filter(places_, lambda p: F.array_contains(F.col("context"), p["term"])))
-    # A term that a context names twice counts twice.
-    count = F.aggregate(F.coalesce("context", F.array().cast("array<string>")), F.lit(0), lambda acc, c: acc + F.size(F.filter(places_, lambda p: p["term"] == c)))
     timed = _token_seconds(tokens, lines)
-    nearby = F.lit(False)
     if timed is not None:
-        seconds = timed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "sec"))).alias("seconds"), F.bool_and(F.col("sec").isNotNull()).alias("timed"))
-        marked = marked.join(seconds, "doc_id", "left")
-        at = lambda k: F.try_element_at("seconds", k)
-        close = lambda p: F.when(F.col("timed"), F.abs(at(p["i"]) - at(F.col("i"))) <= NEAR_SECONDS).otherwise(F.abs(p["i"] - F.col("i")) <= NEAR_TOKENS)
+        # Only the tokens of places and of annotations get their seconds.
+        timed = settled(timed, "seconds")
+        whole = timed.groupBy("doc_id").agg(F.bool_and(F.col("sec").isNotNull()).alias("timed"))
+        places = places.join(timed, ["doc_id", "i"], "left")
+        marked = marked.join(timed.withColumnRenamed("sec", "own_sec"), ["doc_id", "i"], "left").join(whole, "doc_id", "left")
+        close = lambda p: F.when(F.col("timed"), F.abs(p["sec"] - F.col("own_sec")) <= NEAR_SECONDS).otherwise(F.abs(p["i"] - F.col("i")) <= NEAR_TOKENS)
     else:
+        places = places.withColumn("sec", F.lit(None).cast("int"))
         close = lambda p: F.abs(p["i"] - F.col("i")) <= NEAR_TOKENS
+    totals = places.groupBy("doc_id").agg(F.collect_list(F.struct("term", "i", "sec")).alias("places"))
+    marked = marked.join(totals, "doc_id", "left")
+    places_ = F.coalesce("places", F.array().cast("array<struct<term:string,i:int,sec:int>>"))
+    # A term that a context names twice counts twice.
+    count = F.aggregate(F.coalesce("context", F.array().cast("array<string>")), F.lit(0), lambda acc, c: acc + F.size(F.filter(places_, lambda p: p["term"] == c)))
     nearby = F.exists(F.filter(places_, lambda p: F.array_contains(F.col("unless_near"), p["term"])), close)
     free = F.col("context").isNull()
     asked = ~free & F.col("band").isin("high", "medium") & ((count == 1) | F.coalesce(nearby, F.lit(False)))
@@ -262,7 +272,7 @@ def find_annotations(transcripts: DataFrame, pack: Pack, lines: DataFrame | None
     texts = transcripts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tokens = tokenize(texts, pack.language)
     every_window = windows(tokens, pack.language, exact_fold=any(f.exact for f in pack.forms))
-    found = reached(every_window, pack).persist()
+    found = settled(reached(every_window, pack), "reached")
     spans = exact_spans(found)
     rejected = _rejected(pack)
     units = unit_hits(texts, pack.language.units)

@@ -35,8 +35,13 @@ def run_catalog(sources: DataFrame) -> DataFrame:
     rank = F.when(F.col("source") == "meta", 0).when(F.col("source") == "header", 1).otherwise(2)
     best = Window.partitionBy("run_id").orderBy(rank)
     rows = sources.withColumn("k", F.row_number().over(best)).where("k = 1").select("run_id", "source", iso_date(F.col("date")).alias("date"), "title")
-    order = Window.orderBy(F.coalesce(F.nullif("date", F.lit("")), F.lit("9999")), "run_id")
-    return rows.withColumn("place", F.row_number().over(order))
+    # Places count up over days and the beginnings of names; only those totals, a bounded number, meet in one task.
+    rows = rows.withColumn("day", F.coalesce(F.nullif("date", F.lit("")), F.lit("9999"))).withColumn("part", F.substring("run_id", 1, 2))
+    before = Window.orderBy("day", "part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("day", "part").agg(F.count(F.lit(1)).alias("n")).select("day", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("day", "part").orderBy("run_id")
+    placed = rows.withColumn("k", F.row_number().over(within)).join(totals, ["day", "part"])
+    return placed.select("run_id", "source", "date", "title", (F.col("earlier") + F.col("k")).cast("int").alias("place"))
 
 
 def base_code(code: Column) -> Column:

@@ -59,8 +59,8 @@ def inflected_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.find_annotations(demo.unit_captions(spark, sf_dir), demo.plain_pack())
-    return found.where("rule = 'unit'").select("doc_id", "start", "end", "original", "replacement", "term", "band")
+    found = match.unit_hits(demo.unit_captions(spark, sf_dir), demo.plain_pack().language.units)
+    return found.select("doc_id", "start", "end", "original", "replacement", "term", F.lit("high").alias("band"))
 
 
 def annotation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +102,7 @@ def asof_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir).where("i % 50 = 0").select("doc_id", F.col("i"), "start", (F.col("end") + 60).alias("end"))
-    return touched_lines(tokens, demo.caption_lines(spark, sf_dir)).select("doc_id", "i", "line_no")
-
-
-def span_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``span_lines`` for every token: its SQL, which is given, names one token of fifty."""
+    """Every token, lengthened by 60 characters, with the lines that it touches."""
     tokens = _tokens(spark, sf_dir).select("doc_id", F.col("i"), "start", (F.col("end") + 60).alias("end"))
     return touched_lines(tokens, demo.caption_lines(spark, sf_dir)).select("doc_id", "i", "line_no")
 
@@ -162,11 +157,6 @@ def _runs(orders: DataFrame) -> DataFrame:
 
 
 def run_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.run_catalog(_runs(demo.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")))
-
-
-def run_catalog_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``run_catalog`` of all orders: its SQL, which is given, names those of status P."""
     return registry.run_catalog(_runs(demo.table(spark, sf_dir, "orders")))
 
 
@@ -186,7 +176,7 @@ def watch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def local_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve.resolve_overlaps(_full(spark, sf_dir))
-    chosen = found.where("band in ('ask', 'low') and start % 2 = 0").select("doc_id", "term", F.col("original").alias("form")).distinct()
+    chosen = found.where("band = 'ask'").select("doc_id", "term", F.col("original").alias("form")).distinct()
     return resolve.apply_local(found, chosen).select("doc_id", "start", "end", "term", "rule", "kind", "band", "score")
 
 
@@ -219,7 +209,7 @@ def evaluate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = (
     caption_lines, token_stream, sentence_windows, fold_text, html_clean, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
-    asof_line, span_lines, span_lines_whole, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, form_collisions, registry_choice, version_compare, run_catalog, run_catalog_whole, track_choice, watch_links, local_decisions, full_annotations,
+    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
     fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts,
 )
 QUERIES = {f.__name__: f for f in _WORDS}
@@ -337,15 +327,15 @@ ORACLES: dict[str, str] = {
     "frequent_terms": f"""WITH {_FOUND}, c AS (SELECT doc_id, term, count(*)::BIGINT AS n FROM found GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)::INT AS place FROM c)
             SELECT * FROM r WHERE place <= 2""",
     "rendered_lines": f"""WITH {_FOUND}, fixes AS (SELECT doc_id, p, term FROM found WHERE kind = 'correction'), whole AS (
-            SELECT m.doc_id, m.pos, CASE WHEN f.term IS NULL THEN m.piece ELSE m.head || f.term || m.tail END AS piece
+            SELECT m.doc_id, m.pos, length(m.piece) AS room, f.term IS NOT NULL AS fixed, CASE WHEN f.term IS NULL THEN m.piece ELSE m.head || f.term || m.tail END AS piece
             FROM marked m LEFT JOIN fixes f ON m.doc_id = f.doc_id AND m.p = f.p
         ), parts AS (
-            SELECT l.doc_id, l.line_no, l.ts, string_agg(CASE WHEN w.pos >= l.start AND w.pos + length(w.piece) <= l."end" OR length(trim(w.piece)) > 0 AND w.pos >= l.start THEN w.piece
-                   ELSE substr(w.piece, greatest(1, l.start - w.pos + 1)::BIGINT, (least(length(w.piece), l."end" - w.pos) - greatest(1, l.start - w.pos + 1) + 1)::BIGINT) END, '' ORDER BY w.pos) AS text
-            FROM lines l JOIN whole w ON l.doc_id = w.doc_id AND w.pos < l."end" AND w.pos + length(w.piece) > l.start GROUP BY l.doc_id, l.line_no, l.ts
+            SELECT l.doc_id, l.line_no, l.ts, string_agg(CASE WHEN w.fixed THEN w.piece
+                   ELSE substr(w.piece, greatest(1, l.start - w.pos + 1)::BIGINT, (least(w.room, l."end" - w.pos) - greatest(1, l.start - w.pos + 1) + 1)::BIGINT) END, '' ORDER BY w.pos) AS text
+            FROM lines l JOIN whole w ON l.doc_id = w.doc_id AND w.pos < l."end" AND w.pos + w.room > l.start GROUP BY l.doc_id, l.line_no, l.ts
         ) SELECT doc_id, line_no, ts, trim(text) AS text FROM parts""",
     "asof_line": f"""WITH {_FOUND} SELECT f.doc_id, f.start, f.term, l.line_no, l.ts FROM found f ASOF JOIN lines l ON f.doc_id = l.doc_id AND f.start >= l.start""",
-    "span_lines": f"""WITH {_TOKENS} SELECT t.doc_id, t.i, l.line_no FROM tokens t JOIN lines l ON t.doc_id = l.doc_id AND l.start < t."end" + 60 AND t.start < l."end" WHERE t.i % 50 = 0""",
+    "span_lines": f"""WITH {_TOKENS} SELECT t.doc_id, t.i, l.line_no FROM tokens t JOIN lines l ON t.doc_id = l.doc_id AND t.start < l."end" AND l.start < t."end" + 60""",
     "top_examples": f"""WITH {_FOUND}, r AS (SELECT f.doc_id, f.term, f.original AS form, l.ts, row_number() OVER (PARTITION BY f.doc_id, f.term, f.original ORDER BY f.start, l.line_no)::INT AS example
             FROM found f JOIN lines l ON f.doc_id = l.doc_id AND l.start < f."end" AND f.start < l."end") SELECT * FROM r WHERE example <= 3""",
     "rolling_dedupe": """WITH c AS (SELECT user_id::VARCHAR AS doc_id, event_type AS line, floor(epoch(ts))::BIGINT AS s, event_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS cue_no FROM events),
@@ -362,7 +352,7 @@ ORACLES: dict[str, str] = {
     "version_compare": f"""WITH {_INDEX} SELECT position, version, v[1]::INT AS major, v > [1, 4, 0]::BIGINT[] AS later, v[1]::VARCHAR || '.' || v[2]::VARCHAR || '.' || (v[3] + 1)::VARCHAR AS bumped, is_held AS too_old FROM held""",
     "run_catalog": """WITH s AS (
             SELECT o_custkey::VARCHAR AS run_id, o_orderkey % 3 AS rank, ['meta', 'header', 'annotations'][(o_orderkey % 3 + 1)::INT] AS source,
-                   max(CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS date, min(o_orderpriority) AS title FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL
+                   max(CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS date, min(o_orderpriority) AS title FROM orders GROUP BY ALL
         ), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank) AS n FROM s)
         SELECT run_id, source, date, title, row_number() OVER (ORDER BY coalesce(date, '9999'), run_id)::INT AS place FROM k WHERE n = 1""",
     "track_choice": """WITH t AS (

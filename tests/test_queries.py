@@ -43,17 +43,17 @@ def test_queries_without_sql_run(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
-def test_whole_span_lines_are_those_of_every_token(spark):
+def test_span_lines_are_those_of_every_token(spark):
     lines: dict = {}
     for r in catalog.QUERIES["caption_lines"](spark, DATA).collect():
         lines.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["line_no"]))
     tokens = catalog.QUERIES["token_stream"](spark, DATA).collect()
     want = sorted((t["doc_id"], t["i"], n) for t in tokens for start, end, n in lines[t["doc_id"]] if start < t["end"] + 60 and t["start"] < end)
-    got = sorted(map(tuple, catalog.QUERIES["span_lines_whole"](spark, DATA).select("doc_id", "i", "line_no").collect()))
+    got = sorted(map(tuple, catalog.QUERIES["span_lines"](spark, DATA).select("doc_id", "i", "line_no").collect()))
     assert got == want and {(d, i) for d, i, _ in got} == {(t["doc_id"], t["i"]) for t in tokens}
 
 
-def test_whole_run_catalog_has_the_runs_of_all_orders(spark, duck):
+def test_run_catalog_has_the_runs_of_all_orders(spark, duck):
     best: dict = {}
     for key, customer, date, title in duck.sql("SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority FROM orders").fetchall():
         own = best.setdefault(str(customer), {}).setdefault(key % 3, [None, title])
@@ -61,5 +61,5 @@ def test_whole_run_catalog_has_the_runs_of_all_orders(spark, duck):
         own[1] = min(own[1], title)
     rows = [(run, ("meta", "header", "annotations")[min(kinds)], *kinds[min(kinds)]) for run, kinds in best.items()]
     rows.sort(key=lambda r: (r[2] or "9999", r[0]))
-    got = catalog.QUERIES["run_catalog_whole"](spark, DATA).select("run_id", "source", "date", "title", "place").collect()
+    got = catalog.QUERIES["run_catalog"](spark, DATA).select("run_id", "source", "date", "title", "place").collect()
     assert sorted(got, key=lambda r: r["place"]) == [(*r, k + 1) for k, r in enumerate(rows)]
