@@ -139,9 +139,9 @@ def test_scores(docs, corpus, nothing):
 
 def test_shipped_scores_beat_the_base_on_held_out_rows_and_stay_finite(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    odd = spark.createDataFrame([(10_000_000 + k, f"{'qz' * (10_000 if k == 6 else 100)} {k}") for k in range(14)], "doc_id long, text string")
+    odd = spark.createDataFrame([(10_000_000 + k, f"{'qz' * (10_000 if k == 1 else 100)} {k}") for k in range(14)], "doc_id long, text string")
     got = lm_scoring.score_documents(rows.union(odd)).toPandas()
-    assert zlib.crc32(b"10000006") % 7 == 2 and np.isfinite(got.score).all()
+    assert zlib.crc32(b"10000001") % 7 == 2 and np.isfinite(got.score).all()
     held = got[got.held_out & (got.doc_id < 10_000_000)]
     assert held.score.sum() > held.base_score.sum()
 
