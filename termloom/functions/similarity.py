@@ -37,6 +37,58 @@ def may_reach(a: Column, b: Column, percent: int) -> Column:
     return F.lit(200) * bound >= F.lit(percent) * (F.length(a) + F.length(b))
 
 
+#: Letters that get a bit of their own; all others are left out of the bound.
+SIGNS = " $0123456789abcdefghijklmnopqrstuvwxyz"
+#: Longest text whose places fit a mask without reaching the sign of a 64-bit number.
+MASK_LETTERS = 62
+
+
+def sign_bits(text: Column) -> Column:
+    """A bit for each of ``SIGNS`` that the text holds."""
+    bits = F.lit(0).cast("long")
+    for k, sign in enumerate(SIGNS):
+        bits = bits.bitwiseOR(F.when(text.contains(sign), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
+def sign_bits_of(text: str) -> int:
+    return sum(1 << k for k, sign in enumerate(SIGNS) if sign in text)
+
+
+def bits_reach(a: Column, a_bits: Column, b: Column, b_bits: Column, percent: int) -> Column:
+    """Weaker than :func:`may_reach`, but a few integer operations: each letter that only one side has costs one match."""
+    lacking = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    bound = F.least(F.length(a) - lacking(a_bits, b_bits), F.length(b) - lacking(b_bits, a_bits))
+    return F.lit(200) * bound >= F.lit(percent) * (F.length(a) + F.length(b))
+
+
+def places_of(text: str) -> dict[str, int] | None:
+    """Each letter of a known text with the bits of its places; None for a text too long for a mask."""
+    if len(text) > MASK_LETTERS:
+        return None
+    out: dict[str, int] = {}
+    for k, letter in enumerate(text):
+        out[letter] = out.get(letter, 0) | 1 << k
+    return out
+
+
+def ratio_by_places(a: Column, b: Column, places: Column) -> Column:
+    """:func:`indel_ratio` of ``a`` and a text ``b`` whose ``places_of`` are at hand: one step a letter of ``a``.
+
+    Bit-parallel longest common subsequence: zeros of the state are the places of ``b`` where a row of the
+    classic table rises.
+    """
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(b)) - F.lit(1).cast("long")
+
+    def step(state: Column, letter: Column) -> Column:
+        here = state.bitwiseAND(F.coalesce(F.try_element_at(places, letter), F.lit(0).cast("long")))
+        return (state + here).bitwiseOR(state - here).bitwiseAND(full)
+
+    state = F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), full, step)
+    total = F.length(a) + F.length(b)
+    return F.when(places.isNull(), indel_ratio(a, b)).otherwise(F.lit(200.0) * (F.length(b) - F.bit_count(state)) / total)
+
+
 def ratio_of(a: str, b: str) -> float:
     """The same on the driver, for pairs of pack names."""
     row = [0] * (len(b) + 1)

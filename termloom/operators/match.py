@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.languages import UnitRule
-from termloom.functions.similarity import indel_ratio, may_reach
+from termloom.functions.similarity import bits_reach, places_of, ratio_by_places, sign_bits, sign_bits_of
 from termloom.functions.text import collapse, inflection_bases, normalize, normalize_text, skeleton, skeleton_text
 from termloom.operators.resolve import resolve_overlaps
 from termloom.operators.tokens import tokenize, windows
@@ -78,16 +78,18 @@ def _key_table(spark, pack: Pack) -> DataFrame:
             continue
         own = sorted(set(normalize_text(f.term, pack.language).split()) | set(f.folded.split()))
         name, cased = f.origin in ("term", "alias"), spaced(f.display) if f.cased else None
-        base = (f.term, f.folded, origins[f.term, f.folded], f.origin, name, cased, own)
+        guessed = pack.fuzzy(f) and len(f.folded) >= MIN_FUZZY_LENGTH
+        base = (f.term, f.folded, origins[f.term, f.folded], f.origin, name, cased, own, None, None)
         if f.exact:
             rows.append((f"x:{spaced(f.folded)}", "only", 0, *base))
             continue
         rows += [(f"=:{f.folded}", "equal", 0, *base), (f"r:{spaced(f.folded)}", "run", 0, *base)]
-        if pack.fuzzy(f) and len(f.folded) >= MIN_FUZZY_LENGTH:
+        if guessed:
+            base = (*base[:-2], sign_bits_of(f.folded), places_of(f.folded))
             rows += [(f"f:{n}", "guess", 0, *base) for n in range(max(MIN_FUZZY_LENGTH, len(f.folded) - MAX_LENGTH_GAP), len(f.folded) + MAX_LENGTH_GAP + 1)]
-    rows += [(f"b:{b}", "base", k, t, b, "alias", "alias", True, None, []) for b, (k, t) in bases.items()]
-    rows += [(f"r:{e}", "explicit", 0, "", e, "", "", False, None, []) for e in explicit]
-    schema = "key string, mode string, ord int, term string, form string, first_origin string, origin string, name boolean, cased string, own array<string>"
+    rows += [(f"b:{b}", "base", k, t, b, "alias", "alias", True, None, [], None, None) for b, (k, t) in bases.items()]
+    rows += [(f"r:{e}", "explicit", 0, "", e, "", "", False, None, [], None, None) for e in explicit]
+    schema = "key string, mode string, ord int, term string, form string, first_origin string, origin string, name boolean, cased string, own array<string>, form_bits bigint, places map<string,bigint>"
     return small(spark.createDataFrame(rows, schema), len(rows))
 
 
@@ -98,11 +100,12 @@ def reached(every_window: DataFrame, pack: Pack) -> DataFrame:
         keys.append(F.concat(F.lit("x:"), "plain"))
     bases = F.transform(inflection_bases(F.col("run"), pack.language), lambda b: F.concat(F.lit("b:"), b))
     all_keys = F.filter(F.array_distinct(F.concat(F.array(*keys), bases)), lambda k: k.isNotNull())
-    joined = every_window.withColumn("key", F.explode(all_keys)).join(_key_table(every_window.sparkSession, pack), "key")
+    bits = F.when(F.length("folded") >= MIN_FUZZY_LENGTH, sign_bits(F.col("folded")))
+    joined = every_window.withColumn("bits", bits).withColumn("key", F.explode(all_keys)).join(_key_table(every_window.sparkSession, pack), "key")
     guess = F.col("mode") == "guess"
-    fine = F.when(guess, (F.col("folded") != F.col("form")) & may_reach(F.col("folded"), F.col("form"), MARK_AT)).when(F.col("mode") == "only", F.col("cased").isNull() | (F.col("cased") == F.col("raw"))).otherwise(True)
-    scored = joined.where(fine).withColumn("score", F.when(guess, indel_ratio(F.col("folded"), F.col("form"))).otherwise(100.0))
-    return scored.where((F.col("mode") != "guess") | (F.col("score") >= MARK_AT)).drop("key")
+    fine = F.when(guess, (F.col("folded") != F.col("form")) & bits_reach(F.col("folded"), F.col("bits"), F.col("form"), F.col("form_bits"), MARK_AT)).when(F.col("mode") == "only", F.col("cased").isNull() | (F.col("cased") == F.col("raw"))).otherwise(True)
+    scored = joined.where(fine).withColumn("score", F.when(guess, ratio_by_places(F.col("folded"), F.col("form"), F.col("places"))).otherwise(100.0))
+    return scored.where((F.col("mode") != "guess") | (F.col("score") >= MARK_AT)).drop("key", "bits", "form_bits", "places")
 
 
 def exact_spans(found: DataFrame) -> DataFrame:
@@ -189,11 +192,11 @@ def phonetic(every_window: DataFrame, taken: DataFrame, pack: Pack) -> DataFrame
     if not names:
         return spark.createDataFrame([], "doc_id string, i int, n int, start int, end int, term string, score int, folded string")
     low, high = PHONETIC_AT / (200 - PHONETIC_AT), (200 - PHONETIC_AT) / PHONETIC_AT
-    rows = [(n, t, c) for t, c in names for n in range(MIN_SKELETON, int(len(c) * high) + 2) if low * len(c) <= n <= high * len(c)]
-    table = small(spark.createDataFrame(rows, "size int, term string, code string"), len(rows))
+    rows = [(n, t, c, sign_bits_of(c), places_of(c)) for t, c in names for n in range(MIN_SKELETON, int(len(c) * high) + 2) if low * len(c) <= n <= high * len(c)]
+    table = small(spark.createDataFrame(rows, "size int, term string, code string, code_bits bigint, places map<string,bigint>"), len(rows))
     own = every_window.where(F.col("n") <= PHONETIC_NGRAMS).select("doc_id", "i", "n", "start", "end", "folded", skeleton(F.col("raw"), pack.language).alias("sound"))
-    pairs = own.withColumn("size", F.length("sound")).join(table, "size").where(may_reach(F.col("sound"), F.col("code"), PHONETIC_AT))
-    scored = pairs.withColumn("ratio", indel_ratio(F.col("sound"), F.col("code"))).where(F.col("ratio") >= PHONETIC_AT)
+    pairs = own.withColumn("size", F.length("sound")).withColumn("bits", sign_bits(F.col("sound"))).join(table, "size").where(bits_reach(F.col("sound"), F.col("bits"), F.col("code"), F.col("code_bits"), PHONETIC_AT))
+    scored = pairs.withColumn("ratio", ratio_by_places(F.col("sound"), F.col("code"), F.col("places"))).where(F.col("ratio") >= PHONETIC_AT)
     best = scored.groupBy("doc_id", "i", "n").agg(F.max(F.struct("ratio", "term", "start", "end", "folded")).alias("b")).select("doc_id", "i", "n", "b.*")
     single = best.where("n = 1").select("doc_id", F.col("i").alias("k"), F.col("ratio").alias("alone"))
     weak = best.where("n = 2").withColumn("k", F.explode(F.array(F.col("i"), F.col("i") + 1))).join(single, ["doc_id", "k"]).where("ratio <= alone").select("doc_id", "i", "n").distinct()

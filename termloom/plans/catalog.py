@@ -10,7 +10,7 @@ from termloom.functions.text import clean_markup, fold
 from termloom.functions.values import bump, caption_stamp, iso_date, too_old_for, version_numbers, video_id, watch_link
 from termloom.operators import evaluate, match, merge, registry, render, reports, resolve
 from termloom.operators.tokens import tokenize, windows
-from termloom.plans import demo
+from termloom.plans import demo, full_sql
 from termloom.sources.captions import locate, rolling_lines, touched_lines
 
 FLAGSHIP = "annotation_report"
@@ -364,3 +364,7 @@ ORACLES: dict[str, str] = {
             SELECT page_id, CASE WHEN known THEN v END AS video, CASE WHEN known THEN 'https://youtu.be/' || v || '?t=' || (page_id * 7)::VARCHAR ELSE url || ' at ' || stamp END AS link, stamp,
                    '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS day FROM u""",
 }
+ORACLES |= {name: f"WITH {_TOKENS}, {full_sql.FULL} {select}" for name, select in full_sql.SELECTS.items()}
+_GOLD = f"""gold AS (WITH {_FOUND.removeprefix(_TOKENS).lstrip(', ')} SELECT f.doc_id, f.start AS row_no, l.ts, f.original AS wrong, f.replacement AS correct, f.term, CASE f.kind WHEN 'alias' THEN 'alias' ELSE 'certo' END AS status
+            FROM found f ASOF JOIN lines l ON f.doc_id = l.doc_id AND f.start >= l.start)"""
+ORACLES["evaluate_counts"] = f"WITH {_TOKENS}, {full_sql.FULL}, {_GOLD}, {full_sql.EVALUATE}"

@@ -35,19 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by id, in as many parts as the session shuffles into: what follows is work on few bytes, which
+    adaptive merging of small parts would put into one task."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as captions: every line that isn't blank, five seconds after the one before."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
-    rows = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("line_no", "text"))
+    rows = _dealt(spark, sf_dir).select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("line_no", "text"))
     seconds = F.col("line_no") * 5
     return with_offsets(rows.select("doc_id", "line_no", F.format_string("%d:%02d", (seconds / 60).cast("int"), (seconds % 60).cast("int")).alias("ts"), "text"))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines joined by one space, dealt by document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return docs.select("doc_id", F.array_join(kept, " ").alias("text"))
+    return _dealt(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("text"))
 
 
 def plain_pack() -> Pack:

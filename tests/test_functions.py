@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions.languages import ENGLISH, GENERIC, PORTUGUESE, Language, for_code, register
-from termloom.functions.similarity import indel_ratio, may_reach, ratio_of
+from termloom.functions.similarity import bits_reach, indel_ratio, may_reach, places_of, ratio_by_places, ratio_of, sign_bits, sign_bits_of
 from termloom.functions.text import clean_markup, collapse, fold, fold_text, inflection_bases, normalize, normalize_text, skeleton, skeleton_text
 from termloom.functions.values import bump, caption_stamp, cue_seconds, iso_date, stamp_seconds, stamp_seconds_lenient, too_old_for, version_numbers, video_id, watch_link
 
@@ -45,6 +45,18 @@ def test_plural_bases(spark):
     assert values(spark, ["class", "as", "two words"], lambda c: inflection_bases(c, ENGLISH)) == [[], [], []]
 
 
+def test_ratio_by_places_is_the_indel_ratio(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abc dé9") for _ in range(n))
+    pairs = [(word(rng.randrange(12)), word(rng.randrange(1, 12))) for _ in range(60)] + [("a" * 70, "ab" * 31), ("ab" * 40, "ba" * 40), ("", "x"), ("abc", "abc")]
+    rows = [(a, b, places_of(b), sign_bits_of(b)) for a, b in pairs]
+    got = spark.createDataFrame(rows, "a string, b string, places map<string,bigint>, bits bigint")
+    reach = bits_reach(F.col("a"), sign_bits(F.col("a")), F.col("b"), F.col("bits"), 70)
+    for r in got.select("a", "b", ratio_by_places(F.col("a"), F.col("b"), F.col("places")).alias("r"), reach.alias("may")).collect():
+        assert r["r"] == pytest.approx(ratio_of(r["a"], r["b"]))
+        assert r["may"] or r["r"] < 70
+
+
 def test_indel_ratio_native_and_driver_agree(spark):
     rng = random.Random(4)
     pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for _ in range(80)]

@@ -38,7 +38,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["resolved_annotations", "pending_forms", "review_stops", "local_decisions", "evaluate_counts"])
+@pytest.mark.parametrize("name", ["annotation_json"])
 def test_queries_without_sql_run(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
