@@ -11,6 +11,7 @@ from termloom.functions.values import bump, caption_stamp, iso_date, too_old_for
 from termloom.operators import evaluate, match, merge, registry, render, reports, resolve
 from termloom.operators.tokens import tokenize, windows
 from termloom.plans import demo, full_sql
+from termloom.session import settled
 from termloom.sources.captions import locate, rolling_lines, touched_lines
 
 FLAGSHIP = "annotation_report"
@@ -200,17 +201,55 @@ def review_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.review_stops(resolve.resolve_overlaps(_full(spark, sf_dir)))
 
 
-def evaluate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def low_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.low_marks(resolve.resolve_overlaps(_full(spark, sf_dir)))
+
+
+def term_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = demo.full_pack()
+    found = settled(match.reached(windows(_tokens(spark, sf_dir), ENGLISH, exact_fold=True), pack), "reached")
+    return match.occurrences(match.exact_spans(found))
+
+
+def copy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, _, mine = demo.term_tables(spark, sf_dir)
+    forms = lambda side: side.select(F.col("key").alias("term"), F.explode(F.concat("aliases", "variants")).alias("form"))
+    return merge.copy_changes(forms(mine), forms(base))
+
+
+def registry_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as installed packs: brands (some that the index lacks), every third edited here."""
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit("Brand#"), F.floor(k / 5 + 1).cast("string"), (k % 5 + 2).cast("string"))
+    own = F.concat_ws(".", (k % 4).cast("string"), k.cast("string"), F.lit("0"))
+    digest = F.sha2("n_name", 256)
+    installed = demo.table(spark, sf_dir, "nation").select(name.alias("name"), own.alias("version"), digest.alias("sha256"), F.when(k % 3 == 0, F.sha2(F.concat("n_name", F.lit("!")), 256)).otherwise(digest).alias("recorded_sha256"))
+    return registry.updates(installed, demo.pack_index(spark, sf_dir), "0.8.1")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Scores of the full pack against gold rows that the plain pack's corrections make up."""
     lines = demo.caption_lines(spark, sf_dir)
     gold = locate(resolve.resolve_overlaps(_plain(spark, sf_dir)), lines).select("doc_id", (F.col("start")).cast("long").alias("row_no"), F.col("ts").alias("timestamp"), F.col("original").alias("wrong"), F.col("replacement").alias("correct"), "term", F.lit("").alias("class"), F.when(F.col("kind") == "alias", "alias").otherwise("certo").alias("status"))
-    return evaluate.counts(evaluate.score(_full(spark, sf_dir), lines, gold, ENGLISH))
+    return evaluate.score(_full(spark, sf_dir), lines, gold, ENGLISH)
+
+
+def evaluate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.counts(_scored(spark, sf_dir))
+
+
+def gold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.per_term(_scored(spark, sf_dir))
+
+
+def false_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)["false_positives"]
 
 
 _WORDS = (
     caption_lines, token_stream, sentence_windows, fold_text, html_clean, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
     asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
-    fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts,
+    fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts, low_marks, term_occurrences, copy_changes, registry_updates, gold_terms, false_marks,
 )
 QUERIES = {f.__name__: f for f in _WORDS}
 
@@ -367,4 +406,11 @@ ORACLES: dict[str, str] = {
 ORACLES |= {name: f"WITH {_TOKENS}, {full_sql.FULL} {select}" for name, select in full_sql.SELECTS.items()}
 _GOLD = f"""gold AS (WITH {_FOUND.removeprefix(_TOKENS).lstrip(', ')} SELECT f.doc_id, f.start AS row_no, l.ts, f.original AS wrong, f.replacement AS correct, f.term, CASE f.kind WHEN 'alias' THEN 'alias' ELSE 'certo' END AS status
             FROM found f ASOF JOIN lines l ON f.doc_id = l.doc_id AND f.start >= l.start)"""
-ORACLES["evaluate_counts"] = f"WITH {_TOKENS}, {full_sql.FULL}, {_GOLD}, {full_sql.EVALUATE}"
+ORACLES |= {name: f"WITH {_TOKENS}, {full_sql.FULL}, {_GOLD}, {full_sql.EVALUATE}{select}" for name, select in full_sql.EVALUATIONS.items()}
+ORACLES["copy_changes"] = f"""WITH {_TERMS}, a AS (SELECT key AS term, unnest(list_concat(aliases, variants)) AS form FROM mine), b AS (SELECT key AS term, unnest(list_concat(aliases, variants)) AS form FROM base)
+            SELECT term, form, 'added' AS change FROM a WHERE (term, form) NOT IN (SELECT (term, form) FROM b) UNION ALL SELECT term, form, 'removed' FROM b WHERE (term, form) NOT IN (SELECT (term, form) FROM a)"""
+ORACLES["registry_updates"] = f"""WITH {_INDEX}, ranked AS (SELECT *, row_number() OVER (PARTITION BY name, is_held ORDER BY v DESC, position DESC) AS k FROM held),
+            choice AS (SELECT name, max(CASE WHEN NOT is_held THEN version END) AS usable, max(CASE WHEN is_held THEN version END) AS held FROM ranked WHERE k = 1 GROUP BY name),
+            own AS (SELECT 'Brand#' || (n_nationkey // 5 + 1)::VARCHAR || (n_nationkey % 5 + 2)::VARCHAR AS name, (n_nationkey % 4)::VARCHAR || '.' || n_nationkey::VARCHAR || '.0' AS own, n_nationkey % 3 = 0 AS edited FROM nation),
+            beside AS (SELECT coalesce(o.name, c.name) AS name, own, usable, held, edited, list_transform(string_split(usable, '.'), lambda x: x::BIGINT) > list_transform(string_split(own, '.'), lambda x: x::BIGINT) AS later FROM own o FULL JOIN choice c ON o.name = c.name)
+            SELECT name, own, usable, held, CASE WHEN own IS NULL THEN 'new' WHEN usable IS NULL THEN 'unknown' WHEN later AND edited THEN 'edited' WHEN later THEN 'update' ELSE 'current' END AS state FROM beside"""

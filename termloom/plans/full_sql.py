@@ -102,6 +102,10 @@ SELECTS = {
             FROM (SELECT *, band <> 'high' AND (doc_id, term, original) IN (SELECT (doc_id, term, original) FROM chosen) AS t FROM resolved) r""",
     "pending_forms": """, grouped AS (SELECT doc_id, term, form, count(*)::BIGINT AS n FROM asked GROUP BY ALL), totals AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, term)::BIGINT AS term_total FROM grouped)
             SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY term_total DESC, term)::INT AS term_rank, row_number() OVER (PARTITION BY doc_id, term ORDER BY n DESC, form)::INT AS form_rank, '[never asked]' AS tag FROM totals""",
+    "low_marks": "SELECT doc_id, sum((band = 'low')::INT)::BIGINT AS low_marks FROM resolved GROUP BY doc_id",
+    "term_occurrences": """, chosen AS (SELECT doc_id, term, list_reduce(list([{'i': i, 'n': n}] ORDER BY n DESC, i),
+               lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.i < x[1].i + x[1].n AND x[1].i < k.i + k.n)) = 0 THEN list_concat(kept, x) ELSE kept END) AS found FROM spans GROUP BY doc_id, term)
+            SELECT doc_id, term, o.i AS i, o.n AS n FROM (SELECT doc_id, term, unnest(found) AS o FROM chosen)""",
     "review_stops": """, stops AS (SELECT doc_id, term, form, count(*)::BIGINT AS n, min({'s': start, 'e': "end"}) AS first FROM asked GROUP BY ALL)
             SELECT doc_id, term, form, n, first.s AS start, row_number() OVER (PARTITION BY doc_id ORDER BY first.s, first.e, term)::INT AS k, count(*) OVER (PARTITION BY doc_id)::BIGINT AS n_stops FROM stops""",
 }
@@ -111,18 +115,18 @@ EVALUATE = r"""
     keyed AS (
         SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(original)), '[^a-z0-9$ ]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM resolved WHERE band IN ('high', 'medium')
     ), placed AS (
-        SELECT k.doc_id, k.start, k."end", {'s': k.start, 'e': k."end"} AS a, k.key, k.term, k.kind, l.line_no, l.ts FROM keyed k JOIN lines l ON k.doc_id = l.doc_id AND l.start < k."end" AND k.start < l."end"
+        SELECT k.doc_id, k.start, k."end", {'s': k.start, 'e': k."end"} AS a, k.key, k.term, k.kind, k.original, l.line_no, l.ts FROM keyed k JOIN lines l ON k.doc_id = l.doc_id AND l.start < k."end" AND k.start < l."end"
     ), asked_rows AS (
         SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(wrong)), '[^a-z0-9$ ]+', ' ', 'g'), ' +', ' ', 'g')) AS wrong_key,
                trim(regexp_replace(regexp_replace(strip_accents(lower(correct)), '[^a-z0-9$ ]+', ' ', 'g'), ' +', ' ', 'g')) AS correct_key FROM gold
     ), scope AS (
         SELECT * FROM asked_rows WHERE term <> '' AND (status = 'alias' OR wrong_key <> correct_key)
     ), answers AS (
-        SELECT g.doc_id, g.row_no, g.status, min(CASE WHEN p.kind = 'correction' THEN p.a END) AS any_fix, min(CASE WHEN p.kind = 'correction' AND p.term = g.term THEN p.a END) AS fix,
+        SELECT g.doc_id, g.row_no, g.status, g.term, min(CASE WHEN p.kind = 'correction' THEN p.a END) AS any_fix, min(CASE WHEN p.kind = 'correction' AND p.term = g.term THEN p.a END) AS fix,
                min(CASE WHEN p.kind = 'alias' AND p.term = g.term THEN p.a END) AS name
-        FROM scope g LEFT JOIN placed p ON p.doc_id = g.doc_id AND p.ts = g.ts AND (contains(p.key, g.wrong_key) OR contains(g.wrong_key, p.key)) GROUP BY g.doc_id, g.row_no, g.status
+        FROM scope g LEFT JOIN placed p ON p.doc_id = g.doc_id AND p.ts = g.ts AND (contains(p.key, g.wrong_key) OR contains(g.wrong_key, p.key)) GROUP BY g.doc_id, g.row_no, g.status, g.term
     ), scored AS (
-        SELECT doc_id, CASE WHEN status = 'alias' THEN any_fix END AS bad, CASE WHEN status <> 'alias' THEN fix WHEN any_fix IS NULL THEN name END AS good, status = 'alias' AS named FROM answers
+        SELECT doc_id, term, CASE WHEN status = 'alias' THEN any_fix END AS bad, CASE WHEN status <> 'alias' THEN fix WHEN any_fix IS NULL THEN name END AS good, status = 'alias' AS named FROM answers
     ), credit AS (
         SELECT p.* FROM placed p WHERE EXISTS (SELECT 1 FROM scored s WHERE s.doc_id = p.doc_id AND s.good = p.a)
     ), idle AS (
@@ -131,10 +135,16 @@ EVALUATE = r"""
         SELECT DISTINCT i.doc_id, i.a FROM idle i JOIN credit c ON c.doc_id = i.doc_id AND c.line_no = i.line_no AND (contains(i.key, c.key) OR contains(c.key, i.key))
     ), false_ones AS (
         SELECT DISTINCT doc_id, a FROM idle EXCEPT SELECT doc_id, a FROM nested UNION SELECT DISTINCT doc_id, bad FROM scored WHERE bad IS NOT NULL
-    ), by_row AS (
-        SELECT doc_id, count(*) AS in_scope, sum((good IS NOT NULL)::INT) AS hits, sum((good IS NULL)::INT) AS misses, sum((named AND good IS NOT NULL)::INT) AS aliases_recognized, sum((bad IS NOT NULL)::INT) AS aliases_substituted
-        FROM scored GROUP BY doc_id
-    ), by_false AS (
-        SELECT doc_id, count(*) AS false_positives FROM false_ones GROUP BY doc_id
-    ) SELECT doc_id, coalesce(in_scope, 0)::BIGINT AS in_scope, coalesce(hits, 0)::BIGINT AS hits, coalesce(misses, 0)::BIGINT AS misses, coalesce(aliases_recognized, 0)::BIGINT AS aliases_recognized,
-        coalesce(aliases_substituted, 0)::BIGINT AS aliases_substituted, coalesce(false_positives, 0)::BIGINT AS false_positives FROM by_row FULL JOIN by_false USING (doc_id)"""
+    )"""
+
+EVALUATIONS = {
+    "evaluate_counts": """, by_row AS (
+            SELECT doc_id, count(*) AS in_scope, sum((good IS NOT NULL)::INT) AS hits, sum((good IS NULL)::INT) AS misses, sum((named AND good IS NOT NULL)::INT) AS aliases_recognized, sum((bad IS NOT NULL)::INT) AS aliases_substituted
+            FROM scored GROUP BY doc_id
+        ), by_false AS (SELECT doc_id, count(*) AS false_positives FROM false_ones GROUP BY doc_id)
+        SELECT doc_id, coalesce(in_scope, 0)::BIGINT AS in_scope, coalesce(hits, 0)::BIGINT AS hits, coalesce(misses, 0)::BIGINT AS misses, coalesce(aliases_recognized, 0)::BIGINT AS aliases_recognized,
+            coalesce(aliases_substituted, 0)::BIGINT AS aliases_substituted, coalesce(false_positives, 0)::BIGINT AS false_positives FROM by_row FULL JOIN by_false USING (doc_id)""",
+    "gold_terms": " SELECT term, sum((good IS NOT NULL)::INT)::BIGINT AS hits, count(*)::BIGINT AS total FROM scored GROUP BY term",
+    "false_marks": """ SELECT f.doc_id, f.a.s AS start, arg_min(p.ts, p.line_no) AS ts, min(p.original) AS original, min(p.term) AS term FROM false_ones f JOIN placed p ON p.doc_id = f.doc_id AND p.a = f.a
+        WHERE p.kind = 'correction' GROUP BY f.doc_id, f.a""",
+}
