@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, lm_scoring, merkle, metric_tree, near_dedup, packing, repeats, token_counts, toxicity, word_bpe
+from . import chat_format, conversation_repair, exact_dedup, lm_scoring, merkle, metric_tree, near_dedup, packing, repeats, token_counts, toxicity, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_exact_top_k, op4_chat_format, op5_toxicity, op6_exact_dedup, op7_ngram_jaccard_join, op8_word_bpe, op9_suffix_array_dedup, op10_token_counts, op12_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_exact_top_k, op4_chat_format, op5_toxicity, op6_exact_dedup, op7_ngram_jaccard_join, op8_word_bpe, op9_suffix_array_dedup, op10_token_counts, op11_conversation_repair, op12_merkle_manifest)}
 
 ORACLES = {
     "op3_exact_top_k": """
@@ -70,6 +74,7 @@ ORACLES = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op4_chat_format": chat_format.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
     "op6_exact_dedup": r"""
         WITH d AS (
