@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, conversation_repair, exact_dedup, lm_scoring, merkle, metric_tree, near_dedup, packing, repeats, token_counts, toxicity, word_bpe
+from . import bayes_dedup, chat_format, conversation_repair, exact_dedup, lm_scoring, merkle, metric_tree, near_dedup, packing, repeats, token_counts, toxicity, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_exact_top_k, op4_chat_format, op5_toxicity, op6_exact_dedup, op7_ngram_jaccard_join, op8_word_bpe, op9_suffix_array_dedup, op10_token_counts, op11_conversation_repair, op12_merkle_manifest)}
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_exact_top_k, op4_chat_format, op5_toxicity, op6_exact_dedup, op7_ngram_jaccard_join, op8_word_bpe, op9_suffix_array_dedup, op10_token_counts, op11_conversation_repair, op12_merkle_manifest, op13_minhash_near_dedup)}
 
 ORACLES = {
     "op3_exact_top_k": """
