@@ -48,6 +48,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one operator call in the shared folder or the warehouse; used instead of lineage that could be lost."""
 
@@ -70,13 +75,11 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later result reads."""
-        jvm = self.spark._jvm
         for name in names:
             if name in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
                 continue
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(self.spark, f"{self.root}/{name}")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -84,6 +87,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def free_name(table: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the table has it (in any case)."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: int | None, modulus: int) -> int:
     """crc32 of the id's decimal text, modulo; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, Scratch, id_and_text
+from ._shared import SPACE, Scratch, free_name, id_and_text
 
 #: Bits of the quotient that choose a slice (at least; more from so many rows a slice on), and within a slice.
 SLICE_BITS, SLICE_ROWS, RUN_BITS = 10, 1 << 20, 8
@@ -122,15 +122,19 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts; a row with a null id always stays.
 
     Rows that repeat an id and a text count as one. What goes is a small part of the rows: they are named by
-    id and digest, so that rows that share an id but not their text are told apart.
+    id and digest, so that rows that share an id but not their text are told apart. Null texts are empty texts,
+    texts of any length are compared whole, an empty table stays empty; further columns stay, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "exactdedup")
     groups = scratch.write(exact_groups(docs), "groups").where("doc_id is not null")
-    digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, ""), 256)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text"))
-    left = docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (digest == F.col("gone_text")), "left_anti")
-    twice = groups.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
-    if twice.limit(1).count():
-        again = left.join(twice.distinct(), left["doc_id"] == F.col("twice_id"), "left_semi").withColumn("__digest", digest)
-        left = left.join(twice, left["doc_id"] == F.col("twice_id"), "left_anti").unionByName(again.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
-    return left
+    own_id, own_text = free_name(docs, "other_id"), free_name(docs, "other_text")
+    digest = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), SPACE, ""), 256)
+    same = (docs["doc_id"] == F.col(own_id)) & (digest == F.col(own_text))
+    named = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_text))
+    left = docs.join(named(groups.where("not kept")), same, "left_anti")
+    twice = scratch.write(named(groups.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")), "twice")
+    if twice.isEmpty():
+        return left
+    mark = free_name(docs, "digest")
+    again = left.join(twice, same, "left_semi").withColumn(mark, digest).dropDuplicates(["doc_id", mark]).drop(mark)
+    return left.join(twice, same, "left_anti").unionByName(again)

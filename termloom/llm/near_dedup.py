@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, spanning_roots
 from ._bytebpe import forget
-from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, marked, pack_sorted, release, shared_marks, split_hashes, unpack_sorted, with_replies
+from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, free_name, id_and_text, marked, pack_sorted, release, shared_marks, split_hashes, unpack_sorted, with_replies
 
 MARK_BITS = 44
 #: Calls of the block search for each bucket of hashes: they grow with the corpus, their size does not.
@@ -343,6 +343,11 @@ def _search(scratch: Scratch, placed: DataFrame, content: DataFrame, percent: in
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with the row of the smallest id of each component; rows that share an id stand or fall
-    together, and a row with a null id stays."""
-    gone = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    together, and a row with a null id stays.
+
+    Null texts, texts without words and texts of any length are as in :func:`near_duplicates`; an empty table stays
+    empty; further columns stay, whatever their names.
+    """
+    own = free_name(docs, "other_id")
+    gone = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(own), "left_anti")

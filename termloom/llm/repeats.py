@@ -389,6 +389,7 @@ def without_repeats(docs: DataFrame, size: int = 50, chunk_bytes: int = REPEAT_C
 
     Bytes that no longer make up a character, where a cut goes through one, are dropped too. A text that
     nothing is cut from stays as it is, null included; a text that is cut to nothing stays as an empty one.
-    Further columns stay.
+    Rows that repeat an id or have none follow :func:`remove_repeats`; texts of any length are read whole; an empty
+    table stays empty; further columns stay, whatever their names.
     """
     return _remove(docs, size, chunk_bytes, digest=False, whole_rows=True)

@@ -380,7 +380,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_ou
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`score_toxicity` predicts toxic, decided on each row's own text."""
+    """``docs`` without the rows that :func:`score_toxicity` predicts toxic, decided on each row's own text.
+
+    A null text is scored as an empty one and stays null, rows that repeat and null ids are decided each for itself,
+    texts of any length are scored whole, an empty table stays empty; further columns stay, whatever their names.
+    """
     model = fit(docs, labels)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 

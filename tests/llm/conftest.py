@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-CLASHING = ("chunk_id", "bucket", "fp", "task", "best", "text_sha256", "component_id", "lang", "source", "n_chars")
+CLASHING = ("chunk_id", "bucket", "fp", "task", "best", "text_sha256", "component_id", "gone_id", "gone_text", "twice_id", "__digest", "other_id", "other_text", "digest", "key", "class", "tree", "lang", "source", "n_chars")
 
 
 @pytest.fixture(scope="session")
