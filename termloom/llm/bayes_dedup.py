@@ -21,8 +21,8 @@ from .near_dedup import shingles
 HASHES, BAND, BATCH = 128, 4, 32
 #: Chance with which a linked pair may be dropped on its signatures.
 MISS = 1e-6
-#: Classes of a block, and rounds in which the classes of a band's bucket are held against two of its classes only.
-BLOCK, STARS = 256, 3
+#: Classes of a block, and turns in which the classes of a band's bucket are held against two of its classes only.
+BLOCK, STARS = 256, 1
 
 
 @functools.cache
@@ -298,11 +298,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, miss: fl
             break
         new = scratch.write(_verified(pairs, content, words, percent, miss), f"links{turn}")
         found = new if found is None else found.union(new)
-        roots = scratch.write(components(scratch, found, f"star{turn}_").distinct(), f"roots{turn}")
+        roots = scratch.write(components(scratch, found, f"star{turn}_"), f"roots{turn}")
     across = _block_links(scratch, members, roots, content, words, percent, miss, block)
     if across is not None:
         found = across if found is None else found.union(across)
-        roots = scratch.write(components(scratch, found, "final").distinct(), "roots")
+        roots = scratch.write(components(scratch, found, "final"), "roots")
     named = classes.select("class", "key", "least_id")
     named = named.withColumn("root", F.col("class")) if roots is None else named.join(roots, F.col("class") == F.col("id"), "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component"))
