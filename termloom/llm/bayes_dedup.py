@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, spanning_roots
 from ._shared import Scratch, WordNumbers, id_and_text, pack, release, slabs, unpack
-from .near_dedup import shingles
+from .near_dedup import _mixed, shingles
 
 #: Hashes of a signature, hashes that make a band, and hashes that a pair is compared on at a time. At a similarity
 #: of 0.85 a pair shares no band with a probability of (1 - 0.85 ** 4) ** 32 = 6e-11.
@@ -22,7 +22,7 @@ HASHES, BAND, BATCH = 128, 4, 32
 #: Chance with which a linked pair may be dropped on its signatures.
 MISS = 1e-6
 #: Classes of a block, and turns in which the classes of a band's bucket are held against two of its classes only.
-BLOCK, STARS = 256, 1
+BLOCK, STARS = 512, 1
 
 
 @functools.cache
@@ -111,9 +111,18 @@ def _digest(text: str) -> tuple[bytes, bytes]:
     return hashlib.sha256(body).digest(), body
 
 
-def _sets(docs: DataFrame, words: int, hashes: int) -> DataFrame:
-    """``doc_id, n_shingles, key, sign``: the words' SHA-256 (null without words), the signature (null below
-    ``words`` words, where only equal words link)."""
+def band_keys(signs: np.ndarray, band: int) -> np.ndarray:
+    """A 64-bit key for each band of each signature, different for equal values of different bands."""
+    parts = signs.reshape(len(signs), -1, band).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(band):
+        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+    return keys.view(np.int64)
+
+
+def _sets(docs: DataFrame, words: int, hashes: int, band: int) -> DataFrame:
+    """``doc_id, n_shingles, key, bands``: the words' SHA-256 (null without words), the keys of the signature's bands
+    (null below ``words`` words, where only equal words link)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,26 +130,30 @@ def _sets(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                 own = shingles(texts, words)
                 bodies = [_digest(t) for t in texts]
                 wide = [k for k, (_, body) in enumerate(bodies) if body.count(b" ") >= words - 1 and body]
-                signed: list[bytes | None] = [None] * len(texts)
-                for k, row in zip(wide, signatures([own[k] for k in wide], hashes), strict=True):
-                    signed[k] = row.tobytes()
+                keyed: list[np.ndarray | None] = [None] * len(texts)
+                for k, row in zip(wide, band_keys(signatures([own[k] for k in wide], hashes), band), strict=True):
+                    keyed[k] = row
                 keys = [key if body else None for key, body in bodies]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "key", "sign"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.binary()), pa.array(keyed, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
             release()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sign binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
-def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, sign, body``: the words of the classes ``class, key, least_id, sign`` that ``docs`` has by id and key."""
+def _bodies(docs: DataFrame, wanted: DataFrame, words: int, hashes: int) -> DataFrame:
+    """``class, sign, body``: signature and words of the classes ``class, key, least_id`` that ``docs`` has by id and
+    key. Signatures are made again here, for the few that need them, rather than moved around for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, pack(body)) for k, (text, key) in enumerate(zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True)) for digest, body in [_digest(text)] if digest == key]
+            texts, keys = batch.column("text").to_pylist(), batch.column("key").to_pylist()
+            found = [(k, body) for k, (text, key) in enumerate(zip(texts, keys, strict=True)) for digest, body in [_digest(text)] if digest == key]
+            signs = signatures(shingles([texts[k] for k, _ in found], words), hashes)
             at = pa.array([k for k, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("class").take(at), batch.column("sign").take(at), pa.array([b for _, b in found], pa.binary())], ["class", "sign", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(at), pa.array([row.tobytes() for row in signs], pa.binary()), pa.array([pack(b) for _, b in found], pa.binary())], ["class", "sign", "body"])
+            release()
 
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least_id"])).select("class", "key", "sign", "text")
+    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least_id"])).select("class", "key", "text")
     # A row that the table has twice is one class still.
     return rows.mapInArrow(run, "class long, sign binary, body binary").dropDuplicates(["class"])
 
@@ -278,18 +291,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, miss: fl
     """
     scratch = Scratch(docs.sparkSession, "bayes")
     texts = id_and_text(docs)
-    sets = scratch.write(_sets(texts, words, hashes), "sets")
-    classes = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("sign").alias("sign"))
+    sets = scratch.write(_sets(texts, words, hashes, band), "sets")
+    classes = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
     classes = scratch.write(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    width = 4 * band
-    bands = F.transform(F.sequence(F.lit(0), F.lit(hashes // band - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sign"), k * width + 1, F.lit(width))))
-    spread = classes.where("sign is not null").select("class", F.explode(bands).alias("hash"))
+    spread = classes.where("bands is not null").select("class", F.explode("bands").alias("hash"))
     # Buckets of the same classes in several bands count once.
     seen = spread.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y")).where("n > 1")
     buckets = scratch.write(seen.groupBy("n", "x", "y").agg(F.min("hash").alias("hash")).select("hash"), "buckets")
     members = scratch.write(spread.join(buckets, "hash").select("hash", "class"), "members")
-    wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "key", "least_id", "sign")
-    content = scratch.write(_bodies(texts, wanted), "content")
+    wanted = classes.select("class", "key", "least_id").join(members.select("class").distinct(), "class", "left_semi").select("class", "key", "least_id")
+    content = scratch.write(_bodies(texts, wanted, words, hashes), "content")
 
     found, roots = None, None
     for turn in range(stars):
