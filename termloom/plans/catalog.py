@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.languages import ENGLISH
-from termloom.functions.text import clean_markup, fold
+from termloom.functions.languages import ENGLISH, GENERIC
+from termloom.functions.text import clean_markup, fold, normalize
 from termloom.functions.values import bump, caption_stamp, iso_date, too_old_for, version_numbers, video_id, watch_link
-from termloom.operators import evaluate, match, merge, registry, render, reports, resolve
+from termloom.operators import evaluate, match, merge, packmerge, registry, render, reports, resolve, review, search
 from termloom.operators.tokens import tokenize, windows
 from termloom.plans import demo, full_sql
 from termloom.session import settled
@@ -77,6 +77,20 @@ def pack_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.pack_fit(resolve.resolve_overlaps(_plain(spark, sf_dir)))
 
 
+def fit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well both packs fit every document, found in one pass over the texts."""
+    texts, packs = demo.transcripts(spark, sf_dir), {"full": demo.full_pack(), "plain": demo.plain_pack()}
+    found = match.find_annotations_of(texts, packs, demo.caption_lines(spark, sf_dir))
+    return resolve.fit_table(resolve.resolve_overlaps(found), texts, packs)
+
+
+def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low marks of every document at three thresholds, from one computation of the scores."""
+    texts, marks = demo.transcripts(spark, sf_dir), (60, 70, 80)
+    found = match.find_annotations_at(texts, demo.full_pack(), marks, demo.caption_lines(spark, sf_dir))
+    return resolve.threshold_table(resolve.resolve_overlaps(found), texts, marks)
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary(resolve.resolve_overlaps(_plain(spark, sf_dir)))
 
@@ -136,6 +150,24 @@ def merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.outcomes(merge.presence(*demo.term_tables(spark, sf_dir)))
 
 
+def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conflict of every brand's merge, none of them answered."""
+    _, conflicts, _ = packmerge.merge(*demo.merge_packs(spark, sf_dir), ENGLISH)
+    return conflicts.select("pack", "kind", "key", "other_key", "term", "form", "mine", "theirs", "can_mine", "can_both")
+
+
+def merge_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged terms when mine, theirs or nothing is answered to every conflict."""
+    terms = packmerge.merges(*demo.merge_packs(spark, sf_dir), ENGLISH, (packmerge.MINE, packmerge.THEIRS, packmerge.LATER))
+    joined = lambda c: F.array_join(F.array_sort(F.coalesce(c, F.array().cast("array<string>"))), ",").alias(c)
+    return terms.select("preset", "pack", "term", "class", joined("aliases"), joined("variants"))
+
+
+def merge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, up, mine, _, _ = demo.merge_packs(spark, sf_dir)
+    return packmerge.plan(base, up, mine, ENGLISH).groupBy("pack", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def form_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = demo.table(spark, sf_dir, "part").select(F.col("p_name").alias("folded"), F.col("p_brand").alias("term"))
     return merge.collisions(forms).select("folded", F.array_join("terms", ",").alias("terms"))
@@ -201,14 +233,44 @@ def review_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.review_stops(resolve.resolve_overlaps(_full(spark, sf_dir)))
 
 
+def lines_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption lines that hold the first three words of a benchmark passage."""
+    forms = demo.table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(normalize(F.col("text"), GENERIC), " "), 1, 3), " ").alias("form"))
+    return search.lines_with(search.word_index(demo.caption_lines(spark, sf_dir)), forms)
+
+
+def review_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stop of a review shows; every document has the page of its number for a video."""
+    found = settled(resolve.resolve_overlaps(_full(spark, sf_dir)), "resolved")
+    urls = demo.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "url")
+    return review.stop_context(found, demo.caption_lines(spark, sf_dir), demo.transcripts(spark, sf_dir), urls)
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """Answers that follow from the place and length of a form."""
+    stops = review.asked(found).select("doc_id", "term", "form", "k").distinct()
+    answer = F.element_at(F.array(*map(F.lit, review.ANSWERS)), ((F.col("k") + F.length("form")) % 6 + 1).cast("int"))
+    return review.given(stops, stops.withColumn("answer", answer).withColumn("context", F.array("term")))
+
+
+def review_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _told(settled(resolve.resolve_overlaps(_full(spark, sf_dir)), "resolved"))
+    return told.select("doc_id", "term", "form", "k", "answer", F.array_join("context", ",").alias("context"), "taken_by")
+
+
+def reviewed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = settled(resolve.resolve_overlaps(_full(spark, sf_dir)), "resolved")
+    return review.reviewed(found, settled(_told(found), "told")).select("doc_id", "start", "end", "original", "replacement", "term", "rule", "kind", "band", "score")
+
+
 def low_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.low_marks(resolve.resolve_overlaps(_full(spark, sf_dir)))
 
 
 def term_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = demo.full_pack()
-    found = settled(match.reached(windows(_tokens(spark, sf_dir), ENGLISH, exact_fold=True), pack), "reached")
-    return match.occurrences(match.exact_spans(found))
+    found = settled(match.reached(windows(_tokens(spark, sf_dir), ENGLISH, exact_fold=True), {"": pack}), "reached")
+    return match.occurrences(match.exact_spans(found)).drop("pack")
 
 
 def copy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +309,9 @@ def false_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = (
-    caption_lines, token_stream, sentence_windows, fold_text, html_clean, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
-    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
-    fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts, low_marks, term_occurrences, copy_changes, registry_updates, gold_terms, false_marks,
+    caption_lines, token_stream, sentence_windows, fold_text, html_clean, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, fit_table, threshold_table, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
+    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, merge_conflicts, merge_resolved, merge_outcomes, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
+    fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts, lines_with, review_context, review_answers, reviewed_annotations, low_marks, term_occurrences, copy_changes, registry_updates, gold_terms, false_marks,
 )
 QUERIES = {f.__name__: f for f in _WORDS}
 
@@ -407,6 +469,38 @@ ORACLES |= {name: f"WITH {_TOKENS}, {full_sql.FULL} {select}" for name, select i
 _GOLD = f"""gold AS (WITH {_FOUND.removeprefix(_TOKENS).lstrip(', ')} SELECT f.doc_id, f.start AS row_no, l.ts, f.original AS wrong, f.replacement AS correct, f.term, CASE f.kind WHEN 'alias' THEN 'alias' ELSE 'certo' END AS status
             FROM found f ASOF JOIN lines l ON f.doc_id = l.doc_id AND f.start >= l.start)"""
 ORACLES |= {name: f"WITH {_TOKENS}, {full_sql.FULL}, {_GOLD}, {full_sql.EVALUATE}{select}" for name, select in full_sql.EVALUATIONS.items()}
+ORACLES["fit_table"] = f"""WITH {_TOKENS}, {full_sql.FULL}, plain_found AS (WITH {_FOUND.removeprefix(_TOKENS).lstrip(', ')} SELECT doc_id, term FROM found), by_pack AS (
+            SELECT doc_id, 'full' AS pack, count(DISTINCT term)::BIGINT AS n_terms FROM resolved WHERE band = 'high' AND rule <> 'unit' GROUP BY doc_id
+            UNION ALL SELECT doc_id, 'plain', count(DISTINCT term)::BIGINT FROM plain_found GROUP BY doc_id
+        ) SELECT d.doc_id::VARCHAR AS doc_id, p.pack, coalesce(n_terms, 0) AS n_terms, coalesce(n_terms, 0) >= 3 AS fits
+          FROM documents d CROSS JOIN (VALUES ('full'), ('plain')) p(pack) LEFT JOIN by_pack c ON c.doc_id = d.doc_id::VARCHAR AND c.pack = p.pack"""
+_WORDY = "string_split(trim(regexp_replace(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}_$]+', ' ', 'g')), ' ')"
+ORACLES["lines_with"] = f"""WITH {_LINES}, forms AS (SELECT DISTINCT list_slice({_WORDY.format("text")}, 1, 3) AS w FROM benchmark), lead AS (SELECT *, array_to_string(w, ' ') AS form FROM forms WHERE w[1] <> ''),
+            worded AS (SELECT doc_id, line_no, {_WORDY.format("text")} AS w FROM lines), spread AS (SELECT doc_id, line_no, unnest(w) AS word, generate_subscripts(w, 1) AS spot, w FROM worded)
+            SELECT doc_id, line_no, form, count(*)::BIGINT AS n, (min(spot) - 1)::INT AS first_at FROM spread s JOIN lead l ON s.word = l.w[1] AND list_slice(s.w, s.spot, s.spot + len(l.w) - 1) = l.w GROUP BY ALL"""
+ORACLES["threshold_table"] = f"""WITH {_TOKENS}, {full_sql.down_to(60)}, {full_sql.THRESHOLDS}"""
+_MERGED = """parts AS (SELECT p_brand AS pack, p_partkey AS k, p_partkey % 12 AS c, p_partkey % 24 >= 12 AS odd, 'n' || md5(p_partkey::VARCHAR)[:11] AS a, 'z' || md5(p_partkey::VARCHAR || 'z')[:11] AS z, 'r' || md5(p_partkey::VARCHAR || 'r')[:11] AS r FROM part)"""
+ORACLES["merge_conflicts"] = f"""WITH {_MERGED}
+            SELECT pack, 'class' AS kind, a AS key, NULL AS other_key, a AS term, NULL AS form, 'c2' AS mine, 'c1' AS theirs, true AS can_mine, false AS can_both FROM parts WHERE c = 1
+            UNION ALL SELECT pack, 'kind', a, NULL, a, 'f' || k, 'variant', 'alias', true, false FROM parts WHERE c = 8
+            UNION ALL SELECT pack, 'renamed', a, r, a, NULL, a, r, true, false FROM parts WHERE c = 7 AND odd
+            UNION ALL SELECT pack, 'duplicate', a, a || 'x', a, NULL, a, a || 'x', true, odd FROM parts WHERE c = 9
+            UNION ALL SELECT pack, 'form', a, z, a, CASE WHEN odd THEN z ELSE 's' || k END, a, z, NOT odd, false FROM parts WHERE c = 10
+            UNION ALL SELECT pack, 'learned-removed', a, NULL, a, 'va' || k, 'va' || k, NULL, true, false FROM parts WHERE c = 11
+            UNION ALL SELECT pack, 'learned-rejected', a, NULL, a, 'rj' || k, NULL, 'rj' || k, true, false FROM parts WHERE c = 11"""
+ORACLES["merge_resolved"] = f"""WITH {_MERGED}, asked AS (SELECT *, preset = 'theirs' AS t FROM parts, (VALUES ('mine'), ('theirs'), ('later')) p(preset)), merged AS (
+            SELECT preset, pack, CASE WHEN c = 7 AND (NOT odd OR t) THEN r WHEN c = 9 AND t THEN a || 'x' ELSE a END AS term, CASE WHEN c = 1 THEN CASE WHEN t THEN 'c1' ELSE 'c2' END ELSE 'c0' END AS class,
+                   CASE WHEN c = 4 THEN ['al' || k, 'ua' || k] WHEN c = 7 AND (NOT odd OR t) THEN [a] WHEN c = 8 THEN CASE WHEN t THEN ['f' || k] ELSE [] END WHEN c = 9 THEN [CASE WHEN odd AND NOT t THEN 'dm' ELSE 'dx' END || k]
+                        WHEN c = 11 AND t THEN ['al' || k, 'rj' || k] ELSE ['al' || k] END AS aliases,
+                   CASE WHEN c = 2 THEN ['nv' || k, 'va' || k] WHEN c IN (3, 6) THEN ['mv' || k, 'va' || k] WHEN c = 4 THEN ['mv' || k] WHEN c = 7 AND odd THEN ['mv' || k, 'va' || k] WHEN c = 8 THEN CASE WHEN t THEN [] ELSE ['f' || k] END
+                        WHEN c = 9 THEN [] WHEN c = 10 AND NOT t THEN ['va' || k, CASE WHEN odd THEN z ELSE 's' || k END] WHEN c = 11 AND t THEN [] ELSE ['va' || k] END AS variants
+            FROM asked WHERE c <> 5
+            UNION ALL SELECT preset, pack, z, 'c0', [], CASE WHEN odd OR preset = 'mine' THEN [] ELSE ['s' || k] END FROM asked WHERE c = 10
+        ) SELECT preset, pack, term, class, array_to_string(list_sort(aliases), ',') AS aliases, array_to_string(list_sort(variants), ',') AS variants FROM merged"""
+ORACLES["merge_outcomes"] = f"""WITH {_MERGED}, o AS (
+            SELECT pack, CASE WHEN c = 0 THEN 'unchanged' WHEN c IN (1, 4, 8) THEN 'combined' WHEN c IN (2, 11) THEN 'updated' WHEN c IN (3, 6, 9, 10) THEN 'kept' WHEN c = 5 THEN 'removed' WHEN odd THEN 'kept' ELSE 'updated' END AS outcome FROM parts
+            UNION ALL SELECT pack, 'added' FROM parts WHERE c IN (9, 10)
+        ) SELECT pack, outcome, count(*)::BIGINT AS n FROM o GROUP BY ALL"""
 ORACLES["copy_changes"] = f"""WITH {_TERMS}, a AS (SELECT key AS term, unnest(list_concat(aliases, variants)) AS form FROM mine), b AS (SELECT key AS term, unnest(list_concat(aliases, variants)) AS form FROM base)
             SELECT term, form, 'added' AS change FROM a WHERE (term, form) NOT IN (SELECT (term, form) FROM b) UNION ALL SELECT term, form, 'removed' FROM b WHERE (term, form) NOT IN (SELECT (term, form) FROM a)"""
 ORACLES["registry_updates"] = f"""WITH {_INDEX}, ranked AS (SELECT *, row_number() OVER (PARTITION BY name, is_held ORDER BY v DESC, position DESC) AS k FROM held),

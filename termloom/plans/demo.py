@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.sources.captions import with_offsets
@@ -94,3 +94,41 @@ def term_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     up = s.where(k % 11 != 0).select(F.col("s_name").alias("term"), F.when(k % 4 == 0, "9").otherwise((k % 3).cast("string")).alias("class"), F.array(F.concat(F.lit("a"), (k % 5).cast("string"))).alias("aliases"), F.when(k % 2 == 0, F.array(F.lit("v"), F.lit("w"))).otherwise(F.array(F.lit("v"))).alias("variants"))
     mine = s.where(k % 13 != 0).select(F.col("s_name").alias("term"), F.when(k % 6 == 0, "8").otherwise((k % 3).cast("string")).alias("class"), F.when(k % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a"), (k % 5).cast("string")))).alias("aliases"), F.array(F.lit("v")).alias("variants"))
     return tuple(t.withColumn("key", F.lower("term")) for t in (base, up, mine))  # type: ignore[return-value]
+
+
+def merge_packs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Packs with three sides and a learned layer: a brand is a pack, and each of its parts a term (some two) that by its
+    number is left alone, changed here, upstream or on both sides, renamed, doubled or taken away."""
+    k = F.col("p_partkey")
+    own = lambda mark, *more: F.concat(F.lit(mark), F.substring(F.md5(F.concat(k.cast("string"), *map(F.lit, more))), 1, 11))
+    form = lambda mark: F.concat(F.lit(mark), k.cast("string"))
+    a, z, r = own("n"), own("z", "z"), own("r", "r")
+    case, odd = k % 12, k % 24 >= 12
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("pack"))
+    none = F.lit(None).cast("array<string>")
+
+    def side(test: Column, term: Column, klass: str | Column, aliases: Column, variants: Column, place: int = 0) -> DataFrame:
+        flat = {"collocations": none, "context": F.lit(None).cast("map<string,array<string>>"), "unless_near": F.lit(None).cast("map<string,array<string>>"), "match": F.lit(None).cast("string"), "case_sensitive": none}
+        return parts.where(test).select("pack", (k * 2 + place).cast("int").alias("pos"), term.alias("term"), (F.lit(klass) if isinstance(klass, str) else klass).alias("class"), aliases.alias("aliases"), variants.alias("variants"), *[v.alias(c) for c, v in flat.items()])
+
+    al, va, mv = F.array(form("al")), F.array(form("va")), F.array(form("va"), form("mv"))
+    base = side(~case.isin(8, 9), a, "c0", al, va)
+    up = (
+        side(case.isin(0, 1, 3, 10), a, F.when(case == 1, "c1").otherwise("c0"), al, va)
+        .unionByName(side(case == 2, a, "c0", al, F.array(form("va"), form("nv"))))
+        .unionByName(side(case == 4, a, "c0", F.array(form("al"), form("ua")), none))
+        .unionByName(side(case == 7, r, "c0", F.array(a), va))
+        .unionByName(side(case == 8, a, "c0", F.array(form("f")), none))
+        .unionByName(side(case == 9, F.concat(a, F.lit("x")), "c0", F.array(form("dx")), none))
+        .unionByName(side(case == 10, z, "c0", none, F.when(~odd, F.array(form("s"))), 1))
+        .unionByName(side(case == 11, a, "c0", F.array(form("al"), form("rj")), none))
+    )
+    mine = (
+        side(case.isin(0, 1, 2, 5, 11) | ((case == 7) & ~odd), a, F.when(case == 1, "c2").otherwise("c0"), al, va)
+        .unionByName(side(case.isin(3, 4, 6) | ((case == 7) & odd), a, "c0", al, mv))
+        .unionByName(side(case == 8, a, "c0", none, F.array(form("f"))))
+        .unionByName(side(case == 9, a, "c0", F.array(F.when(odd, form("dm")).otherwise(form("dx"))), none))
+        .unionByName(side(case == 10, a, "c0", al, F.array(form("va"), F.when(odd, z).otherwise(form("s")))))
+    )
+    layer = lambda mark: parts.where(case == 11).select("pack", a.alias("term"), form(mark).alias("text"))
+    return base, up, mine, layer("va"), layer("rj")

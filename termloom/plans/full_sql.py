@@ -5,7 +5,6 @@ from __future__ import annotations
 from termloom.functions.languages import ENGLISH
 
 _COMMON = "[" + ", ".join(f"'{w}'" for w in sorted(ENGLISH.common)) + "]"
-_NUMBERS = "|".join(ENGLISH.numbers)
 
 #: Continues the CTEs ``lines``, ``texts`` and ``tokens``; ``annotations`` are all proposals, ``resolved`` those that win.
 FULL = rf"""
@@ -92,6 +91,24 @@ FULL = rf"""
         SELECT *, trim(regexp_replace(original, '\s+', ' ', 'g')) AS form FROM resolved WHERE band IN ('medium', 'ask')
     )"""
 
+
+
+def down_to(mark: int) -> str:
+    """The CTEs of ``FULL`` with guesses down to another mark."""
+    return FULL.replace("m.score >= 70", f"m.score >= {mark}")
+
+
+#: Continues ``down_to(60)``: overlaps are resolved again at each threshold; a demoted guess ranks just below 80.
+THRESHOLDS = """
+    marks(threshold) AS (VALUES (60), (70), (80)), standing AS (
+        SELECT m.threshold, a.* FROM annotations a JOIN marks m ON m.threshold <= CASE WHEN rule <> 'term:fuzzy' THEN 100 WHEN band = 'low' AND score >= 80 THEN 79 ELSE score END
+    ), winners AS (
+        SELECT doc_id, threshold, list_reduce(list([{'s': start, 'e': "end", 'band': band}] ORDER BY band NOT IN ('high', 'medium'), score DESC, start - "end", start, rule, original, replacement, term),
+               lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: x[1].s < k.e AND k.s < x[1].e)) = 0 THEN list_concat(kept, x) ELSE kept END) AS found
+        FROM standing GROUP BY doc_id, threshold
+    ) SELECT d.doc_id::VARCHAR AS doc_id, m.threshold, coalesce(len(list_filter(w.found, lambda k: k.band = 'low')), 0)::BIGINT AS low_marks
+      FROM documents d CROSS JOIN marks m LEFT JOIN winners w ON w.doc_id = d.doc_id::VARCHAR AND w.threshold = m.threshold"""
+
 #: What each query reads from the CTEs above.
 SELECTS = {
     "full_annotations": 'SELECT doc_id, start, "end", original, replacement, term, rule, kind, band, score, pack_version FROM annotations',
@@ -106,10 +123,38 @@ SELECTS = {
     "term_occurrences": """, chosen AS (SELECT doc_id, term, list_reduce(list([{'i': i, 'n': n}] ORDER BY n DESC, i),
                lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.i < x[1].i + x[1].n AND x[1].i < k.i + k.n)) = 0 THEN list_concat(kept, x) ELSE kept END) AS found FROM spans GROUP BY doc_id, term)
             SELECT doc_id, term, o.i AS i, o.n AS n FROM (SELECT doc_id, term, unnest(found) AS o FROM chosen)""",
+    "review_context": r""", stops AS (SELECT doc_id, term, form, count(*)::BIGINT AS n, min({'s': start, 'e': "end"}) AS first FROM asked GROUP BY ALL), numbered AS (
+            SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first.s, first.e, term, form)::INT AS k, count(*) OVER (PARTITION BY doc_id)::INT AS n_stops FROM stops
+        ), around AS (SELECT *, lag(ts) OVER w AS before_ts, lag(text) OVER w AS before, lead(ts) OVER w AS after_ts, lead(text) OVER w AS after FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), spots AS (
+            SELECT s.doc_id, s.term, s.form, s.k, s.n_stops, s.n, s.first, arg_min({'ts': l.ts, 'low': l.start, 'before_ts': l.before_ts, 'before': l.before}, l.line_no) AS head, arg_max({'high': l."end", 'after_ts': l.after_ts, 'after': l.after}, l.line_no) AS tail
+            FROM numbered s JOIN around l ON l.doc_id = s.doc_id AND l.start < s.first.e AND s.first.s < l."end" GROUP BY ALL
+        ), stamped AS (SELECT a.doc_id, a.term, a.form, l.ts, min(a.start) AS spot FROM asked a ASOF JOIN lines l ON a.doc_id = l.doc_id AND a.start >= l.start GROUP BY ALL), listed AS (
+            SELECT doc_id, term, form, array_to_string(list(ts ORDER BY spot)[2:], ', ') AS elsewhere FROM stamped GROUP BY ALL
+        ), linked AS (SELECT page_id::VARCHAR AS doc_id, url FROM pages)
+        SELECT s.doc_id, s.term, s.form, s.k, s.n_stops, s.n, head.before_ts AS before_ts, head.before AS before, head.ts AS ts, tail.after_ts AS after_ts, tail.after AS after, elsewhere,
+            trim(regexp_replace(substr(t.text, head.low + 1, first.s - head.low) || '«' || substr(t.text, first.s + 1, first.e - first.s) || '»' || substr(t.text, first.e + 1, tail.high - first.e), '\s+', ' ', 'g')) AS shown,
+            coalesce(u.url || ' at ' || head.ts, '') AS link
+        FROM spots s JOIN listed USING (doc_id, term, form) JOIN texts t ON t.doc_id = s.doc_id LEFT JOIN linked u ON u.doc_id = s.doc_id""",
+    "review_answers": "{told} SELECT * FROM told",
+    "reviewed_annotations": """{told} SELECT r.doc_id, r.start, r."end", r.original, CASE WHEN takes THEN CASE WHEN answer = 'alias' THEN r.original ELSE r.term END ELSE r.replacement END AS replacement, r.term,
+            CASE WHEN takes THEN CASE answer WHEN 'alias' THEN 'term:alias' WHEN 'local' THEN 'local' ELSE 'term:variant' END ELSE rule END AS rule, CASE WHEN takes THEN CASE answer WHEN 'alias' THEN 'alias' ELSE 'correction' END ELSE kind END AS kind,
+            CASE WHEN takes THEN 'high' ELSE band END AS band, r.score
+            FROM (SELECT r.*, t.answer, band IN ('medium', 'ask') AND coalesce(t.answer IN ('yes', 'local', 'alias', 'context'), false) AS takes, band IN ('medium', 'ask') AND (coalesce(t.answer = 'no', false) OR t.taken_by IS NOT NULL) AS gone
+                  FROM resolved r LEFT JOIN told t ON t.doc_id = r.doc_id AND t.term = r.term AND t.form = trim(regexp_replace(r.original, '\\s+', ' ', 'g'))) r WHERE NOT gone""",
     "review_stops": """, stops AS (SELECT doc_id, term, form, count(*)::BIGINT AS n, min({'s': start, 'e': "end"}) AS first FROM asked GROUP BY ALL)
             SELECT doc_id, term, form, n, first.s AS start, row_number() OVER (PARTITION BY doc_id ORDER BY first.s, first.e, term)::INT AS k, count(*) OVER (PARTITION BY doc_id)::BIGINT AS n_stops FROM stops""",
 }
 
+_TOLD = """, numbered AS (
+        SELECT doc_id, term, form, dense_rank() OVER (PARTITION BY doc_id ORDER BY first.s, first.e, term, form)::INT AS k FROM (SELECT doc_id, term, form, min({'s': start, 'e': "end"}) AS first FROM asked GROUP BY ALL)
+    ), replied AS (SELECT *, ['yes', 'local', 'alias', 'no', 'later', 'context'][(k + length(form)) % 6 + 1] AS said FROM numbered), first_taken AS (
+        SELECT doc_id, form, min(k) AS k, arg_min(term, k) AS term FROM replied WHERE said NOT IN ('no', 'later') GROUP BY ALL
+    ), told AS (
+        SELECT r.doc_id, r.term, r.form, r.k, CASE WHEN coalesce(r.k > t.k, false) THEN NULL ELSE said END AS answer, CASE WHEN said = 'context' AND NOT coalesce(r.k > t.k, false) THEN r.term END AS context, CASE WHEN r.k > t.k THEN t.term END AS taken_by
+        FROM replied r LEFT JOIN first_taken t ON t.doc_id = r.doc_id AND t.form = r.form
+    )"""
+SELECTS = {name: text.replace("{told}", _TOLD) for name, text in SELECTS.items()}
+
 #: Continues ``FULL`` with a CTE ``gold`` of ``doc_id, row_no, ts, wrong, correct, term, status``.
 EVALUATE = r"""
     keyed AS (

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +33,26 @@ def build_session(app: str = "termloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LIVES: ContextVar[list[str] | None] = ContextVar("termloom_settled", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that steps write within the block are deleted at its end; use their results before it."""
+    mine: list[str] = []
+    before = _LIVES.set(mine)
+    try:
+        yield
+    finally:
+        _LIVES.reset(before)
+        for folder in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in ``spark.checkpoint.dir``, for plans that read them more than once: what is written
-    outlives its executors. On a local master without that folder a temporary one is set."""
+    outlives its executors, and stays until the :func:`temporary_tables` around it end. On a local master without that folder a temporary one is set."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -42,4 +62,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (mine := _LIVES.get()) is not None:
+        mine.append(path)
     return spark.read.schema(df.schema).parquet(path)
