@@ -6,15 +6,16 @@ folded. Nothing is asked here: conflicts are rows, answers are rows, and what ha
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.languages import Language
 from termloom.functions.similarity import indel_ratio, may_reach
 from termloom.functions.text import collapse, normalize
+from termloom.functions.values import bump
 from termloom.schemas import DUPLICATE_AT
 from termloom.session import settled
 
@@ -329,6 +330,62 @@ def merges(base: DataFrame, up: DataFrame, mine: DataFrame, confirmed: DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+HEADS = (
+    "pack string, language string, version string, min_engine string, name string, field string, description string, "
+    "classes array<string>, phonetic_classes array<string>, based_on string, local_edits int"
+)
+#: Heads that a copy keeps for itself, and lists that are merged as those of terms are.
+OWN_HEADS, HEAD_LISTS = ("name", "field", "based_on", "local_edits"), ("classes", "phonetic_classes")
+
+
+def edits(terms: DataFrame, up: DataFrame, language: Language) -> DataFrame:
+    """``pack, local_edits``: terms that differ from upstream's, that it lacks or that it has beside them."""
+    side = lambda rows, n: keyed(rows, language).select("pack", "key", F.struct("term", *FIELDS).alias(n))
+    beside = side(terms, "m").join(side(up, "u"), ["pack", "key"], "full_outer")
+    differs = F.col("m").isNull() | F.col("u").isNull() | ~_same("m", "u")
+    return beside.groupBy("pack").agg(F.sum(differs.cast("int")).cast("int").alias("local_edits"))
+
+
+def merged_heads(base: DataFrame, up: DataFrame, mine: DataFrame, counted: DataFrame, language: Language) -> DataFrame:
+    """Heads of merged packs: upstream's, but the copy's own ones, with both sides' classes and the record of what they
+    are based on; an edited pack gets a version of its own."""
+    side = lambda rows, n: rows.select("pack", F.struct(*[c.split()[0] for c in HEADS.split(", ")[1:]]).alias(n))
+    rows = side(up, "u").join(side(mine, "m"), "pack", "left").join(side(base, "b"), "pack", "left").join(counted.withColumnRenamed("local_edits", "edits"), "pack", "left")
+    entries = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(normalize(x, language).alias("k"), x.alias("x")))
+    picked = {c.split()[0]: F.col(f"u.{c.split()[0]}") for c in HEADS.split(", ")[1:]}
+    picked |= {c: F.coalesce(F.col(f"m.{c}"), F.col(f"u.{c}")) for c in OWN_HEADS}
+    for c in HEAD_LISTS:
+        united = _written(merged_list(*(entries(f"{x}.{c}") for x in "bum")))
+        picked[c] = F.when(F.col(f"u.{c}").isNotNull() | F.col(f"m.{c}").isNotNull(), united)
+    changed = F.coalesce("edits", F.lit(0))
+    picked |= {"version": F.when(changed > 0, bump(F.col("u.version"))).otherwise(F.col("u.version")), "based_on": F.concat_ws("@", "pack", "u.version"), "local_edits": changed}
+    return rows.select("pack", *[v.alias(c) for c, v in picked.items()])
+
+
+def assembled(terms: DataFrame, heads: DataFrame) -> DataFrame:
+    """``pack, n_terms, content``: each pack as one JSON text, its heads first and its terms nested again in their order;
+    what is null or empty is left out, so that it reads as the file that the tables came from."""
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    fields = [F.col("term"), F.col("class"), *[filled(c) for c in LISTS], filled("context"), filled("unless_near"), F.col("match"), filled("case_sensitive")]
+    nested = terms.select("pack", "pos", F.to_json(F.struct(*fields)).alias("term_json"))
+    nested = nested.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("pos", "term_json"))).alias("terms"))
+    rows = heads.join(nested, "pack", "left")
+    inner = F.array_join(F.transform("terms", lambda t: t["term_json"]), ",")
+    head = F.to_json(F.struct(*[filled(c) if c in HEAD_LISTS else F.col(c) for c in heads.columns if c != "pack"]))
+    listed = F.concat(F.lit('"terms":['), F.coalesce(inner, F.lit("")), F.lit("]}"))
+    body = F.substring(head, F.lit(1), F.length(head) - 1)
+    return rows.select("pack", F.greatest(F.coalesce(F.size("terms"), F.lit(0)), F.lit(0)).alias("n_terms"), F.concat(body, F.when(body == "{", "").otherwise(","), listed).alias("content"))
+
+
+def pack_tables(spark: SparkSession, packs: Mapping[str, dict]) -> tuple[DataFrame, DataFrame]:
+    """``(terms, heads)`` of packs given as their files' content."""
+    names = [c.split()[0] for c in TERMS.split(", ")]
+    terms = [tuple(({"pack": p, "pos": k} | t).get(c) for c in names) for p, data in packs.items() for k, t in enumerate(data.get("terms") or ())]
+    own = [c.split()[0] for c in HEADS.split(", ")]
+    heads = [tuple(({**data, "pack": p}).get(c) for c in own) for p, data in packs.items()]
+    return spark.createDataFrame(terms, TERMS), spark.createDataFrame(heads, HEADS)
+
+
 def unsettled(conflicts: DataFrame) -> DataFrame:
     """What a later turn has to ask."""
     return conflicts.where(F.col("answer") == LATER)

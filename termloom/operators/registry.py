@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.values import iso_date, too_old_for, version_numbers
@@ -30,6 +30,61 @@ def updates(installed: DataFrame, index: DataFrame, engine: str) -> DataFrame:
     return rows.select("name", "own", "usable", "held", state.alias("state"))
 
 
+#: Names that a registry accepts.
+PACK_NAME = r"^[a-z0-9]+(-[a-z0-9]+)*$"
+INDEX = "packs array<struct<name:string,version:string,language:string,description:string,path:string,sha256:string,min_engine:string>>"
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """``position, name, version, language, description, path, sha256, min_engine`` of index files; a file without packs
+    or with a name that no pack can have is an error."""
+    files = spark.read.schema(INDEX).json(path, multiLine=True, mode="PERMISSIVE")
+    if not files.where("packs is null").isEmpty():
+        raise ValueError(f"{path} is not a packs index")
+    rows = files.select(F.posexplode("packs").alias("position", "p")).select("position", "p.*")
+    strange = rows.where(~F.coalesce(F.col("name").rlike(PACK_NAME), F.lit(False))).limit(1).collect()
+    if strange:
+        raise ValueError(f"{path}: not a pack name: {strange[0]['name']}")
+    return rows
+
+
+def nearest_base(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """Adds ``base`` to ``name, have``: the newest version of the name in ``history`` that isn't newer than ``have``.
+
+    An as-of join: both tables in one order of versions, the last one of the history carried on.
+    """
+    marks = history.select("name", version_numbers(F.col("version")).alias("v"), F.lit(0).alias("kind"), F.col("version").alias("mark"), F.lit(None).alias("row")).distinct()
+    points = asked.select("name", version_numbers(F.col("have")).alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("mark"), F.struct(*asked.columns).alias("row"))
+    upto = Window.partitionBy("name").orderBy("v", "kind", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(points).withColumn("base", F.last("mark", ignorenulls=True).over(upto))
+    return both.where("kind = 1").select("row.*", F.when(F.col("v").isNotNull(), F.col("base")).alias("base"))
+
+
+def offers(copies: DataFrame, index: DataFrame, included: DataFrame, history: DataFrame, engine: str) -> DataFrame:
+    """``name, upstream, origin, based, own, edits, base, three_way, line``: copies whose upstream is newer than what they
+    are based on.
+
+    ``copies`` has ``name, version, based_on, local_edits``; without a record of its base, a copy is one only of a pack
+    that is ``included`` (``name, version``). Upstream is the newer of the included pack and the newest of the index
+    that this engine can read; of equal ones the included. ``base`` is the nearest version that ``history`` keeps, and a
+    merge is three-way if it is the very one.
+    """
+    usable = newest(index, engine).where("usable is not null").select("name", F.col("usable").alias("upstream"), F.lit("repository").alias("origin"))
+    both = included.select("name", F.col("version").alias("upstream"), F.lit("included").alias("origin")).unionByName(usable)
+    best = F.max_by(F.struct("upstream", "origin"), F.struct(F.coalesce(version_numbers(F.col("upstream")), F.array().cast("array<int>")), F.col("origin") == "included"))
+    best = both.groupBy("name").agg(best.alias("best"), F.max(F.col("origin") == "included").alias("here"))
+    based = F.nullif(F.regexp_extract("based_on", "^.+@(.+)$", 1), F.lit(""))
+    rows = copies.select("name", F.col("version").alias("own"), based.alias("based"), F.coalesce("local_edits", F.lit(0)).alias("edits")).join(best, "name")
+    rows = rows.where(F.col("based").isNotNull() | F.col("here")).withColumn("have", F.coalesce("based", "own"))
+    rows = rows.where(version_numbers(F.col("best.upstream")) > version_numbers(F.col("have")))
+    rows = nearest_base(rows.select("name", "own", "based", "edits", "have", "best"), history)
+    count = F.concat(F.col("edits").cast("string"), F.when(F.col("edits") == 1, " local edit").otherwise(" local edits"))
+    known = F.concat(F.lit("your copy is based on "), "based", F.lit(" with "), count, F.lit("."))
+    bare = F.concat(F.lit("your copy ("), "own", F.lit(") has no record of its base, so it merges two-way."))
+    line = F.concat("name", F.lit(" "), "best.upstream", F.lit(" is available; "), F.when(F.col("based").isNull(), bare).otherwise(known))
+    return rows.select("name", F.col("best.upstream").alias("upstream"), F.col("best.origin").alias("origin"), "based", "own", "edits", "base", F.coalesce(F.col("base") == F.col("based"), F.lit(False)).alias("three_way"), line.alias("line"))
+
+
 def run_catalog(sources: DataFrame) -> DataFrame:
     """Runs from ``run_id, source, date, title``: metadata before header before annotations, oldest first, undated last."""
     rank = F.when(F.col("source") == "meta", 0).when(F.col("source") == "header", 1).otherwise(2)

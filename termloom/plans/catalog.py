@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.languages import ENGLISH, GENERIC
+from termloom.functions.signs import composed
 from termloom.functions.text import clean_markup, fold, normalize
 from termloom.functions.values import bump, caption_stamp, iso_date, too_old_for, version_numbers, video_id, watch_link
 from termloom.operators import evaluate, match, merge, packmerge, registry, render, reports, resolve, review, search
@@ -51,6 +52,17 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.table(spark, sf_dir, "pages").select("page_id", F.md5(clean_markup(F.col("html"))).alias("text_md5"))
 
 
+_APART = {"é": "e\u0301", "è": "e\u0300", "ü": "u\u0308", "ç": "c\u0327", "ñ": "n\u0303", "ö": "o\u0308"}
+
+
+def compose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose accents were taken apart, and put together again."""
+    text = F.col("text")
+    for sign, parts in _APART.items():
+        text = F.replace(text, F.lit(sign), F.lit(parts))
+    return demo.table(spark, sf_dir, "documents").select("doc_id", F.md5(composed(text)).alias("text_md5"), F.length(text).alias("apart"))
+
+
 def exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(spark, sf_dir).where("rule in ('term:exact', 'term:variant')").select("doc_id", "start", "end", "original", "term", "rule", "kind", "band", "score")
 
@@ -279,6 +291,33 @@ def copy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.copy_changes(forms(mine), forms(base))
 
 
+def merged_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged packs put together again: version, record of the base, local edits and terms of each."""
+    base, up, mine, confirmed, rejected = demo.merge_packs(spark, sf_dir)
+    terms, _, _ = packmerge.merge(base, up, mine, confirmed, rejected, ENGLISH)
+    terms = settled(terms, "merged")
+    brands = demo.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("pack")).agg(F.count(F.lit(1)).alias("n"))
+    flat = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in packmerge.HEADS.split(", ")[1:]}
+    head = lambda version, **own: brands.select("pack", *[v.alias(c) for c, v in (flat | {"version": F.concat(F.lit(version), F.col("n").cast("string")), "language": F.lit("en")} | own).items()])
+    lists = lambda *classes: F.array(*map(F.lit, classes))
+    heads = packmerge.merged_heads(head("1.0.", classes=lists("c0", "old")), head("1.1.", classes=lists("c0", "c1")), head("1.0.", classes=lists("c0", "old", "c2"), name=F.col("pack")), packmerge.edits(terms.drop("key").withColumn("pos", F.col("pos.at")), up, ENGLISH), ENGLISH)
+    whole = packmerge.assembled(terms.withColumn("pos", F.col("pos.at")), heads)
+    term = F.from_json("content", "version string, based_on string, local_edits int, name string, classes array<string>, terms array<struct<term:string,aliases:array<string>>>")
+    return whole.select("pack", "n_terms", term.alias("c")).select("pack", F.col("n_terms").cast("long").alias("n_terms"), "c.version", "c.based_on", F.col("c.local_edits").cast("long").alias("local_edits"), "c.name", F.array_join("c.classes", ",").alias("classes"), F.array_join(F.array_sort(F.transform("c.terms", lambda t: t["term"])), ",").alias("terms"))
+
+
+def merge_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of brands, one a supplier and brand number, whose upstream is newer: the index holds the parts as versions, and
+    its versions are the history too."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string"), (F.floor(k / 5) % 7).cast("string"))
+    version = F.concat_ws(".", (k % 3).cast("string"), (k % 12).cast("string"), (k % 5).cast("string"))
+    rows = demo.table(spark, sf_dir, "supplier").select(name.alias("name"), version.alias("version"), F.when(k % 4 != 0, F.concat_ws("@", name, version)).alias("based_on"), (k % 3).cast("int").alias("local_edits"))
+    included = demo.table(spark, sf_dir, "nation").select(F.concat(F.lit("Brand#"), (F.col("n_nationkey") % 5 + 1).cast("string"), F.floor(F.col("n_nationkey") / 5).cast("string")).alias("name"), F.lit("3.2.0").alias("version"))
+    index = demo.pack_index(spark, sf_dir)
+    return registry.offers(rows, index, included, index.select("name", "version"), "0.8.1")
+
+
 def registry_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as installed packs: brands (some that the index lacks), every third edited here."""
     k = F.col("n_nationkey")
@@ -309,8 +348,8 @@ def false_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = (
-    caption_lines, token_stream, sentence_windows, fold_text, html_clean, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, fit_table, threshold_table, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
-    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, merge_conflicts, merge_resolved, merge_outcomes, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
+    caption_lines, token_stream, sentence_windows, fold_text, html_clean, compose_text, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, fit_table, threshold_table, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
+    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, merge_conflicts, merge_resolved, merge_outcomes, merged_packs, merge_offers, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
     fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts, lines_with, review_context, review_answers, reviewed_annotations, low_marks, term_occurrences, copy_changes, registry_updates, gold_terms, false_marks,
 )
 QUERIES = {f.__name__: f for f in _WORDS}
@@ -412,8 +451,8 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT doc_id, 3, start, e2, length(token) + 2 + length(t1) + length(t2) FROM a WHERE e2 IS NOT NULL AND NOT closes AND NOT c1
         ) SELECT doc_id, n::INT AS n, count(*)::BIGINT AS n_windows, sum(start)::BIGINT AS starts, sum("end")::BIGINT AS ends, sum(l)::BIGINT AS chars FROM u GROUP BY doc_id, n""",
     "fold_text": "SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9$ ]+', ' ', 'g'))) AS folded_md5 FROM documents",
-    "html_clean": r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'),
-            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), chr(160), ' '), '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')) AS text_md5 FROM pages""",
+    "html_clean": r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&'), chr(160), ' '), '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')) AS text_md5 FROM pages""",
     "exact_matches": f"""WITH {_FOUND} SELECT doc_id, start, "end", original, term, rule, kind, band, score::INT AS score FROM found WHERE rule IN ('term:exact', 'term:variant')""",
     "inflected_aliases": f"""WITH {_FOUND} SELECT doc_id, start, "end", original, term, kind FROM found WHERE rule = 'term:alias'""",
     "unit_hits": """SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR AS doc_id, 7::INT AS start,
@@ -501,6 +540,21 @@ ORACLES["merge_outcomes"] = f"""WITH {_MERGED}, o AS (
             SELECT pack, CASE WHEN c = 0 THEN 'unchanged' WHEN c IN (1, 4, 8) THEN 'combined' WHEN c IN (2, 11) THEN 'updated' WHEN c IN (3, 6, 9, 10) THEN 'kept' WHEN c = 5 THEN 'removed' WHEN odd THEN 'kept' ELSE 'updated' END AS outcome FROM parts
             UNION ALL SELECT pack, 'added' FROM parts WHERE c IN (9, 10)
         ) SELECT pack, outcome, count(*)::BIGINT AS n FROM o GROUP BY ALL"""
+ORACLES["compose_text"] = f"""WITH t AS (SELECT doc_id, {"replace(" * len(_APART)}text{"".join(f", '{sign}', '{parts}')" for sign, parts in _APART.items())} AS t FROM documents)
+            SELECT doc_id, md5(nfc_normalize(t)) AS text_md5, length(t)::INT AS apart FROM t"""
+ORACLES["merged_packs"] = f"""WITH {_MERGED}, terms AS (
+            SELECT pack, CASE WHEN c = 7 AND NOT odd THEN r ELSE a END AS term, CASE WHEN c IN (1, 3, 4, 6, 8, 10, 11) THEN 1 WHEN c = 9 OR c = 7 AND odd THEN 2 ELSE 0 END AS edits FROM parts WHERE c <> 5
+            UNION ALL SELECT pack, z, 0 FROM parts WHERE c = 10
+        ), sizes AS (SELECT pack, count(*) AS n FROM parts GROUP BY pack), packs AS (SELECT pack, count(*) AS n_terms, sum(edits)::BIGINT AS local_edits, string_agg(term, ',' ORDER BY term) AS terms FROM terms GROUP BY pack)
+        SELECT s.pack, n_terms, '1.1.' || CASE WHEN local_edits > 0 THEN n + 1 ELSE n END AS version, s.pack || '@1.1.' || n AS based_on, local_edits, s.pack AS name, 'c0,c1,c2' AS classes, terms FROM sizes s JOIN packs USING (pack)"""
+ORACLES["merge_offers"] = f"""WITH {_INDEX}, ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY v DESC, position DESC) AS k FROM held WHERE NOT is_held),
+            ups AS (SELECT name, version AS upstream, v, 'repository' AS origin, 1 AS last FROM ranked WHERE k = 1 UNION ALL SELECT 'Brand#' || (n_nationkey % 5 + 1) || (n_nationkey // 5), '3.2.0', [3, 2, 0]::BIGINT[], 'included', 0 FROM nation),
+            best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY v DESC, last) AS k, bool_or(origin = 'included') OVER (PARTITION BY name) AS here FROM ups),
+            copies AS (SELECT 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey // 5 % 7) AS name, (s_suppkey % 3) || '.' || (s_suppkey % 12) || '.' || (s_suppkey % 5) AS own, [s_suppkey % 3, s_suppkey % 12, s_suppkey % 5]::BIGINT[] AS h, s_suppkey % 4 <> 0 AS recorded, s_suppkey % 3 AS edits FROM supplier),
+            past AS (SELECT DISTINCT name, version, v FROM idx), near AS (SELECT c.*, p.version AS base FROM copies c ASOF LEFT JOIN past p ON p.name = c.name AND c.h >= p.v)
+            SELECT n.name, b.upstream, b.origin, CASE WHEN recorded THEN own END AS based, own, edits::INT AS edits, base, recorded AND coalesce(base = own, false) AS three_way,
+                   n.name || ' ' || b.upstream || ' is available; ' || CASE WHEN recorded THEN 'your copy is based on ' || own || ' with ' || edits || CASE WHEN edits = 1 THEN ' local edit.' ELSE ' local edits.' END ELSE 'your copy (' || own || ') has no record of its base, so it merges two-way.' END AS line
+            FROM near n JOIN best b ON b.name = n.name AND b.k = 1 WHERE (recorded OR here) AND b.v > n.h"""
 ORACLES["copy_changes"] = f"""WITH {_TERMS}, a AS (SELECT key AS term, unnest(list_concat(aliases, variants)) AS form FROM mine), b AS (SELECT key AS term, unnest(list_concat(aliases, variants)) AS form FROM base)
             SELECT term, form, 'added' AS change FROM a WHERE (term, form) NOT IN (SELECT (term, form) FROM b) UNION ALL SELECT term, form, 'removed' FROM b WHERE (term, form) NOT IN (SELECT (term, form) FROM a)"""
 ORACLES["registry_updates"] = f"""WITH {_INDEX}, ranked AS (SELECT *, row_number() OVER (PARTITION BY name, is_held ORDER BY v DESC, position DESC) AS k FROM held),

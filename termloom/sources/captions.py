@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termloom.functions.signs import composed
 from termloom.functions.text import clean_markup, collapse
 from termloom.functions.values import caption_stamp, cue_seconds, stamp_seconds
 from termloom.schemas import CUE_WINDOW_SECONDS
@@ -24,9 +25,9 @@ def parse_captions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A line is a stamp, a space and text; blank lines and lines without a space are left out; lines that
     begin with ``#`` are the header. A transcript is the texts joined by one space, and a line's offsets
-    (end exclusive) point into it. The rows are dealt by ``doc_id`` once; all per-document steps reuse that.
+    (end exclusive) point into it; all of it is in canonical composition. The rows are dealt by ``doc_id`` once; all per-document steps reuse that.
     """
-    rows = raw.select(F.col("doc_id").cast("string").alias("doc_id"), F.split(F.coalesce(F.col("raw"), F.lit("")), BREAKS).alias("rows")).repartition("doc_id")
+    rows = raw.select(F.col("doc_id").cast("string").alias("doc_id"), F.split(composed(F.coalesce(F.col("raw"), F.lit(""))), BREAKS).alias("rows")).repartition("doc_id")
     kept = F.filter("rows", lambda x: ~x.startswith("#"))
     header = F.filter("rows", lambda x: x.startswith("#"))
     parts = rows.select("doc_id", header.alias("header"), F.filter(F.transform(kept, _trimmed), lambda x: x.contains(" ")).alias("body"))

@@ -1,4 +1,4 @@
-"""Rolling captions as a stream: each line once per window, with state per document."""
+"""Rolling captions as a stream: each line once per window, with state per document that expires."""
 
 from __future__ import annotations
 
@@ -16,18 +16,29 @@ OUTPUT = "doc_id string, cue_no int, ts string, text string"
 STATE = "lines array<string>, seen array<double>"
 
 
-def rolling_stream(cues: DataFrame, seconds: float = CUE_WINDOW_SECONDS) -> DataFrame:
+def rolling_stream(cues: DataFrame, seconds: float = CUE_WINDOW_SECONDS, arrived: str | None = None, late: str = "10 minutes", idle_seconds: int = 3600) -> DataFrame:
     """The streaming form of ``captions.rolling_lines`` over ``doc_id, cue_no, start, end, lines``.
 
-    State is what each document has shown in the last ``seconds`` of its own time, so it stays small.
-    Cues of one document must arrive in order; a cue that arrives late is compared with what is known then.
+    State is what each document has shown in the last ``seconds`` of its own time. It goes when a document has been
+    silent for ``idle_seconds``: by the timestamps of the column ``arrived``, whose watermark trails by ``late``, else
+    by the clock. Cues of one document must arrive in order; with ``arrived``, a cue older than the watermark is
+    dropped; without, it is compared with what is known then. A cue after its document's state has gone begins anew.
     """
     clean = cues.withColumn("lines", F.filter(F.transform("lines", lambda x: collapse(clean_markup(x))), lambda x: x != ""))
+    if arrived:
+        clean = clean.withWatermark(arrived, late)
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        none = pd.DataFrame([], columns=["doc_id", "cue_no", "ts", "text"])
+        if state.hasTimedOut:
+            state.remove()
+            yield none
+            return
         shown = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out = []
+        out, last = [], 0
         for frame in frames:
+            if arrived:
+                last = max(last, int(frame[arrived].max().timestamp() * 1000))
             for cue in frame.sort_values("cue_no").itertuples():
                 shown = {line: at for line, at in shown.items() if cue.start - at <= seconds}
                 before = set(shown)
@@ -36,7 +47,15 @@ def rolling_stream(cues: DataFrame, seconds: float = CUE_WINDOW_SECONDS) -> Data
                     if line not in before:
                         out.append((key[0], cue.cue_no, f"{whole // 60}:{whole % 60:02d}", line))
                     shown[line] = cue.start
-        state.update((list(shown), list(shown.values())))
-        yield pd.DataFrame(out, columns=["doc_id", "cue_no", "ts", "text"])
-
-    return clean.groupBy("doc_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        if shown:
+            state.update((list(shown), list(shown.values())))
+            if arrived:
+                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
+            else:
+                state.setTimeoutDuration(idle_seconds * 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=none.columns) if out else none
+
+    timeout = GroupStateTimeout.EventTimeTimeout if arrived else GroupStateTimeout.ProcessingTimeTimeout
+    return clean.groupBy("doc_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", timeout)
