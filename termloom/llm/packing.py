@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytebpe import PieceIds, Pretokenizer, character_classes, special_tokens
-from ._shared import Scratch, id_and_text, slabs, tokenizer_path
+from ._shared import Scratch, id_and_text, release, slabs, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
 
@@ -69,7 +69,7 @@ def token_pieces(docs: DataFrame, size: int = 1024, tokenizer: str | None = None
         places: Counter = Counter()
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for ids, texts in slabs(batch, 3 << 20):
+            for ids, texts in slabs(batch, 1 << 20):
                 pieces, counts = split.pieces(texts)
                 known = library.learn(pieces)
                 rows, at = [], 0
@@ -84,6 +84,8 @@ def token_pieces(docs: DataFrame, size: int = 1024, tokenizer: str | None = None
                         start, length = start + length, size
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+                del pieces, known, rows
+            release()
 
     return id_and_text(docs).mapInArrow(run, PIECES)
 
