@@ -11,7 +11,7 @@ from termloom.functions.text import clean_markup, fold, normalize
 from termloom.functions.values import bump, caption_stamp, iso_date, too_old_for, version_numbers, video_id, watch_link
 from termloom.operators import evaluate, match, merge, packmerge, registry, render, reports, resolve, review, search
 from termloom.operators.tokens import tokenize, windows
-from termloom.plans import demo, full_sql
+from termloom.plans import demo, full_sql, sound_sql
 from termloom.session import settled
 from termloom.sources.captions import locate, rolling_lines, touched_lines
 
@@ -229,6 +229,19 @@ def full_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _full(spark, sf_dir)
 
 
+def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.find_annotations(demo.spoken(spark, sf_dir), demo.sound_pack())
+
+
+def spoken_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Portuguese pack: number words, plurals, unit rules with words of their own, learned forms, and names heard."""
+    return _heard(spark, sf_dir).select("doc_id", "start", "end", "original", "term", "rule", "kind", "band", "score")
+
+
+def phonetic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heard(spark, sf_dir).where("rule = 'term:phonetic'").groupBy("original", "term", "band", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _full(spark, sf_dir).where("rule = 'term:fuzzy'").groupBy("original", "term", "band", "score").agg(F.count(F.lit(1)).alias("n"))
 
@@ -349,7 +362,7 @@ def false_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = (
     caption_lines, token_stream, sentence_windows, fold_text, html_clean, compose_text, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, fit_table, threshold_table, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
-    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, merge_conflicts, merge_resolved, merge_outcomes, merged_packs, merge_offers, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations,
+    asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, merge_conflicts, merge_resolved, merge_outcomes, merged_packs, merge_offers, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations, spoken_annotations, phonetic_matches,
     fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts, lines_with, review_context, review_answers, reviewed_annotations, low_marks, term_occurrences, copy_changes, registry_updates, gold_terms, false_marks,
 )
 QUERIES = {f.__name__: f for f in _WORDS}
@@ -540,6 +553,9 @@ ORACLES["merge_outcomes"] = f"""WITH {_MERGED}, o AS (
             SELECT pack, CASE WHEN c = 0 THEN 'unchanged' WHEN c IN (1, 4, 8) THEN 'combined' WHEN c IN (2, 11) THEN 'updated' WHEN c IN (3, 6, 9, 10) THEN 'kept' WHEN c = 5 THEN 'removed' WHEN odd THEN 'kept' ELSE 'updated' END AS outcome FROM parts
             UNION ALL SELECT pack, 'added' FROM parts WHERE c IN (9, 10)
         ) SELECT pack, outcome, count(*)::BIGINT AS n FROM o GROUP BY ALL"""
+_SPOKEN = "WITH " + _TOKENS.replace("' ') AS text FROM documents d", f"' '){sound_sql.SUFFIX} AS text FROM documents d") + ", " + sound_sql.ORACLE
+ORACLES["spoken_annotations"] = _SPOKEN
+ORACLES["phonetic_matches"] = f"SELECT original, term, band, score, count(*)::BIGINT AS n FROM ({_SPOKEN}) WHERE rule = 'term:phonetic' GROUP BY ALL"
 ORACLES["compose_text"] = f"""WITH t AS (SELECT doc_id, {"replace(" * len(_APART)}text{"".join(f", '{sign}', '{parts}')" for sign, parts in _APART.items())} AS t FROM documents)
             SELECT doc_id, md5(nfc_normalize(t)) AS text_md5, length(t)::INT AS apart FROM t"""
 ORACLES["merged_packs"] = f"""WITH {_MERGED}, terms AS (

@@ -31,6 +31,16 @@ FULL_PACK = {
 }
 
 
+#: A Portuguese pack of names that are only heard (units are never guessed at), with a unit rule's own term and words.
+SOUND_PACK = {
+    "language": "pt-BR", "version": "3.0.0", "classes": ["word"], "phonetic_classes": ["unidade"],
+    "terms": [
+        {"term": "Thintion", "class": "unidade"}, {"term": "Thanedble", "class": "unidade", "aliases": ["thonth"]},
+        {"term": "bi", "class": "unidade", "aliases": ["bilhão"], "variants": ["be", "in dois"]},
+    ],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +73,18 @@ def full_pack() -> Pack:
     return pack_from(FULL_PACK, Learned(rejected=(("ertion", "attion", "2024-01-01"),)))
 
 
+def sound_pack() -> Pack:
+    layer = Learned(confirmed=(("Thintion", "thineation", "2024-01-01", ()),), aliases=(("Thanedble", "thndble", "2024-01-01"),), rejected=(("thention", "Thintion", "2024-01-01"),))
+    return pack_from(SOUND_PACK, layer)
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcripts, each ending in its length as a number of billions and a number word."""
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    rows = transcripts(spark, sf_dir).join(sizes, "doc_id")
+    return rows.select("doc_id", F.concat("text", F.lit(" . cresceu "), F.col("n").cast("string"), F.lit(" B com in dois")).alias("text"))
+
+
 def event_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cues: a user's events in order, two seconds long, the type as the line."""
     from pyspark.sql import Window
