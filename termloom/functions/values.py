@@ -80,3 +80,25 @@ def bump(version: Column) -> Column:
 def bump_text(version: str | None) -> str:
     found = re.fullmatch(r"(\d+\.\d+\.)(\d+)", version or "")
     return f"{found[1]}{int(found[2]) + 1}" if found else "0.1.0"
+
+
+# Names of languages by base code.
+LANGUAGE_NAMES = {
+    "pt": "Portuguese", "en": "English", "es": "Spanish", "fr": "French", "de": "German",
+    "it": "Italian", "ja": "Japanese", "ko": "Korean", "zh": "Chinese",
+}
+
+
+def language_name(code: Column) -> Column:
+    """A language by its name, a regional one with its code beside it, an unknown one as its code."""
+    base = F.substring_index(code, "-", 1)
+    name = F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair]), base)
+    return F.when(name.isNull(), code).when(base == code, name).otherwise(F.concat(name, F.lit(" ("), code, F.lit(")")))
+
+
+def run_id(path: Column, url: Column, root: str = "runs") -> Column:
+    """The run that a caption belongs to: the folder under ``root`` that it lies in, else the video of its address, else
+    the file's name without its ending."""
+    inside = F.regexp_extract(path, rf"(?:^|/){root}/([^/]+)/", 1)
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(F.nullif(inside, F.lit("")), F.nullif(video_id(url), F.lit("")), stem)

@@ -76,3 +76,8 @@ def counts(result: dict[str, DataFrame]) -> DataFrame:
 def per_term(result: dict[str, DataFrame]) -> DataFrame:
     hit = F.sum(F.when(F.col("outcome").isin("hit", "recognized"), 1).otherwise(0))
     return result["rows"].groupBy("term").agg(hit.alias("hits"), F.count(F.lit(1)).alias("total"))
+
+
+def false_forms(result: dict[str, DataFrame]) -> DataFrame:
+    """``original, term, n``: false positives by what was marked and as what."""
+    return result["false_positives"].groupBy("original", "term").agg(F.count(F.lit(1)).alias("n"))

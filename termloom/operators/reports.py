@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import collapse
 from termloom.schemas import EXAMPLES_PER_FORM, QUESTION_BANDS
+from termloom.sources.captions import touched_lines
 
 SECTIONS = ("terms", "unit rules", "recognized (not changed)", "applied, please confirm", "suggested, not applied")
 
@@ -92,3 +93,69 @@ def frequent_terms(annotations: DataFrame, limit: int = 5) -> DataFrame:
     """The most frequent terms of each document, as offered for a context."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
     return annotations.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def _times(n: Column) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, " occurrence").otherwise(" occurrences"))
+
+
+def report_texts(annotations: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text``: the report of each document: sections in their order, terms by total then name, forms by count
+    then first place, then how many marks are low. Documents of ``docs`` without annotations say so.
+
+    Forms are counted before they meet; a document's text is as long as its distinct forms are many.
+    """
+    rows = with_section(annotations)
+    forms = rows.where("section is not null").groupBy("doc_id", "section", "term", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("start", "end")).alias("first"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "form")))
+    terms = forms.groupBy("doc_id", "section", "term").agg(F.sum("n").alias("total"), listed.alias("forms"))
+    names = F.array_join(F.transform("forms", lambda x: x["form"]), ", ")
+    terms = terms.withColumn("line", F.concat(F.lit("  "), names, F.lit(" ("), _times(F.col("total")), F.lit(") -> "), "term"))
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    parts = terms.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("less"), "term", "line"))).alias("lines"))
+    parts = parts.select("doc_id", F.struct(place.alias("place"), F.concat("section", F.lit(":\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text")).alias("part"))
+    low = rows.where("band = 'low'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    low = low.select("doc_id", F.struct(F.lit(len(SECTIONS) + 1).cast("bigint").alias("place"), F.concat(F.col("n").cast("string"), F.lit(" low-confidence marks, not applied")).alias("text")).alias("part"))
+    texts = parts.unionByName(low).groupBy("doc_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    texts = texts.select("doc_id", F.rtrim(F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["text"]), "\n"), r"\n+$", "")).alias("text"))
+    if docs is None:
+        return texts
+    return docs.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("no annotations.")).alias("text"))
+
+
+def pending_texts(annotations: DataFrame, lines: DataFrame, answers: DataFrame | None = None, limit: int = EXAMPLES_PER_FORM) -> DataFrame:
+    """``doc_id, n, text``: what is still to be answered, by term and form, each form with why it is here and the lines of
+    its first ``limit`` places. Documents with nothing left have no row.
+    """
+    left = pending(annotations, answers)
+    asked = with_section(annotations).where(F.col("band").isin(*QUESTION_BANDS))
+    order = Window.partitionBy("doc_id", "term", "form").orderBy("start", "end")
+    few = asked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).select("doc_id", "term", "form", "k", "start", "end")
+    spots = touched_lines(few, lines).groupBy("doc_id", "term", "form", "k").agg(F.sort_array(F.collect_list(F.struct("line_no", "ts", "line_text"))).alias("on"))
+    stamps, words = F.array_join(F.transform("on", lambda x: x["ts"]), "/"), collapse(F.array_join(F.transform("on", lambda x: x["line_text"]), " "))
+    shown = spots.select("doc_id", "term", "form", "k", F.concat(F.lit("\n    "), stamps, F.lit("  "), words).alias("line"))
+    shown = shown.groupBy("doc_id", "term", "form").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("shown"))
+    rows = left.join(shown, ["doc_id", "term", "form"], "left")
+    examples_ = F.coalesce(F.array_join(F.transform("shown", lambda x: x["line"]), ""), F.lit(""))
+    rows = rows.withColumn("block", F.concat(F.lit("\n  "), "form", F.lit("  ("), _times(F.col("n")), F.lit(")  "), "tag", examples_))
+    terms = rows.groupBy("doc_id", "term", "term_total", "term_rank").agg(F.count(F.lit(1)).alias("forms"), F.sort_array(F.collect_list(F.struct("form_rank", "block"))).alias("blocks"))
+    terms = terms.withColumn("text", F.concat("term", F.lit("  ("), _times(F.col("term_total")), F.lit(")"), F.array_join(F.transform("blocks", lambda x: x["block"]), "")))
+    texts = terms.groupBy("doc_id").agg(F.sum("forms").alias("n"), F.sort_array(F.collect_list(F.struct("term_rank", "term", "text"))).alias("texts"))
+    return texts.select("doc_id", "n", F.concat(F.array_join(F.transform("texts", lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("text"))
+
+
+def run_totals(annotations: DataFrame, pairs: int = 2) -> DataFrame:
+    """``doc_id, corrected, recognized, to_confirm, suggested, pairs``: what a run prints: certain corrections with the
+    first ``pairs`` distinct changes, recognised names, and the distinct forms (of a term) to confirm or suggested."""
+    rows = with_section(annotations)
+    fix, high = F.col("kind") == "correction", F.col("band") == "high"
+    form = F.struct("term", "form")
+    totals = rows.groupBy("doc_id").agg(
+        F.sum((fix & high).cast("int")).alias("corrected"), F.sum((~fix & high).cast("int")).alias("recognized"),
+        F.countDistinct(F.when(fix & (F.col("band") == "medium"), form)).alias("to_confirm"), F.countDistinct(F.when(F.col("band") == "ask", form)).alias("suggested"),
+    )
+    change = F.concat("original", F.lit(" → "), "replacement").alias("change")
+    first = rows.where(fix & high).groupBy("doc_id", change).agg(F.min(F.struct("start", "end")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
+    few = first.withColumn("k", rank).where(F.col("k") <= pairs).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "change"))), lambda x: x["change"]), ", ").alias("pairs"))
+    return totals.join(few, "doc_id", "left").select("doc_id", "corrected", "recognized", "to_confirm", "suggested", F.coalesce("pairs", F.lit("")).alias("pairs"))

@@ -10,6 +10,7 @@ from termloom.functions.signs import composed
 from termloom.functions.text import clean_markup, fold, normalize
 from termloom.functions.values import bump, caption_stamp, iso_date, too_old_for, version_numbers, video_id, watch_link
 from termloom.operators import evaluate, match, merge, packmerge, registry, render, reports, resolve, review, search
+from termloom.operators.normalize import normalize as normalize_run
 from termloom.operators.tokens import tokenize, windows
 from termloom.plans import demo, full_sql, sound_sql
 from termloom.session import settled
@@ -250,6 +251,35 @@ def resolved_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_overlaps(_full(spark, sf_dir))
 
 
+def normalized_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one entry of a run: what was asked is decided for its document only, then documents without three terms are
+    left alone."""
+    texts, lines = demo.transcripts(spark, sf_dir), demo.caption_lines(spark, sf_dir)
+    asked = resolve.resolve_overlaps(_full(spark, sf_dir)).where("band = 'ask'").select("doc_id", "term", F.col("original").alias("form")).distinct()
+    run = normalize_run(texts, lines, demo.full_pack(), asked)
+    return run.annotations.select("doc_id", "start", "end", "term", "rule", "kind", "band", "score")
+
+
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = settled(resolve.resolve_overlaps(_full(spark, sf_dir)), "resolved")
+    return reports.report_texts(found, demo.transcripts(spark, sf_dir))
+
+
+def pending_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending forms as texts; every third form is answered and every third skipped, by its length."""
+    found = settled(resolve.resolve_overlaps(_full(spark, sf_dir)), "resolved")
+    told = reports.questions(found).select("doc_id", "term", "form", F.element_at(F.array(F.lit(None).cast("string"), F.lit("s"), F.lit("y")), F.length("form") % 3 + 1).alias("answer")).where("answer is not null")
+    return reports.pending_texts(found, demo.caption_lines(spark, sf_dir), told)
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.run_totals(resolve.resolve_overlaps(_full(spark, sf_dir)))
+
+
+def false_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.false_forms(_scored(spark, sf_dir))
+
+
 def pending_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pending(resolve.resolve_overlaps(_full(spark, sf_dir)))
 
@@ -363,7 +393,7 @@ def false_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = (
     caption_lines, token_stream, sentence_windows, fold_text, html_clean, compose_text, exact_matches, inflected_aliases, unit_hits, annotation_report, report_sections, pack_fit, fit_table, threshold_table, run_summary, band_rollup, frequent_terms, rendered_lines, annotation_json,
     asof_line, span_lines, top_examples, rolling_dedupe, near_range_join, merge_presence, merge_summary, merge_conflicts, merge_resolved, merge_outcomes, merged_packs, merge_offers, form_collisions, registry_choice, version_compare, run_catalog, track_choice, watch_links, local_decisions, full_annotations, spoken_annotations, phonetic_matches,
-    fuzzy_matches, resolved_annotations, pending_forms, review_stops, evaluate_counts, lines_with, review_context, review_answers, reviewed_annotations, low_marks, term_occurrences, copy_changes, registry_updates, gold_terms, false_marks,
+    fuzzy_matches, resolved_annotations, normalized_annotations, report_texts, pending_texts, run_totals, false_forms, pending_forms, review_stops, evaluate_counts, lines_with, review_context, review_answers, reviewed_annotations, low_marks, term_occurrences, copy_changes, registry_updates, gold_terms, false_marks,
 )
 QUERIES = {f.__name__: f for f in _WORDS}
 

@@ -117,6 +117,37 @@ SELECTS = {
     "local_decisions": """, chosen AS (SELECT DISTINCT doc_id, term, original FROM resolved WHERE band = 'ask')
             SELECT r.doc_id, r.start, r."end", r.term, CASE WHEN t THEN 'local' ELSE rule END AS rule, CASE WHEN t THEN 'correction' ELSE kind END AS kind, CASE WHEN t THEN 'high' ELSE band END AS band, r.score
             FROM (SELECT *, band <> 'high' AND (doc_id, term, original) IN (SELECT (doc_id, term, original) FROM chosen) AS t FROM resolved) r""",
+    "normalized_annotations": """, chosen AS (SELECT DISTINCT doc_id, term, original FROM resolved WHERE band = 'ask'), decided AS (
+            SELECT r.doc_id, r.start, r."end", r.term, CASE WHEN t THEN 'local' ELSE rule END AS rule, CASE WHEN t THEN 'correction' ELSE kind END AS kind, CASE WHEN t THEN 'high' ELSE band END AS band, r.score
+            FROM (SELECT *, band <> 'high' AND (doc_id, term, original) IN (SELECT (doc_id, term, original) FROM chosen) AS t FROM resolved) r
+        ) SELECT * FROM decided WHERE doc_id IN (SELECT doc_id FROM decided WHERE band = 'high' AND rule <> 'unit' GROUP BY doc_id HAVING count(DISTINCT term) >= 3)""",
+    "report_texts": r""", sectioned AS (
+            SELECT *, trim(regexp_replace(original, '\s+', ' ', 'g')) AS form, CASE WHEN band = 'high' AND kind = 'correction' AND rule <> 'unit' THEN 1 WHEN band = 'high' AND kind = 'correction' THEN 2 WHEN band = 'high' THEN 3 WHEN band = 'medium' THEN 4 WHEN band = 'ask' THEN 5 END AS part FROM resolved
+        ), by_form AS (SELECT doc_id, part, term, form, count(*) AS n, min({'s': start, 'e': "end"}) AS first FROM sectioned WHERE part IS NOT NULL GROUP BY ALL), by_term AS (
+            SELECT doc_id, part, term, sum(n)::BIGINT AS total, string_agg(form, ', ' ORDER BY n DESC, first.s, first.e) AS listed FROM by_form GROUP BY ALL
+        ), by_part AS (
+            SELECT doc_id, part, ['terms', 'unit rules', 'recognized (not changed)', 'applied, please confirm', 'suggested, not applied'][part] || ':' || chr(10)
+                   || string_agg('  ' || listed || ' (' || total || CASE WHEN total = 1 THEN ' occurrence' ELSE ' occurrences' END || ') -> ' || term, chr(10) ORDER BY total DESC, term) AS text
+            FROM by_term GROUP BY doc_id, part
+            UNION ALL SELECT doc_id, 6, count(*) || ' low-confidence marks, not applied' FROM resolved WHERE band = 'low' GROUP BY doc_id
+        ), whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY part) AS text FROM by_part GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(w.text, 'no annotations.') AS text FROM texts t LEFT JOIN whole w USING (doc_id)""",
+    "pending_texts": r""", by_form AS (SELECT doc_id, term, form, count(*) AS n FROM asked GROUP BY ALL), totals AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, term)::BIGINT AS total FROM by_form), spots AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, term, form ORDER BY start, "end") AS k FROM asked
+        ), shown AS (
+            SELECT s.doc_id, s.term, s.form, s.k, chr(10) || '    ' || string_agg(l.ts, '/' ORDER BY l.line_no) || '  ' || trim(regexp_replace(string_agg(l.text, ' ' ORDER BY l.line_no), '\s+', ' ', 'g')) AS line
+            FROM spots s JOIN lines l ON l.doc_id = s.doc_id AND l.start < s."end" AND s.start < l."end" WHERE s.k <= 3 GROUP BY ALL
+        ), listed AS (SELECT doc_id, term, form, string_agg(line, '' ORDER BY k) AS shown FROM shown GROUP BY ALL), blocks AS (
+            SELECT t.*, chr(10) || '  ' || form || '  (' || n || CASE WHEN n = 1 THEN ' occurrence' ELSE ' occurrences' END || ')  ' || CASE length(form) % 3 WHEN 0 THEN '[never asked]' ELSE '[skipped]' END || shown AS block
+            FROM totals t JOIN listed USING (doc_id, term, form) WHERE length(form) % 3 <> 2
+        ), terms AS (SELECT doc_id, term, total, count(*) AS forms, term || '  (' || total || CASE WHEN total = 1 THEN ' occurrence' ELSE ' occurrences' END || ')' || string_agg(block, '' ORDER BY n DESC, form) AS text FROM blocks GROUP BY doc_id, term, total)
+        SELECT doc_id, sum(forms)::BIGINT AS n, string_agg(text, chr(10) || chr(10) ORDER BY total DESC, term) || chr(10) AS text FROM terms GROUP BY doc_id""",
+    "run_totals": r""", changes AS (SELECT doc_id, original || ' → ' || replacement AS change, min({'s': start, 'e': "end"}) AS first FROM resolved WHERE band = 'high' AND kind = 'correction' GROUP BY ALL),
+            in_order AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first.s, first.e) AS k FROM changes), few AS (SELECT doc_id, string_agg(change, ', ' ORDER BY k) AS pairs FROM in_order WHERE k <= 2 GROUP BY doc_id),
+            formed AS (SELECT *, trim(regexp_replace(original, '\s+', ' ', 'g')) AS form FROM resolved)
+            SELECT doc_id, sum((kind = 'correction' AND band = 'high')::INT)::BIGINT AS corrected, sum((kind = 'alias' AND band = 'high')::INT)::BIGINT AS recognized,
+                   count(DISTINCT CASE WHEN kind = 'correction' AND band = 'medium' THEN {'t': term, 'f': form} END)::BIGINT AS to_confirm, count(DISTINCT CASE WHEN band = 'ask' THEN {'t': term, 'f': form} END)::BIGINT AS suggested, coalesce(any_value(pairs), '') AS pairs
+            FROM formed LEFT JOIN few USING (doc_id) GROUP BY doc_id""",
     "pending_forms": """, grouped AS (SELECT doc_id, term, form, count(*)::BIGINT AS n FROM asked GROUP BY ALL), totals AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, term)::BIGINT AS term_total FROM grouped)
             SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY term_total DESC, term)::INT AS term_rank, row_number() OVER (PARTITION BY doc_id, term ORDER BY n DESC, form)::INT AS form_rank, '[never asked]' AS tag FROM totals""",
     "low_marks": "SELECT doc_id, sum((band = 'low')::INT)::BIGINT AS low_marks FROM resolved GROUP BY doc_id",
@@ -190,6 +221,8 @@ EVALUATIONS = {
         SELECT doc_id, coalesce(in_scope, 0)::BIGINT AS in_scope, coalesce(hits, 0)::BIGINT AS hits, coalesce(misses, 0)::BIGINT AS misses, coalesce(aliases_recognized, 0)::BIGINT AS aliases_recognized,
             coalesce(aliases_substituted, 0)::BIGINT AS aliases_substituted, coalesce(false_positives, 0)::BIGINT AS false_positives FROM by_row FULL JOIN by_false USING (doc_id)""",
     "gold_terms": " SELECT term, sum((good IS NOT NULL)::INT)::BIGINT AS hits, count(*)::BIGINT AS total FROM scored GROUP BY term",
+    "false_forms": """, wrongly AS (SELECT f.doc_id, f.a, min(p.original) AS original, min(p.term) AS term FROM false_ones f JOIN placed p ON p.doc_id = f.doc_id AND p.a = f.a WHERE p.kind = 'correction' GROUP BY f.doc_id, f.a)
+        SELECT original, term, count(*)::BIGINT AS n FROM wrongly GROUP BY ALL""",
     "false_marks": """ SELECT f.doc_id, f.a.s AS start, arg_min(p.ts, p.line_no) AS ts, min(p.original) AS original, min(p.term) AS term FROM false_ones f JOIN placed p ON p.doc_id = f.doc_id AND p.a = f.a
         WHERE p.kind = 'correction' GROUP BY f.doc_id, f.a""",
 }
