@@ -349,7 +349,7 @@ class PieceIds:
     """Ids of pieces by the library, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
-        self.library, self.special, self.remembered = Library(path), special_tokens(path), Remembered(f"ids {path}", 400_000)
+        self.library, self.special, self.remembered = Library(path), special_tokens(path), Remembered(f"ids {path}", 180_000)
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """A dictionary that holds at least these pieces."""

@@ -65,6 +65,7 @@ def token_pieces(docs: DataFrame, size: int = 1024, tokenizer: str | None = None
     classes, special = character_classes(path), special_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         split, library, task = Pretokenizer(classes, tuple(special)), PieceIds(path), TaskContext.get().partitionId()
         places: Counter = Counter()
         last = np.array([end_id], "<u4").tobytes()
