@@ -31,7 +31,7 @@ class Language:
     common: frozenset[str] = frozenset()
 
 
-# Number words and ordinary words.
+# Number words and ordinary words; below, the plurals and units of each language.
 _PT_NUMBERS = {
     "dois": "2", "duas": "2", "tres": "3", "quatro": "4", "cinco": "5", "seis": "6",
     "sete": "7", "oito": "8", "nove": "9", "dez": "10", "onze": "11", "doze": "12",

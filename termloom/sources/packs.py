@@ -96,11 +96,9 @@ class Pack:
 
     def forms_table(self, spark: SparkSession) -> DataFrame:
         """The forms as a table (see ``schemas.FORMS``)."""
-        owned, klass = self.owned(), self.class_of()
-        rows = []
+        owned, rows = self.owned(), []
         for k, f in enumerate(self.forms):
-            fuzzy = f.origin != "alias" and f.source == "pack" and not f.exact and klass.get(f.term) != UNIT_CLASS
-            rows.append((k, f.display, f.folded, spaced(f.folded), f.term, f.origin, f.source, f.exact, composed(spaced(f.display)) if f.cased else None, fuzzy, f.origin == "variant" and (f.term, f.folded) in owned))
+            rows.append((k, f.display, f.folded, spaced(f.folded), f.term, f.origin, f.source, f.exact, composed(spaced(f.display)) if f.cased else None, self.fuzzy(f), f.origin == "variant" and (f.term, f.folded) in owned))
         return spark.createDataFrame(rows, FORMS)
 
 

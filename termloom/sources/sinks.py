@@ -6,8 +6,9 @@ import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from termloom.operators.render import annotation_json, corrections_table, rendered_text
+from termloom.operators.render import annotation_json, corrections_table
 from termloom.sources.packs import Learned, _yaml
 
 MOST_IN_LINK = 8000
@@ -18,10 +19,25 @@ def write_annotations(annotations: DataFrame, path: str) -> None:
     annotation_json(annotations).write.mode("overwrite").parquet(path)
 
 
+def _write_lines(lines: DataFrame, between: str, path: str) -> None:
+    """Plain text, one folder per document: stamp, what stands between, text, in order of ``line_no``."""
+    rows = lines.repartition("doc_id").sortWithinPartitions("doc_id", "line_no")
+    rows.select("doc_id", F.concat("ts", F.lit(between), "text").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def write_rendered(rendered: DataFrame, path: str) -> None:
-    """Plain text, one folder per document, lines in order."""
-    rows = rendered_text(rendered).repartition("doc_id")
-    rows.write.mode("overwrite").partitionBy("doc_id").text(path)
+    """Corrected captions (``doc_id, line_no, ts, text``), two spaces after the stamp."""
+    _write_lines(rendered, "  ", path)
+
+
+def write_captions(lines: DataFrame, path: str) -> None:
+    """Captions (``doc_id, line_no, ts, text``), as subtitles become them, in the form that ``parse_captions`` reads."""
+    _write_lines(lines, " ", path)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Reports or pending forms (``doc_id, text``), one folder per document."""
+    texts.select("doc_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def write_corrections(annotations: DataFrame, lines: DataFrame, terms: DataFrame, path: str) -> None:

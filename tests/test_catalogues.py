@@ -7,8 +7,8 @@ import pytest
 
 from termloom.functions.languages import ENGLISH
 from termloom.operators import packmerge, registry
-from termloom.sources import runs
-from termloom.sources.captions import rolling_lines
+from termloom.sources import runs, sinks
+from termloom.sources.captions import parse_captions, rolling_lines
 from termloom.streaming.rolling import rolling_stream
 
 PACK = {
@@ -120,3 +120,19 @@ def test_state_of_silent_documents_goes(spark, tmp_path):
     assert rows[0] == 1 and rows[-1] == 0 and max(rows) <= 2
     first = spark.createDataFrame(batches[0], schema)
     assert sorted(r["text"] for r in rolling_lines(first).collect()) == ["one", "three", "two"]
+
+
+def test_captions_and_texts_are_written_in_order(spark, tmp_path):
+    lines = spark.createDataFrame([(d, k, f"{k}:00", f"line {k}") for d in ("a", "b") for k in range(40)], "doc_id string, line_no int, ts string, text string").repartition(7)
+    sinks.write_captions(lines, str(tmp_path / "captions"))
+    sinks.write_rendered(lines, str(tmp_path / "rendered"))
+    for folder, gap in (("captions", " "), ("rendered", "  ")):
+        for d in ("a", "b"):
+            (part,) = (tmp_path / folder / f"doc_id={d}").glob("part*.txt")
+            assert part.read_text() == "".join(f"{k}:00{gap}line {k}\n" for k in range(40))
+    raw = spark.read.text(str(tmp_path / "captions"), wholetext=True).select("doc_id", "value").withColumnRenamed("value", "raw")
+    again, _ = parse_captions(raw)
+    assert again.where("doc_id = 'b'").count() == 40
+    texts = spark.createDataFrame([("a", "terms:\n  x")], "doc_id string, text string")
+    sinks.write_texts(texts, str(tmp_path / "texts"))
+    assert spark.read.text(str(tmp_path / "texts")).where("doc_id = 'a'").count() == 2

@@ -135,3 +135,36 @@ def test_answers_spread_over_the_stops_of_a_form(spark, in_question):
     assert {r["form"] for r in review.local_forms(local).collect()} == {"dec", "dec rose"}
     said = review.reviewed(in_question, review.given(stops, answers.selectExpr("doc_id", "term", "form", "'alias' AS answer"))).where("term = 'debt'").first()
     assert (said["kind"], said["replacement"], said["rule"]) == ("alias", "dec", "term:alias")
+
+
+def test_one_entry_gates_documents_that_a_pack_does_not_fit(spark, captions):
+    from termloom.operators.normalize import normalize
+    from termloom.operators.render import render_lines
+
+    lines, texts = captions
+    decisions = spark.createDataFrame([("d", "debt", "dec")], "doc_id string, term string, form string")
+    run = normalize(texts, lines, PACKS["one"], decisions)
+    assert {(r["doc_id"], r["n_terms"], r["fits"]) for r in run.fit.collect()} == {("d", 4, True), ("e", 0, False), ("f", 0, False)}
+    assert {r["rule"] for r in run.annotations.where("term = 'debt'").collect()} == {"local"} and {r["doc_id"] for r in run.annotations.collect()} == {"d"}
+    report = {r["doc_id"]: r["text"] for r in run.report.collect()}
+    assert report["e"] == "the pack does not seem to fit: 0 terms found"
+    assert report["d"].startswith("terms:\n  dec (4 occurrences) -> debt\n\nrecognized (not changed):\n") and run.pending.count() == 0
+    text = {(r["doc_id"], r["line_no"]): r["text"] for r in run.lines.collect()}
+    assert text["d", 3] == "debt, debt and emprezora" and text["f", 0].startswith("a BR Portness")
+    forced = normalize(texts, lines, PACKS["one"], decisions, force=True)
+    # Nothing was decided for f, and its unit stands when the gate is open.
+    assert {r["doc_id"] for r in forced.annotations.collect()} == {"d", "f"} and {r["doc_id"]: r["text"] for r in forced.report.collect()}["e"] == "no annotations."
+    assert {(r["doc_id"], r["corrected"], r["pairs"]) for r in forced.totals.collect()} == {("d", 4, "dec → debt"), ("f", 1, "5 bn → 5 billion")}
+    assert render_lines(lines, forced.annotations).where("doc_id = 'f'").first()["text"] == "a BR Portness caiu e grew 5 billion com Meta"
+
+
+def test_names_of_languages_and_runs(spark):
+    from pyspark.sql import functions as F
+
+    from termloom.functions.values import language_name, run_id
+
+    rows = spark.createDataFrame([("pt",), ("pt-BR",), ("xx",), ("xx-YY",)], "c string").select("c", language_name(F.col("c")).alias("n")).collect()
+    assert {r["c"]: r["n"] for r in rows} == {"pt": "Portuguese", "pt-BR": "Portuguese (pt-BR)", "xx": "xx", "xx-YY": "xx-YY"}
+    files = [("/data/runs/abc/legenda.txt", ""), ("in/talk.en.txt", "https://youtu.be/abcdefghijk?t=4"), ("in/talk.en.txt", None), ("runs/legenda.txt", ""), (".hidden", "")]
+    got = spark.createDataFrame(files, "p string, u string").select(run_id(F.col("p"), F.col("u")).alias("r")).collect()
+    assert [r["r"] for r in got] == ["abc", "abcdefghijk", "talk.en", "legenda", ".hidden"]
