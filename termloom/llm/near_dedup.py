@@ -271,9 +271,10 @@ def _link_classes(scratch: Scratch, classes: DataFrame, percent: int, block: int
     first = postings.repartition(buckets, "hash", "salt").mapInArrow(stars, "hash long, a long, b long")
     first = scratch.write(first, "leads")
     rest = first.where("hash is not null").select("hash", F.lit(-1).alias("salt"), F.col("a").alias("class")).repartition(buckets, "hash").mapInArrow(stars, "hash long, a long, b long")
-    edges = first.where("hash is null").union(rest).select("a", "b")
+    # Written first, so that a task never runs two Python workers one behind the other.
+    edges = scratch.write(first.where("hash is null").union(rest).select("a", "b"), "edges")
     cluster = scratch.write(components(scratch, edges, "cluster").distinct().select(F.col("id").alias("class"), F.col("root").alias("cluster")), "clusters")
-    scratch.drop("leads", "chunks")
+    scratch.drop("leads", "edges", "chunks")
 
     # Blocks of a cluster, and its pivots in every block.
     count = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
