@@ -38,9 +38,10 @@ def _numbered(point: Column) -> Column:
     )
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(text: Column, closed_only: bool = False) -> Column:
     """Character references decoded in one pass: named ones (the old ones also without their semicolon, as long as they
-    reach), decimal and hexadecimal ones; anything else stays as it is."""
+    reach), decimal and hexadecimal ones; anything else stays as it is. With ``closed_only`` so does what ends without a
+    semicolon."""
     named = {k: v for k, v in html.entities.html5.items()}
     old = {k: v for k, v in named.items() if not k.endswith(";")}
     pieces = F.regexp_extract_all(text, F.lit(r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&)"), 1)
@@ -56,9 +57,10 @@ def unescaped(text: Column) -> Column:
         return (
             F.when(~piece.startswith("&") | (piece == "&"), piece)
             .when(piece == "&amp;", "&")
+            .when(F.lit(closed_only) & ~piece.endswith(";"), piece)
             .when(piece.rlike("^&#[xX]"), _numbered(based))
             .when(piece.startswith("&#"), _numbered(plain))
-            .otherwise(F.coalesce(F.try_element_at(_table(named), name), begun, piece))
+            .otherwise(F.coalesce(F.try_element_at(_table(named), name), *([] if closed_only else [begun]), piece))
         )
 
     return F.when(text.contains("&"), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
