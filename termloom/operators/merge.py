@@ -41,7 +41,9 @@ def presence(base: DataFrame, up: DataFrame, mine: DataFrame) -> DataFrame:
     )
     pick = lambda c: F.when(F.col(f"u_{c}").eqNullSafe(F.col(f"b_{c}")), F.col(f"m_{c}")).otherwise(F.coalesce(F.when(F.col(f"m_{c}").eqNullSafe(F.col(f"b_{c}")), F.col(f"u_{c}")).otherwise(F.col(f"m_{c}")), F.col(f"u_{c}")))
     conflict = u & m & ~F.col("u_class").eqNullSafe(F.col("m_class")) & ~F.coalesce(b & (F.col("b_class").eqNullSafe(F.col("u_class")) | F.col("b_class").eqNullSafe(F.col("m_class"))), F.lit(False))
-    lists = {c: F.when(u & m, merge_lists(F.col(f"b_{c}"), F.col(f"u_{c}"), F.col(f"m_{c}"))).when(u, F.col(f"u_{c}")).otherwise(F.col(f"m_{c}")) for c in ("aliases", "variants")}
+    # What neither side has any more has empty lists.
+    none = F.array().cast("array<string>")
+    lists = {c: F.when(u & m, merge_lists(F.col(f"b_{c}"), F.col(f"u_{c}"), F.col(f"m_{c}"))).when(u, F.coalesce(f"u_{c}", none)).otherwise(F.coalesce(f"m_{c}", none)) for c in ("aliases", "variants")}
     term = F.coalesce("m_term", "u_term", "b_term")
     return rows.select("key", term.alias("term"), F.when(u & m, pick("class")).otherwise(F.coalesce("u_class", "m_class")).alias("class"), lists["aliases"].alias("aliases"), lists["variants"].alias("variants"), outcome.alias("outcome"), conflict.alias("class_conflict"))
 
