@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +18,7 @@ from termloom.functions.languages import Language, UnitRule
 from termloom.functions.similarity import bits_reach, places_of, ratio_by_places, sign_bits, sign_bits_of
 from termloom.functions.text import collapse, inflection_bases, may_inflect, normalize, normalize_text, skeleton, skeleton_text
 from termloom.operators.resolve import resolve_overlaps
-from termloom.operators.tokens import tokenize, tokens_ahead, windows
+from termloom.operators.tokens import Reach, tokenize, tokens_ahead, windows
 from termloom.schemas import (
     APPLY_AT, BROADCAST_ROWS, MARK_AT, MAX_LENGTH_GAP, MIN_FUZZY_LENGTH, MIN_SKELETON, NEAR_SECONDS, NEAR_TOKENS,
     PHONETIC_AT, PHONETIC_NGRAMS, VARIANT_APPLY_AT,
@@ -121,28 +121,25 @@ def _may_guess(folded: Column, form: str, mark: int) -> Column:
     return near & (F.lit(200) * F.least(held, F.lit(len(form))) >= F.lit(mark) * (F.length(folded) + len(form)))
 
 
-def wanted(packs: Packs, mark: int = MARK_AT) -> Callable[[Column], Column]:
-    """A test of folded texts, weaker than :func:`reached`: for :func:`termloom.operators.tokens.windows`, which then goes
-    no further with the others, nearly all of them."""
-    language, rows = _language(packs), _key_rows(packs)
-    texts = {row[0][2:] for row in rows if row[0][0] in "=rx"}
-    bases = {row[0][2:] for row in rows if row[0][0] == "b"}
+def reach_of(packs: Packs, mark: int = MARK_AT) -> Reach:
+    """A test of batches of tokens, weaker than :func:`reached` and :func:`phonetic`: for
+    :func:`termloom.operators.tokens.tokens_ahead`, where nearly all windows then end."""
+    rows = _key_rows(packs)
     guesses = sorted({row[5] for row in rows if row[2] == "guess"})
-    sizes = sorted({int(row[0][2:]) for row in rows if row[2] == "guess"})
-
-    def test(folded: Column) -> Column:
-        if len(rows) > TESTED_KEYS:
-            return F.lit(True)
-        some = folded.isin(texts)
-        if bases:
-            some = some | may_inflect(folded, language, bases)
-        if len(guesses) > TESTED_GUESSES:
-            return some | F.length(folded).isin(sizes)
-        for form in guesses:
-            some = some | _may_guess(folded, form, mark)
-        return some
-
-    return test
+    few = [(f, max(MIN_FUZZY_LENGTH, len(f) - MAX_LENGTH_GAP), len(f) + MAX_LENGTH_GAP) for f in guesses] if len(guesses) <= TESTED_GUESSES else []
+    sizes = [] if few else {int(row[0][2:]) for row in rows if row[2] == "guess"}
+    codes = sorted({c for _, _, c in _sounding(packs)})
+    spans = [n for c in codes for n in _sound_sizes(c)]
+    return Reach(
+        _language(packs), (row[0][2:] for row in rows if row[0][0] in "=rx"), (row[0][2:] for row in rows if row[0][0] == "b"), few, mark, sizes,
+        codes if len(codes) <= TESTED_GUESSES else (), spans if len(codes) > TESTED_GUESSES else (),
+    )
+
+
+def _sound_sizes(code: str) -> list[int]:
+    """Lengths of the skeletons that may be close enough to a code."""
+    low, high = PHONETIC_AT / (200 - PHONETIC_AT), (200 - PHONETIC_AT) / PHONETIC_AT
+    return [n for n in range(MIN_SKELETON, int(len(code) * high) + 2) if low * len(code) <= n <= high * len(code)]
 
 
 def reached(every_window: DataFrame, packs: Packs, mark: int = MARK_AT) -> DataFrame:
@@ -219,7 +216,7 @@ def proposals(found: DataFrame, spans: DataFrame, packs: Packs, mark: int = MARK
     rank = F.when(F.col("mode") == "only", 100.0).when(demoted, float(APPLY_AT - 1)).otherwise(F.col("score"))
     best = candidates.withColumn("rank", rank).where(F.col("rank") >= mark).groupBy(*where).agg(F.max(F.struct("rank", "score", "term", "form", "mode", "first_origin", "own", *place)).alias("b")).select(*where, "b.*")
     best = best.join(plural.select(*where), where, "left_anti")
-    best = _not_rejected(best, packs, where)
+    best = settled(_not_rejected(best, packs, where), "best")
     matched = (F.col("folded") == F.col("form")) | (F.col("mode") == "only")
     best = best.withColumn("matched", matched)
     named = best.where("first_origin in ('alias', 'term') and matched")
@@ -278,14 +275,14 @@ def _sounding(packs: Packs) -> list[tuple[str, str, str]]:
 def phonetic(every_window: DataFrame, taken: DataFrame, packs: Packs) -> DataFrame:
     """Names that sound alike: windows of one or two words that no applied annotation of the pack touches."""
     names, language, spark = _sounding(packs), _language(packs), every_window.sparkSession
-    low, high = PHONETIC_AT / (200 - PHONETIC_AT), (200 - PHONETIC_AT) / PHONETIC_AT
-    rows = [(n, p, t, c, sign_bits_of(c), places_of(c)) for p, t, c in names for n in range(MIN_SKELETON, int(len(c) * high) + 2) if low * len(c) <= n <= high * len(c)]
+    rows = [(n, p, t, c, sign_bits_of(c), places_of(c)) for p, t, c in names for n in _sound_sizes(c)]
     table = small(spark.createDataFrame(rows, "size int, pack string, term string, code string, code_bits bigint, places map<string,bigint>"), len(rows))
     own = every_window.where(F.col("n") <= PHONETIC_NGRAMS).select("doc_id", "i", "n", "start", "end", "folded", skeleton(F.col("raw"), language).alias("sound"))
     pairs = own.withColumn("size", F.length("sound")).withColumn("bits", sign_bits(F.col("sound"))).join(table, "size").where(bits_reach(F.col("sound"), F.col("bits"), F.col("code"), F.col("code_bits"), PHONETIC_AT))
     scored = pairs.withColumn("ratio", ratio_by_places(F.col("sound"), F.col("code"), F.col("places"))).where(F.col("ratio") >= PHONETIC_AT)
     where = [*WHERE]
-    best = scored.groupBy(*where).agg(F.max(F.struct("ratio", "term", "start", "end", "folded")).alias("b")).select(*where, "b.*")
+    # Read four times below, so written once.
+    best = settled(scored.groupBy(*where).agg(F.max(F.struct("ratio", "term", "start", "end", "folded")).alias("b")).select(*where, "b.*"), "heard")
     single = best.where("n = 1").select("doc_id", "pack", F.col("i").alias("k"), F.col("ratio").alias("alone"))
     weak = best.where("n = 2").withColumn("k", F.explode(F.array(F.col("i"), F.col("i") + 1))).join(single, ["doc_id", "pack", "k"]).where("ratio <= alone").select(*where).distinct()
     best = best.join(weak, where, "left_anti")
@@ -389,16 +386,18 @@ def _find(transcripts: DataFrame, packs: Packs, lines: DataFrame | None, mark: i
     """Proposals of packs of one language, with ``pack`` and ``rank``; a step that no pack needs is no part of the plan."""
     language = _language(packs)
     texts = transcripts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ahead, exact = tokens_ahead(texts, language), any(f.exact for p in packs.values() for f in p.forms)
-    found = settled(reached(windows(ahead, language, exact, wanted(packs, mark)), packs, mark), "reached")
+    ahead, exact = tokens_ahead(texts, language, reach_of(packs, mark)), any(f.exact for p in packs.values() for f in p.forms)
+    if _sounding(packs):
+        ahead = settled(ahead, "ahead")
+    found = settled(reached(windows(ahead, language, exact), packs, mark), "reached")
     spans = exact_spans(found)
     units = _unit_rows(texts, packs) if language.units else None
     own = proposals(found, spans, packs, mark)
     if _sounding(packs):
         plain = ["doc_id", "pack", "start", "end", "term", "rule", "kind", "band", "score"]
         taken = resolve_overlaps(own.select(*plain) if units is None else own.select(*plain).unionByName(units.select(*plain)))
-        own = own.unionByName(phonetic(windows(ahead, language), taken, packs))
-    dictionary = in_context(own, spans, found, texts, lines, packs)
+        own = own.unionByName(phonetic(windows(ahead, language, heard=True), taken, packs))
+    dictionary = in_context(settled(own, "own"), spans, found, texts, lines, packs)
     original = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     dictionary = dictionary.join(texts, "doc_id").select("doc_id", "pack", "start", "end", original.alias("original"), F.when(F.col("kind") == "alias", original).otherwise(F.col("term")).alias("replacement"), "term", "rule", "kind", "band", "score", "rank")
     every = dictionary if units is None else units.unionByName(dictionary)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.languages import Language
-from termloom.functions.text import collapse, fold_numbers, fold_part, has_number_word
-from termloom.schemas import NGRAMS
+from termloom.functions.similarity import MASK_LETTERS, places_of
+from termloom.functions.text import collapse, fold_numbers, fold_part, fold_part_text, has_number_word, skeleton_of_folded
+from termloom.schemas import MIN_SKELETON, NGRAMS, PHONETIC_AT, PHONETIC_NGRAMS
 
 #: Letters, digits, the underscore and what else words are written with.
 _PIECES = re.compile(r"[\wÀ-ÿ$%,.]+").finditer
@@ -31,16 +32,17 @@ def tokenize(transcripts: DataFrame, language: Language) -> DataFrame:
     return tokens_ahead(transcripts, language).select("doc_id", "i", "token", "start", "end", "closes")
 
 
-def tokens_ahead(transcripts: DataFrame, language: Language) -> DataFrame:
+def tokens_ahead(transcripts: DataFrame, language: Language, reach: Reach | None = None) -> DataFrame:
     """:func:`tokenize` with the tokens that follow in the sentence: ``token_1, end_1, token_2, end_2``, null where it ends.
 
     A text is read once, front to back, so that neither offsets nor neighbours need a sort or a shuffle; rows leave in
-    batches of some 50,000, whatever the length of a text.
+    batches of some 50,000, whatever the length of a text. With ``reach`` only tokens leave that begin a window which may
+    reach something, and ``sizes`` has a bit for each of these windows (see :meth:`Reach.sizes`).
     """
     ends = re.compile(f"[{re.escape(language.boundaries)}]").search
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows()
+        rows = _Rows(reach)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 place, before = 0, 0
@@ -65,13 +67,194 @@ def tokens_ahead(transcripts: DataFrame, language: Language) -> DataFrame:
                     yield rows.taken(0)
         yield rows.taken(0)
 
-    return transcripts.select("doc_id", "text").mapInArrow(run, AHEAD)
+    return transcripts.select("doc_id", "text").mapInArrow(run, AHEAD if reach is None else f"{AHEAD}, sizes int")
+
+
+#: Multiplier of the hash of a text, which is put together from those of its parts.
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+#: Distinct tokens whose features a task keeps at a time.
+KNOWN = 200_000
+
+
+def _hash(text: str) -> int:
+    h = 0
+    for c in text:
+        h = (h * _BASE + ord(c) + 1) & _MASK
+    return h
+
+
+def _counts(texts: Sequence[str], signs: str) -> np.ndarray:
+    """How often each text holds each sign."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    row = np.cumsum(codes == 10)
+    out = np.zeros((len(texts), len(signs)), np.int32)
+    for k, sign in enumerate(signs):
+        out[:, k] = np.bincount(row[codes == ord(sign)], minlength=len(texts))
+    return out
+
+
+def _hashes(texts: Sequence[str], sizes: np.ndarray, longest: int) -> np.ndarray:
+    """Hash and power of texts; of more signs than ``longest`` the rest doesn't count, since no wanted text is as long."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros((len(texts), 2), np.uint64)
+    out[:, 1] = 1
+    base = np.uint64(_BASE)
+    for k in range(min(int(sizes.max(initial=0)), longest + 1)):
+        on = np.flatnonzero(sizes > k)
+        out[on, 0] = out[on, 0] * base + codes[begin[on] + k] + np.uint64(1)
+        out[on, 1] *= base
+    return out
+
+
+def _close(texts: Sequence[str], form: str, percent: int) -> np.ndarray:
+    """Whether the indel ratio of each text with a form reaches ``percent``: bit-parallel longest common subsequences, a
+    sign of all texts at a time."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if len(form) > MASK_LETTERS or not len(texts):
+        return np.ones(len(texts), bool)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    places = np.zeros(len(codes), np.int64)
+    for sign, bits in places_of(form).items():
+        places[codes == ord(sign)] = bits
+    full = np.int64((1 << len(form)) - 1)
+    state, begin = np.full(len(texts), full), np.cumsum(sizes) - sizes
+    for k in range(int(sizes.max())):
+        on = np.flatnonzero(sizes > k)
+        old = state[on]
+        here = old & places[begin[on] + k]
+        state[on] = ((old + here) | (old - here)) & full
+    return 200 * (len(form) - np.bitwise_count(state).astype(np.int64)) >= percent * (sizes + len(form))
+
+
+class Reach:
+    """What windows may reach, as a test of a batch of tokens that never turns down a window which reaches something.
+
+    Lengths, letters and hashes of a window follow from those of its tokens, so each distinct token is folded once.
+    ``texts`` are whole windows, ``bases`` singulars, ``guesses`` forms to guess at from ``low`` to ``high`` signs
+    (``sizes`` the lengths, if the forms are too many to be held one by one against a window), ``codes`` skeletons of one
+    or two words (``code_sizes`` likewise).
+    """
+
+    def __init__(self, language: Language, texts: Iterable[str], bases: Iterable[str] = (), guesses: Iterable[tuple[str, int, int]] = (), mark: int = 0, sizes: Iterable[int] = (), codes: Iterable[str] = (), code_sizes: Iterable[int] = ()) -> None:
+        runs = {" ".join(t.split()) for t in texts}
+        self.language, self.mark, self.empty = language, mark, "" in runs
+        self.texts, self.longest = np.array(sorted({_hash(t) for t in runs}), np.uint64), max(map(len, runs), default=0)
+        self.bases, self.guesses, self.lengths = set(bases), list(guesses), np.array(sorted(sizes), np.int64)
+        self.codes, self.code_sizes = list(codes), sorted(code_sizes)
+        self.signs, self.code_signs = ("".join(sorted(set("".join(some)))) for some in ([g[0] for g in self.guesses], self.codes))
+        self.sounds = bool(self.codes or self.code_sizes)
+        self.known: dict[str, int] = {}
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Adds the features of new tokens: folded length, flags, length of the skeleton, letters of both."""
+        language = self.language
+        parts = fold_part_text("\n".join(tokens), language, "\n").split("\n")
+        runs = [" ".join(p.split()) if " " in p else p for p in parts]
+        ends = tuple(a for a, _ in language.plurals)
+        inflects = lambda r: any(r.endswith(a) and r[: len(r) - len(a)] + b in self.bases for a, b in language.plurals)
+        sounds = skeleton_of_folded("\n".join(parts)).split("\n") if self.sounds else [""] * len(parts)
+        sizes = np.array([len(r) for r in runs], np.int64)
+        table = np.column_stack([
+            sizes,
+            [any(w in language.numbers for w in r.split()) if " " in r else r in language.numbers for r in runs],
+            [r is not p and r != p or not r for r, p in zip(runs, parts, strict=True)],
+            [not r for r in runs],
+            [r.endswith(ends) and " " not in r and inflects(r) for r in runs],
+            [len(x) for x in sounds],
+            _counts(runs, self.signs), _counts(sounds, self.code_signs),
+        ]).astype(np.int32)
+        hashes = _hashes(runs, sizes, self.longest)
+        if not self.known:
+            self.table, self.hashes = np.zeros((0, table.shape[1]), np.int32), np.zeros((0, 2), np.uint64)
+            self.filled, self.runs = 0, []
+        self.runs += runs
+        need = self.filled + len(tokens)
+        if need > len(self.table):
+            room = max(need, 2 * len(self.table)) - len(self.table)
+            self.table = np.concatenate([self.table, np.zeros((room, table.shape[1]), np.int32)])
+            self.hashes = np.concatenate([self.hashes, np.zeros((room, 2), np.uint64)])
+        self.table[self.filled : need], self.hashes[self.filled : need] = table, hashes
+        self.known.update(zip(tokens, range(self.filled, need), strict=True))
+        self.filled = need
+
+    def sizes(self, tokens: pa.Array, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """For each token a bit for the window of one, two and three tokens that it begins, then one for those of one and
+        two tokens that may sound like a code; ``one`` and ``two`` tell which tokens have followers in the sentence."""
+        coded = tokens.dictionary_encode()
+        distinct, known = coded.dictionary.to_pylist(), self.known
+        if len(known) > KNOWN:
+            known.clear()
+        if fresh := [t for t in distinct if t not in known]:
+            self._learn(fresh)
+        self.at = at = np.array([known[t] for t in distinct], np.int64)[coded.indices.to_numpy()]
+        table, hashes = self.table[at], self.hashes[at]
+        later = lambda a, k: np.concatenate([a[k:], np.zeros_like(a[:k])])
+        base = np.uint64(_BASE)
+        out = np.zeros(len(at), np.int32)
+        total, hashed, blank = table.copy(), hashes[:, 0].copy(), table[:, 3] > 0
+        for n in range(1, NGRAMS + 1):
+            ok = np.ones(len(at), bool) if n == 1 else one if n == 2 else two
+            if n > 1:
+                more, h = later(table, n - 1), later(hashes, n - 1)
+                total, blank = total + more, blank & (more[:, 3] > 0)
+                # The sign for the space between, then the next part.
+                hashed = (hashed * base + np.uint64(ord(" ") + 1)) * h[:, 1] + h[:, 0]
+            some = np.isin(hashed, self.texts) | (total[:, 1] > 0)
+            # Of a window of nothing but signs that folding drops nothing is left; others of the kind are looked at later.
+            some |= (total[:, 2] > 0) & (self.empty | ~blank)
+            if n == 1:
+                some |= total[:, 4] > 0
+            some |= self._guessed(total, n, ok & ~some)
+            out |= np.where(ok & some, 1 << (n - 1), 0).astype(np.int32)
+            if self.sounds and n <= PHONETIC_NGRAMS:
+                out |= np.where(ok & self._heard(total, n, ok), 1 << (NGRAMS + n - 1), 0).astype(np.int32)
+        return out
+
+    def _guessed(self, total: np.ndarray, n: int, ok: np.ndarray) -> np.ndarray:
+        """Letters that window and form share, each as often as both hold it, bound what can match."""
+        length = total[:, 0] + n - 1
+        some = np.isin(length, self.lengths) if len(self.lengths) else np.zeros(len(total), bool)
+        for form, low, high in self.guesses:
+            near = np.flatnonzero((length >= low) & (length <= high) & ~some & ok)
+            shared = np.zeros(len(near), np.int32)
+            for sign in sorted(set(form)):
+                held = total[near, 6 + self.signs.index(sign)] + (n - 1 if sign == " " else 0)
+                shared += np.minimum(held, form.count(sign))
+            near = near[200 * shared >= self.mark * (length[near] + len(form))]
+            some[near[_close(self._windows(near, n, " "), form, self.mark)]] = True
+        return some
+
+    def _windows(self, starts: np.ndarray, n: int, between: str) -> list[str]:
+        return [between.join([self.runs[k] for k in row]) for row in self.at[starts[:, None] + np.arange(n)].tolist()]
+
+    def _heard(self, total: np.ndarray, n: int, ok: np.ndarray) -> np.ndarray:
+        """Where two words meet, a last sign may become another one or a sound of its own, and doubles become one."""
+        less, more = (0, 0) if n == 1 else (2, 1)
+        low, high = PHONETIC_AT / (200 - PHONETIC_AT), (200 - PHONETIC_AT) / PHONETIC_AT
+        size, first = total[:, 5], 6 + len(self.signs)
+        some = total[:, 1] > 0
+        if self.code_sizes:
+            some = some | ((size + more >= self.code_sizes[0]) & (size - less <= self.code_sizes[-1]))
+        for code in self.codes:
+            least = np.maximum(size - less, MIN_SKELETON)
+            near = np.flatnonzero((size + more >= max(MIN_SKELETON, low * len(code))) & (least <= high * len(code)) & ~some & ok)
+            shared = np.full(len(near), more, np.int32)
+            for sign in sorted(set(code)):
+                shared += np.minimum(total[near, first + self.code_signs.index(sign)], code.count(sign))
+            near = near[200 * np.minimum(shared, len(code)) >= PHONETIC_AT * (least[near] + len(code))]
+            if len(near):
+                sounds = skeleton_of_folded("\n".join(self._windows(near, n, ""))).split("\n")
+                some[near[_close(sounds, code, PHONETIC_AT)]] = True
+        return some
 
 
 class _Rows:
     """Tokens on their way out, in order."""
 
-    def __init__(self) -> None:
+    def __init__(self, reach: Reach | None = None) -> None:
+        self.reach = reach
         self.doc, self.place, self.token, self.start, self.end, self.closes = [], [], [], [], [], []
 
     def add(self, doc: str, place: int, token: str, start: int, end: int) -> None:
@@ -100,35 +283,43 @@ class _Rows:
         later = lambda column, ok, k: column.take(pa.array(np.minimum(at + k, known - 1), pa.int64(), mask=~ok[:size]))
         ahead = [c for k, ok in ((1, one), (2, two)) for c in (later(token, ok, k), later(end, ok, k))]
         out = [*ids, token[:size], start[:size], end[:size], pa.array(self.closes[:size], pa.bool_()), *ahead]
+        names = [c.split()[0] for c in AHEAD.split(", ")]
+        if self.reach is not None:
+            sizes = self.reach.sizes(token, one, two)[:size] if known else np.zeros(0, np.int32)
+            kept = pa.array(np.flatnonzero(sizes))
+            out, names = [c.take(kept) for c in (*out, pa.array(sizes, pa.int32()))], [*names, "sizes"]
         for name in ("doc", "place", "token", "start", "end", "closes"):
             setattr(self, name, getattr(self, name)[size:])
-        return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in AHEAD.split(", ")])
+        return pa.RecordBatch.from_arrays(out, names)
 
 
-def windows(tokens: DataFrame, language: Language, exact_fold: bool = False, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+def windows(tokens: DataFrame, language: Language, exact_fold: bool = False, heard: bool = False) -> DataFrame:
     """``doc_id, i, n, start, end, raw, folded, run`` of runs of one to three tokens within a sentence.
 
+    Of tokens with ``sizes`` only the windows that it has a bit for, with ``heard`` those that may sound like a code.
+
     ``folded`` is the normalised text, ``run`` the same with single spaces; with ``exact_fold`` a column
-    ``plain`` has the folded text without number words. Texts that ``wanted`` turns down are left out, unless they hold
-    number words or two spaces, with which their folded text is not known yet.
+    ``plain`` has the folded text without number words.
     """
     if "token_1" not in tokens.columns:
         tokens = _followed(tokens)
+    sized = ["sizes"] if "sizes" in tokens.columns else []
     # Tokens are folded before they are joined, not once for each window that they stand in.
     follow = ["token", "token_1", "token_2"]
-    rows = tokens.select("doc_id", "i", "start", "end", "end_1", "end_2", *follow, *[fold_part(F.col(c), language).alias(f"part{k}") for k, c in enumerate(follow)])
+    rows = tokens.select("doc_id", "i", "start", "end", "end_1", "end_2", *sized, *follow, *[fold_part(F.col(c), language).alias(f"part{k}") for k, c in enumerate(follow)])
     rows = rows.select("*", *[has_number_word(F.col(f"part{k}"), language).alias(f"number{k}") for k in range(NGRAMS)])
     options: list[Column] = []
-    for n in range(1, NGRAMS + 1):
+    for n in range(1, (PHONETIC_NGRAMS if heard else NGRAMS) + 1):
         number = F.lit(False)
         for k in range(n):
             number = number | F.col(f"number{k}")
         end = F.col(f"end_{n - 1}" if n > 1 else "end")
         raw, plain = F.concat_ws(" ", *follow[:n]), F.trim(F.concat_ws(" ", *[f"part{k}" for k in range(n)]))
-        options.append(F.when(end.isNotNull(), F.struct(F.lit(n).alias("n"), end.alias("end"), raw.alias("raw"), plain.alias("plain"), number.alias("number"))))
+        stands = end.isNotNull()
+        if sized:
+            stands = stands & (F.col("sizes").bitwiseAND(F.lit(1 << (n - 1 + NGRAMS * heard))) != 0)
+        options.append(F.when(stands, F.struct(F.lit(n).alias("n"), end.alias("end"), raw.alias("raw"), plain.alias("plain"), number.alias("number"))))
     rows = rows.select("doc_id", "i", "start", F.explode(F.array(*options)).alias("w")).where("w is not null")
-    if wanted is not None:
-        rows = rows.where(F.col("w.number") | F.col("w.plain").contains("  ") | wanted(F.col("w.plain")))
     single = lambda c: F.when(F.col(c).contains("  "), collapse(F.col(c))).otherwise(F.col(c))
     folded = F.when(F.col("w.number"), fold_numbers(F.col("w.plain"), language)).otherwise(F.col("w.plain"))
     rows = rows.select("doc_id", "i", F.col("w.n").alias("n"), "start", F.col("w.end").alias("end"), F.col("w.raw").alias("raw"), F.col("w.plain").alias("plain"), folded.alias("folded"))
