@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.languages import Language
@@ -118,11 +118,24 @@ def renames(base: DataFrame, up: DataFrame) -> DataFrame:
     new = spread(up.join(base.select("pack", "key"), ["pack", "key"], "left_anti"), "new_key")
     score = F.sum(F.when(F.col("fold") == F.col("key"), 3).otherwise(1))
     pairs = gone.join(new, ["pack", "fold"]).groupBy("pack", "key", "key_pos", "new_key", "new_key_pos").agg(score.alias("score"))
-    order = F.sort_array(F.collect_list(F.struct("key_pos", (-F.col("score")).alias("less"), "new_key_pos", "key", "new_key")))
-    start = F.array().cast("array<struct<key_pos:int,less:bigint,new_key_pos:int,key:string,new_key:string>>")
-    free = lambda taken, x: ~F.exists(taken, lambda t: (t["key"] == x["key"]) | (t["new_key"] == x["new_key"]))
-    chosen = F.aggregate("pairs", start, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return pairs.groupBy("pack").agg(order.alias("pairs")).select("pack", F.explode(chosen).alias("t")).select("pack", "t.key", "t.new_key")
+    order = F.struct("key_pos", (-F.col("score")).alias("less"), "new_key_pos", "key", "new_key")
+    return _first_pairs(pairs.select("pack", "key", "new_key", order.alias("place")))
+
+
+def _first_pairs(pairs: DataFrame) -> DataFrame:
+    """``pack, key, new_key``: what choosing by ``place`` leaves when each key and each new key is taken once.
+
+    A pair that is the first one of both its sides is chosen whatever the others do; then all pairs of a chosen side are
+    gone, and the rest is looked at again. Each round is two groupings by a side, so that no pack is held in one place.
+    """
+    rest, chosen = settled(pairs, "pairs"), None
+    while not rest.isEmpty():
+        first = lambda side: F.min("place").over(Window.partitionBy("pack", side))
+        now = rest.withColumns({"of_key": first("key"), "of_new": first("new_key")}).where("place = of_key and place = of_new")
+        now = settled(now.select("pack", "key", "new_key"), "renamed")
+        chosen = now if chosen is None else chosen.unionByName(now)
+        rest = settled(rest.join(now.select("pack", "key"), ["pack", "key"], "left_anti").join(now.select("pack", "new_key"), ["pack", "new_key"], "left_anti").select(rest.columns), "pairs")
+    return rest.select("pack", "key", "new_key") if chosen is None else chosen
 
 
 def plan(base: DataFrame, up: DataFrame, mine: DataFrame, language: Language, three_way: bool = True) -> DataFrame:
@@ -203,15 +216,45 @@ def term_conflicts(planned: DataFrame, three_way: bool = True) -> DataFrame:
         return klass.unionByName(kind)
     renamed = planned.where("new_key is not null and outcome = 'kept'")
     renamed = _conflict(renamed, "renamed", key=F.col("key"), other_key=F.col("new_key"), term=F.col("m.term"), mine=F.col("b.term"), theirs=F.col("new_u.term"))
-    near = DUPLICATE_AT / (200 - DUPLICATE_AT)
-    ours = planned.where("m is not null and b is null and u is null").select("pack", F.col("key").alias("a"), F.col("m.term").alias("a_term"), _forms(F.col("key"), "m").alias("a_forms"), F.length("key").alias("size"))
-    sizes = F.sequence(F.ceil(F.length("key") * near).cast("int"), F.floor(F.length("key") / near).cast("int"))
-    theirs = planned.where("outcome = 'added'").select("pack", F.col("key").alias("z"), F.col("u.term").alias("z_term"), _forms(F.col("key"), "u").alias("z_forms"), F.explode(sizes).alias("size"))
-    close = ours.join(theirs, ["pack", "size"]).where(may_reach(F.col("a"), F.col("z"), DUPLICATE_AT)).where(indel_ratio(F.col("a"), F.col("z")) >= DUPLICATE_AT)
+    ours = planned.where("m is not null and b is null and u is null").select("pack", F.col("key").alias("a"), F.col("m.term").alias("a_term"), _forms(F.col("key"), "m").alias("a_forms"))
+    theirs = planned.where("outcome = 'added'").select("pack", F.col("key").alias("z"), F.col("u.term").alias("z_term"), _forms(F.col("key"), "u").alias("z_forms"))
+    close = _near_names(ours, theirs)
     twin = _conflict(close, "duplicate", key=F.col("a"), other_key=F.col("z"), term=F.col("a_term"), mine=F.col("a_term"), theirs=F.col("z_term"), can_both=~F.arrays_overlap("a_forms", "z_forms"))
     return klass.unionByName(kind).unionByName(renamed).unionByName(twin)
 
 
+def _near_names(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs of names ``a`` and ``z`` of a pack whose ratio is at least ``DUPLICATE_AT``.
+
+    Names of n and m letters are that close if at most d = (n + m) * (100 - DUPLICATE_AT) / 100 letters are put in or
+    taken out. Of d + 1 pieces of ``a`` one is then whole in ``z``, moved by no more letters than were put in or taken out
+    before it: names meet on such pieces, not with all names of their length.
+    """
+    near = DUPLICATE_AT / (200 - DUPLICATE_AT)
+    n, m = F.col("size"), F.length("z")
+    # d + 1 for the longest z that a may be compared with.
+    pieces = (F.floor((n + F.floor(n / near + 1e-9)) * (100 - DUPLICATE_AT) / 100 + 1e-9) + 1).cast("int")
+    begin = lambda k: F.floor(n * k / F.col("pieces")).cast("int")
+    piece = lambda text, k, moved: F.substring(text, begin(k) + 1 + moved, begin(k + 1) - begin(k))
+    left = ours.withColumn("size", F.length("a")).withColumn("pieces", pieces)
+    met = left.select("pack", "size").distinct()
+    left = left.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("piece", piece(F.col("a"), F.col("k"), F.lit(0)))
+    sizes = F.sequence(F.ceil(m * near - 1e-9).cast("int"), F.floor(m / near + 1e-9).cast("int"))
+    right = theirs.withColumn("size", F.explode(sizes)).join(met, ["pack", "size"], "left_semi").withColumn("pieces", pieces)
+    most = F.floor((n + m) * (100 - DUPLICATE_AT) / 100 + 1e-9)
+    out, in_ = F.floor((most - (m - n)) / 2).cast("int"), F.floor((most + (m - n)) / 2).cast("int")
+    right = right.where((out >= 0) & (in_ >= 0)).withColumn("moved", F.explode(F.sequence(-out, in_))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    right = right.where((begin(F.col("k")) + F.col("moved") >= 0) & (begin(F.col("k") + 1) + F.col("moved") <= m)).withColumn("piece", piece(F.col("z"), F.col("k"), F.col("moved")))
+    side = lambda rows, name: rows.select("pack", "size", "k", "piece", name).distinct()
+    pairs = side(left, "a").join(side(right, "z"), ["pack", "size", "k", "piece"]).select("pack", "a", "z")
+    # Few bytes and much work: dealt to all tasks, and each pair once, however many pieces it shares.
+    parts = int(ours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(parts, "pack", "a", "z").groupBy("pack", "a", "z").agg(F.count(F.lit(1)).alias("shared"))
+    reach = F.when((F.col("shared") > 0) & may_reach(F.col("a"), F.col("z"), DUPLICATE_AT), indel_ratio(F.col("a"), F.col("z")))
+    pairs = pairs.where(reach >= DUPLICATE_AT).drop("shared")
+    return pairs.join(ours, ["pack", "a"]).join(theirs, ["pack", "z"])
+
+
 def result_terms(planned: DataFrame) -> DataFrame:
     """``pack, key, pos, term`` and the fields of what a plan leaves, before any answer."""
     return planned.where("r is not null").select("pack", F.col("r_key").alias("key"), "pos", "r.*")
@@ -311,11 +354,12 @@ def merge(base: DataFrame, up: DataFrame, mine: DataFrame, confirmed: DataFrame,
     number of turns; ``later`` keeps my side.
     """
     planned = settled(plan(base, up, mine, language, three_way), "plan")
-    return _answered_merge(planned, confirmed, rejected, language, answers, preset, three_way)
+    asked = settled(term_conflicts(planned, three_way), "asked")
+    return _answered_merge(planned, asked, confirmed, rejected, language, answers, preset, three_way)
 
 
-def _answered_merge(planned: DataFrame, confirmed: DataFrame, rejected: DataFrame, language: Language, answers: DataFrame | None, preset: str | None, three_way: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    first = settled(answered(term_conflicts(planned, three_way), answers, preset), "conflicts")
+def _answered_merge(planned: DataFrame, asked: DataFrame, confirmed: DataFrame, rejected: DataFrame, language: Language, answers: DataFrame | None, preset: str | None, three_way: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    first = answered(asked, answers, preset)
     between = settled(_with_term_answers(planned, first), "between")
     then = form_conflicts(between, planned).unionByName(learned_conflicts(between, planned, confirmed, rejected, language, three_way))
     then = settled(answered(then, answers, preset), "conflicts")
@@ -324,9 +368,11 @@ def _answered_merge(planned: DataFrame, confirmed: DataFrame, rejected: DataFram
 
 
 def merges(base: DataFrame, up: DataFrame, mine: DataFrame, confirmed: DataFrame, rejected: DataFrame, language: Language, presets: Iterable[str], three_way: bool = True) -> DataFrame:
-    """The merged terms of :func:`merge` under several presets (column ``preset``), from one plan."""
+    """The merged terms of :func:`merge` under several presets (column ``preset``), from one plan and one search for
+    conflicts of terms."""
     planned = settled(plan(base, up, mine, language, three_way), "plan")
-    parts = [_answered_merge(planned, confirmed, rejected, language, None, p, three_way)[0].withColumn("preset", F.lit(p)) for p in presets]
+    asked = settled(term_conflicts(planned, three_way), "asked")
+    parts = [_answered_merge(planned, asked, confirmed, rejected, language, None, p, three_way)[0].withColumn("preset", F.lit(p)) for p in presets]
     return reduce(DataFrame.unionByName, parts)
 
 
