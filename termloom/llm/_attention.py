@@ -9,22 +9,29 @@ is scored in the later block.
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import as_strided
 
 #: Positions of a block: half a window.
 BLOCK = 32
 FAR = -1e9
 
 
+def _units(dtype: np.dtype) -> tuple[float, float]:
+    """What scores are multiplied by, and what is added, before they are :func:`raised`: in single precision powers of
+    two in the places that the bits of a number have for them."""
+    return (12102203.16, 1064866805.0) if dtype == np.float32 else (1.0, 0.0)
+
+
 def raised(z: np.ndarray) -> np.ndarray:
-    """The model's positive function of its scores, in place: e to the z with straight lines between the powers
-    of two (single precision), written into the bits of the numbers. Wider precision has the exponential."""
-    np.clip(z, -80, 80, out=z)
+    """The model's positive function of its scores (in :func:`_units`, one block of memory), in place: e to the score
+    with straight lines between the powers of two (single precision), written into the bits of the numbers. Wider
+    precision has the exponential. Scores beyond 80 either way count as 80."""
+    scale, more = _units(z.dtype)
+    np.clip(z, z.dtype.type(more - 80 * scale), z.dtype.type(more + 80 * scale), out=z)
     if z.dtype != np.float32:
         return np.exp(z, out=z)
-    z *= np.float32(12102203.16)
-    z += np.float32(1064866805.0)
-    bits = z.view(np.int32)
-    bits[...] = z
+    flat = z.reshape(-1)  # one dimension: numpy then converts in place, without a copy
+    flat.view(np.int32)[...] = flat
     return z
 
 
@@ -74,7 +81,20 @@ class AttentionModel:
         self.width, self.groups = params["embed"].shape[1], len(symbols.begins)
         #: Distances of the keys (the block before, then the own block) from each position; what is later is masked.
         apart = (np.arange(BLOCK)[:, None] + BLOCK) - np.arange(2 * BLOCK)[None]
-        self.later, self.apart = apart < 0, np.maximum(apart, 0)
+        self.seen, self.apart = apart >= 0, np.maximum(apart, 0)
+        #: Groups of one symbol come last in the order of work: within them nothing is to be chosen.
+        sizes = (symbols.frequency >= 0).reshape(self.groups, symbols.members).sum(1)
+        self.turns = np.argsort(sizes <= 1, kind="stable")
+        self.turn = np.argsort(self.turns).astype(np.uint8 if self.groups < 256 else np.int64)
+        self.choices = int((sizes > 1).sum())
+        self.spaces: dict[str, np.ndarray] = {}
+
+    def _space(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        """Memory that batch after batch works in: fresh memory costs more than what is done in it."""
+        size, found = int(np.prod(shape)), self.spaces.get(name)
+        if found is None or len(found) < size or found.dtype != dtype:
+            found = self.spaces[name] = np.empty(size, dtype)
+        return found[:size].reshape(shape)
 
     @classmethod
     def fresh(cls, symbols: Symbols, width: int = 16, hidden: int = 32, seed: int = 7) -> AttentionModel:
@@ -94,153 +114,195 @@ class AttentionModel:
         )
 
     def _inside(self, inputs: np.ndarray, fresh: np.ndarray) -> dict[str, np.ndarray]:
-        """States of blocks of input symbols, in order; ``fresh`` blocks have none before them."""
+        """States of blocks of input symbols, in order; ``fresh`` blocks have none before them. Weights of the keys
+        (``a``) are not divided by their sums (``total``); ``k`` is in :func:`_units`. They hold until the next call."""
         p, n, d = self.params, len(inputs), self.width
-        x = p["embed"][inputs.ravel()]
-        qkv = (x @ self._scaled()).reshape(n, BLOCK, 3 * d)
-        q = np.ascontiguousarray(qkv[..., :d])
-        k, v = np.empty((n, 2 * BLOCK, d), x.dtype), np.empty((n, 2 * BLOCK, d), x.dtype)
-        for both, part in ((k, qkv[..., d : 2 * d]), (v, qkv[..., 2 * d :])):
-            both[:, BLOCK:] = part
-            both[:1, :BLOCK], both[1:, :BLOCK] = 0, part[:-1]
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a += np.where(self.later, x.dtype.type(FAR), p["bias"][self.apart])
-        a[fresh, :, :BLOCK] = FAR
-        a = raised(a)
-        a *= (1 / (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, x.dtype))).reshape(n, BLOCK, 1)
+        x = p["embed"].take(inputs.ravel(), 0)
+        kind = x.dtype
+        scale, more = _units(kind)
+        # Queries, keys, values and what the next position gets directly, behind an empty block.
+        every = self._space("every", ((n + 1) * BLOCK, 4 * d), kind)
+        every[:BLOCK] = 0
+        np.matmul(x, self._weights(1, scale), out=every[BLOCK:])
+        q = every[BLOCK:, :d].reshape(n, BLOCK, d)
+        step, size = every.strides
+        k, v = (as_strided(every[:, low:], (n, 2 * BLOCK, d), (BLOCK * step, step, size)) for low in (d, 2 * d))
+        a = np.matmul(q, k.transpose(0, 2, 1), out=self._space("a", (n, BLOCK, 2 * BLOCK), kind))
+        a += (p["bias"][self.apart] * scale + more).astype(kind)
+        # Nothing at all where a position doesn't look: next to nothing would be too small for quick arithmetic later.
+        raised(a)
+        a *= self.seen.astype(kind)
+        a[fresh, :, :BLOCK] = 0
+        total = a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, kind)
         o = np.matmul(a, v).reshape(-1, d)
+        o /= total[:, None]
+        g = o @ p["mix"]
+        g += x
         # The symbol before the input, directly: nothing before a fresh block.
-        l = np.empty_like(x)
-        l[1:] = x[:-1]
-        l[np.flatnonzero(fresh) * BLOCK] = 0
-        l[:1] = 0
-        g = x + o @ p["mix"] + l @ p["last"]
+        first = np.flatnonzero(fresh) * BLOCK
+        kept = g[first]
+        g += every[BLOCK - 1 : -1, 3 * d :]
+        g[first] = kept
         u = g @ p["up"]
         u += p["up0"]
         r = np.maximum(u, 0, out=u)
-        y = g + r @ p["down"]
+        y = r @ p["down"]
+        y += g
         y += p["down0"]
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "l": l, "g": g, "r": r, "y": y}
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "o": o, "g": g, "r": r, "y": y}
 
-    def _scaled(self) -> np.ndarray:
-        qkv = self.params["qkv"].copy()
-        qkv[:, : self.width] *= qkv.dtype.type(self.width**-0.5)
-        return qkv
+    def _weights(self, queries: float, keys: float) -> np.ndarray:
+        d, kind = self.width, self.params["qkv"].dtype
+        out = np.concatenate([self.params["qkv"], self.params["last"]], 1)
+        out[:, :d] *= kind.type(queries * d**-0.5)
+        out[:, d : 2 * d] *= kind.type(keys)
+        return out
 
-    def log_probabilities(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, most: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    def log_probabilities(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, most: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithms for each position of its target's probability, and of the chance that what
         follows begins a word (or ends the text). Blocks are worked on in parts of about ``most`` positions."""
         n = len(inputs)
         own, boundary = np.zeros(n * BLOCK, np.float32), np.zeros(n * BLOCK, np.float32)
-        starts, step = self.symbols.begins.astype(np.float32), max(1, most // BLOCK)
+        step = max(1, most // BLOCK)
         for low in range(0, n, step):
             # The block before is read again, for its keys and values.
             lead = int(low > 0)
             lone = fresh[low - lead : low + step].copy()
             lone[0] |= lead > 0
             y = self._inside(inputs[low - lead : low + step], lone)["y"][lead * BLOCK :]
-            t = targets[low : low + step].ravel()
-            z, z2, group, member, order, _ = self._raised_scores(y, t)
-            total = z @ np.ones(self.groups, z.dtype)
             place = slice(low * BLOCK, low * BLOCK + len(y))
-            at = np.arange(len(t))
-            inner = np.empty(len(t), z.dtype)
-            inner[order] = z2[at, member] / (z2 @ np.ones(z2.shape[1], z.dtype))
-            own[place] = np.log(z[at, group] / total) + np.log(inner)
-            boundary[place] = np.log((z @ starts) / total)
+            own[place], boundary[place] = self._scores(y, targets[low : low + step].ravel())["logs"]
         return own, boundary
 
-    def _raised_scores(self, y: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Raised scores of the groups and, sorted by the target's group, of its members."""
-        p = self.params
-        group = t // self.symbols.members
-        z = y @ p["out"]
-        z += p["out0"]
-        order = np.argsort(group.astype(np.uint8) if self.groups < 256 else group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=self.groups))
-        ys, member = y[order], (t - group * self.symbols.members)[order]
-        z2, low = np.empty((len(t), self.symbols.members), y.dtype), 0
-        for g, high in enumerate(ends.tolist()):
+    def _scores(self, y: np.ndarray, t: np.ndarray) -> dict[str, np.ndarray]:
+        """Raised scores of the groups (``z``) with their sums and the targets' places and, in the order of the targets'
+        groups' turns and for groups of several symbols only, those of the members (``z2``); and the logarithms that
+        :meth:`log_probabilities` gives. The scores hold until the next call."""
+        p, members, kind = self.params, self.symbols.members, y.dtype
+        scale, more = (kind.type(x) for x in _units(kind))
+        group = t // members
+        turn = self.turn[group]
+        order = np.argsort(turn, kind="stable")
+        ends = np.cumsum(np.bincount(turn, minlength=self.groups))[: self.choices]
+        n = int(ends[-1]) if len(ends) else 0
+        z = np.matmul(y, p["out"] * scale, out=self._space("z", (len(t), self.groups), kind))
+        z += p["out0"] * scale + more
+        order = order[:n]
+        ys, z2, low = y.take(order, 0), self._space("z2", (n, members), kind), 0
+        weights, biases = p["own"] * scale, p["own0"] * scale + more
+        for g, high in zip(self.turns.tolist(), ends.tolist(), strict=False):
             if high > low:
-                np.matmul(ys[low:high], p["own"][g], out=z2[low:high])
-                z2[low:high] += p["own0"][g]
+                np.matmul(ys[low:high], weights[g], out=z2[low:high])
                 low = high
-        return raised(z), raised(z2), group, member, order, ends
+        z2 += biases.take(group[order], 0)
+        raised(z), raised(z2)
+        at = np.arange(len(t)) * self.groups + group
+        at2 = np.arange(n) * members + (t - group * members)[order]
+        sums = z @ np.stack([np.ones(self.groups), self.symbols.begins], 1).astype(kind)
+        total, total2 = sums[:, 0], z2 @ np.ones(members, kind)
+        own = np.log(z.reshape(-1)[at] / total)
+        own[order] += np.log(z2.reshape(-1)[at2] / total2)
+        return {"z": z, "z2": z2, "at": at, "at2": at2, "order": order, "ys": ys, "ends": ends, "total": total, "total2": total2, "logs": (own, np.log(sums[:, 1] / total))}
 
     def gradients(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, real: np.ndarray, through: bool = True) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats over the real positions, and its gradients; without ``through``, queries, keys and
         values count as given, and their parameters have none."""
+        return self._learned(inputs, fresh, targets, real, through)[:2]
+
+    def _learned(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, real: np.ndarray, through: bool) -> tuple[float, dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The same, with what :meth:`log_probabilities` gives."""
         p, f = self.params, self._inside(inputs, fresh)
-        n, d = len(inputs), self.width
-        y, t, at = f["y"], targets.ravel(), np.arange(inputs.size)
-        weight = real.ravel().astype(y.dtype)
+        n, d, y = len(inputs), self.width, f["y"]
+        kind = y.dtype
+        weight = real.ravel().astype(kind)
         weight /= max(1.0, float(weight.sum()))
-        z, z2, group, member, order, ends = self._raised_scores(y, t)
-        total, total2 = z @ np.ones(self.groups, z.dtype), z2 @ np.ones(z2.shape[1], z.dtype)
+        s = self._scores(y, targets.ravel())
+        z, z2, order, ys, ends = s["z"], s["z2"], s["order"], s["ys"], s["ends"]
+        loss = -float(s["logs"][0] @ weight)
         sorted_weight = weight[order]
-        loss = -float((np.log(z[at, group] / total) * weight).sum() + (np.log(z2[at, member] / total2) * sorted_weight).sum())
-        z *= (weight / total)[:, None]
-        z[at, group] -= weight
-        z2 *= (sorted_weight / total2)[:, None]
-        z2[at, member] -= sorted_weight
-        grad = {"out": y.T @ z, "out0": np.ones(len(z), z.dtype) @ z, "own": np.zeros_like(p["own"]), "own0": np.zeros_like(p["own0"])}
+        z *= (weight / s["total"])[:, None]
+        z.reshape(-1)[s["at"]] -= weight
+        z2 *= (sorted_weight / s["total2"])[:, None]
+        z2.reshape(-1)[s["at2"]] -= sorted_weight
+        ones = np.ones(len(z), kind)
+        grad = {"out": y.T @ z, "out0": ones @ z, "own": np.zeros_like(p["own"]), "own0": np.zeros_like(p["own0"])}
         dy = z @ p["out"].T
-        ys, dys, low = y[order], np.empty_like(y), 0
-        for g, high in enumerate(ends.tolist()):
+        dys, low = np.empty_like(ys), 0
+        for g, high in zip(self.turns.tolist(), ends.tolist(), strict=False):
             if high > low:
                 part = z2[low:high]
-                grad["own"][g], grad["own0"][g] = ys[low:high].T @ part, part.sum(0)
+                np.matmul(ys[low:high].T, part, out=grad["own"][g])
+                np.matmul(ones[low:high], part, out=grad["own0"][g])
                 np.matmul(part, p["own"][g].T, out=dys[low:high])
                 low = high
         dy[order] += dys
-        grad["down"], grad["down0"] = f["r"].T @ dy, dy.sum(0)
+        grad["down"], grad["down0"] = f["r"].T @ dy, ones @ dy
         du = dy @ p["down"].T
         du *= f["r"] > 0
-        grad["up"], grad["up0"] = f["g"].T @ du, du.sum(0)
-        dg = dy + du @ p["up"].T
-        grad["mix"], grad["last"] = f["o"].T @ dg, f["l"].T @ dg
-        dx = dg + self._attended(grad, f, dg, fresh) if through else dg
-        dl = dg @ p["last"].T
-        dl[np.flatnonzero(fresh) * BLOCK] = 0
-        dx[:-1] += dl[1:]
+        grad["up"], grad["up0"] = f["g"].T @ du, ones @ du
+        dg = du @ p["up"].T
+        dg += dy
+        grad["mix"] = f["o"].T @ dg
+        # What each input gave the position after it, unless that begins a fresh block.
+        dl = np.zeros_like(dg)
+        dl[:-1] = dg[1:]
+        first = np.flatnonzero(fresh) * BLOCK
+        dl[first[first > 0] - 1] = 0
+        if through:
+            dx = self._attended(grad, f, dg, dl, fresh)
+        else:
+            grad["last"], dx = f["x"].T @ dl, dl @ p["last"].T
+        dx += dg
         flat = inputs.ravel()
         order = np.argsort(flat.astype(np.uint16) if len(p["embed"]) <= 1 << 16 else flat, kind="stable")
         kinds = flat[order]
         begin = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
         grad["embed"] = np.zeros_like(p["embed"])
-        grad["embed"][kinds[begin]] = np.add.reduceat(dx[order], begin, 0)
-        return loss, grad
+        grad["embed"][kinds[begin]] = np.add.reduceat(dx.take(order, 0), begin, 0)
+        return loss, grad, s["logs"]
 
-    def _attended(self, grad: dict[str, np.ndarray], f: dict[str, np.ndarray], dg: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """Gradients through the attention: adds those of its parameters, returns that of the embedded inputs."""
-        n, d = len(fresh), self.width
-        do = (dg @ self.params["mix"].T).reshape(n, BLOCK, d)
+    def _attended(self, grad: dict[str, np.ndarray], f: dict[str, np.ndarray], dg: np.ndarray, dl: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Gradients through the attention and to the position after: adds those of their parameters, returns that of
+        the embedded inputs."""
+        n, d, kind = len(fresh), self.width, dg.dtype
+        scale = _units(kind)[0]
+        do = dg @ self.params["mix"].T
+        do /= f["total"][:, None]
         a = f["a"]
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        da = np.matmul(do, f["v"].transpose(0, 2, 1))
         # The sum of da * a over the keys is that of do * o over the width.
-        da -= (do * f["o"].reshape(n, BLOCK, d)).sum(-1, keepdims=True)
+        less = ((do * f["o"]) @ np.ones(d, kind)).reshape(n, BLOCK, 1)
+        do = do.reshape(n, BLOCK, d)
+        dv = np.matmul(a.transpose(0, 2, 1), do)
+        da = np.matmul(do, f["v"].transpose(0, 2, 1), out=self._space("da", a.shape, kind))
+        da -= less
         da *= a
-        sums = (np.ones(n, da.dtype) @ da.reshape(n, -1)).reshape(BLOCK, 2 * BLOCK)
-        grad["bias"] = np.bincount(self.apart.ravel(), np.where(self.later, 0, sums).ravel(), 2 * BLOCK).astype(dg.dtype)
-        dqkv = np.empty((n, BLOCK, 3 * d), dg.dtype)
-        dqkv[..., :d] = np.matmul(da, f["k"])
+        sums = (np.ones(n, kind) @ da.reshape(n, -1)).reshape(BLOCK, 2 * BLOCK)
+        grad["bias"] = np.bincount(self.apart.ravel(), np.where(self.seen, sums, 0).ravel(), 2 * BLOCK).astype(kind)
+        back = self._space("back", (n, BLOCK, 4 * d), kind)
+        np.matmul(da, f["k"], out=back[..., :d])  # too large by the units of the keys
         dk = np.matmul(da.transpose(0, 2, 1), f["q"])
         for part, low in ((dk, d), (dv, 2 * d)):  # what the block before got, unless it is another sequence's
             part[fresh, :BLOCK] = 0
-            dqkv[..., low : low + d] = part[:, BLOCK:]
-            dqkv[:-1, :, low : low + d] += part[1:, :BLOCK]
-        dqkv = dqkv.reshape(-1, 3 * d)
-        grad["qkv"] = f["x"].T @ dqkv
-        grad["qkv"][:, :d] *= dg.dtype.type(d**-0.5)
-        return dqkv @ self._scaled().T
-
-    def train(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, real: np.ndarray, updates: int | None = None, batch: int = 128, run: int = 8, rate: float = 4e-3, through: bool = True, seed: int = 11) -> list[float]:
+            back[..., low : low + d] = part[:, BLOCK:]
+            back[:-1, :, low : low + d] += part[1:, :BLOCK]
+        back = back.reshape(-1, 4 * d)
+        back[:, 3 * d :] = dl
+        own = f["x"].T @ back
+        own[:, :d] *= kind.type(d**-0.5 / scale)
+        grad["qkv"], grad["last"] = own[:, : 3 * d], own[:, 3 * d :]
+        return back @ self._weights(1 / scale, 1).T
+
+    def train(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, real: np.ndarray, updates: int | None = None, batch: int = 128, run: int = 8, rate: float = 4e-3, through: bool = True, seed: int = 11, told: tuple[np.ndarray, np.ndarray] | None = None) -> list[float]:
         """Adam with a falling rate; a batch is ``batch`` blocks, drawn in runs of ``run`` neighbours.
 
-        ``updates`` steps in as many passes as they need, or one pass over all blocks.
+        ``updates`` steps in as many passes as they need, or one pass over all blocks. ``told`` takes what
+        :meth:`log_probabilities` gives for each position as the model stood before it learned from it.
         """
-        rng, first, second, losses = np.random.default_rng(seed), {}, {}, []
+        rng, losses = np.random.default_rng(seed), []
+        names = sorted(self.params)
+        values = self.flat()
+        self.params = self._named(values)
+        first, second = np.zeros_like(values), np.zeros_like(values)
         runs = -(-len(inputs) // run)
         each = max(1, batch // run)
         updates = -(-runs // each) if updates is None else updates
@@ -254,32 +316,39 @@ class AttentionModel:
             lone[:, 0] = True
             inside = rows < len(inputs)
             rows, lone = rows[inside], lone.ravel()[inside] | fresh[rows[inside]]
-            loss, grad = self.gradients(inputs[rows], lone, targets[rows], real[rows], through)
+            loss, grad, logs = self._learned(inputs[rows], lone, targets[rows], real[rows], through)
             losses.append(loss)
-            norm = max(1.0, float(np.sqrt(sum(float((g * g).sum()) for g in grad.values()))))
+            for whole, own in zip(told or (), logs, strict=False):
+                whole.reshape(-1, BLOCK)[rows] = own.reshape(-1, BLOCK)
+            g = np.concatenate([grad[k].ravel() if k in grad else np.zeros(self.params[k].size, values.dtype) for k in names])
+            g /= g.dtype.type(max(1.0, float(np.sqrt(g @ g))))
             speed = rate * (1 - 0.9 * step / updates)
-            for name, g in grad.items():
-                g /= g.dtype.type(norm)
-                m, s = first.setdefault(name, np.zeros_like(g)), second.setdefault(name, np.zeros_like(g))
-                m *= 0.9
-                m += 0.1 * g
-                g *= g
-                s *= 0.99
-                s += 0.01 * g
-                self.params[name] -= (speed / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+            first *= 0.9
+            first += 0.1 * g
+            g *= g
+            second *= 0.99
+            second += 0.01 * g
+            np.sqrt(second / (1 - 0.99**step), out=g)
+            g += 1e-8
+            np.divide(first, g, out=g)
+            g *= speed / (1 - 0.9**step)
+            values -= g
         return losses
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.params[k].ravel() for k in sorted(self.params)])
 
-    def filled(self, flat: np.ndarray) -> AttentionModel:
-        """A model of this shape with other values."""
+    def _named(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         params, at = {}, 0
         for k in sorted(self.params):
             size = self.params[k].size
-            params[k] = flat[at : at + size].reshape(self.params[k].shape).astype(np.float32)
+            params[k] = flat[at : at + size].reshape(self.params[k].shape)
             at += size
-        return AttentionModel(params, self.symbols)
+        return params
+
+    def filled(self, flat: np.ndarray) -> AttentionModel:
+        """A model of this shape with other values."""
+        return AttentionModel(self._named(flat.astype(np.float32)), self.symbols)
 
 
 def blocks(flat: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +128,7 @@ class Lookup:
 
 
 def score_documents(
-    docs: DataFrame, tokenizer: str | None = None, modulus: int = 7, held_out: int = 2, kinds: int = 1024, updates: int = 500, fitted_on: int = 32, chunk_bytes: int = SCORE_CHUNK_BYTES,
+    docs: DataFrame, tokenizer: str | None = None, modulus: int = 7, held_out: int = 2, kinds: int = 1024, updates: int = 500, chunk_bytes: int = SCORE_CHUNK_BYTES,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per row.
 
@@ -144,10 +144,11 @@ def score_documents(
     1. Texts are split once, into numbers of the chunk's distinct words. Chunks send those with training
        counts to buckets, which return each word's count in the corpus and its subword ids (each distinct
        word is encoded once), and the counts of subword ids.
-    2. The model starts with ``updates`` updates on one chunk. From there each chunk goes once through all
-       its training texts, whole; the attention's projections stay as they are, all else learns. The mean of
+    2. The model starts with ``updates`` updates on one chunk, so that chunks' models can be averaged. From there
+       each chunk goes once through all its training texts, whole, and all of the model learns. The mean of
        all chunks' models is the model. Each chunk also fits mixture weights by expectation and maximisation
-       on one of ``fitted_on`` training rows, whose own words are taken off the counts.
+       on all its training rows: by the chances that the model gave each id before it learned from it, a row's
+       own words taken off the counts.
     3. Each chunk scores its rows: windows that overlap by half, each id scored once.
 
     Null texts are empty (one token, the end), repeated rows and null ids (learned from as the empty id)
@@ -201,14 +202,6 @@ def score_documents(
     joined = with_replies(table, replies.where("chunk_id >= 0"))
     spread = spark.sparkContext.broadcast((symbols, firsts))
 
-    def examples(chunk: Lookup, symbols: Symbols, learned: np.ndarray) -> list[np.ndarray]:
-        kind, parts = chunk.symbols(symbols), []
-        for _, per_row, which in chunk.slabs(learned):
-            flat, lengths, _ = chunk.sequence(which, per_row, kind)
-            inputs, fresh, targets, real, _ = blocks(flat, lengths, symbols.end)
-            parts.append((inputs.astype(np.int32), fresh, targets.astype(np.int32), real))
-        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
-
     def train(first: np.ndarray | None):
         held = spark.sparkContext.broadcast(first)
 
@@ -221,17 +214,11 @@ def score_documents(
             for batch in batches:
                 for payload, replies_ in zip(batch.column(0), batch.column(1), strict=True):
                     chunk = Lookup(unpack_table(payload.as_py()), replies_of(replies_), buckets, ends)
-                    check = checked(chunk.ids)
-                    learned = check % modulus != held_out
-                    data = examples(chunk, symbols, learned)
-                    if not data:
+                    learned = checked(chunk.ids) % modulus != held_out
+                    if not learned.any():
                         continue
                     model = start.filled(start.flat() if held.value is None else held.value)
-                    model.train(*data, updates=updates) if held.value is None else model.train(*data, rate=1e-3, through=False)
-                    positions = float(data[3].sum())
-                    del data
-                    fitted = Mixture(chunk, model, firsts, train_tokens).fitted(learned & (check // modulus % fitted_on == 0))
-                    own = np.concatenate([model.flat().astype(np.float64) * positions, [positions], fitted])
+                    own = taught(chunk, model, learned, firsts, train_tokens, updates if held.value is None else None)
                     whole = own if whole is None else whole + own
                     release()
             if whole is not None:
@@ -293,6 +280,29 @@ def score_documents(
     return result
 
 
+def taught(chunk: Lookup, model: AttentionModel, learned: np.ndarray, firsts: np.ndarray, tokens: int, updates: int | None = None) -> np.ndarray:
+    """Teaches the model the learned rows: its values times the rows' positions, those positions, and the tokens that
+    mixture weights account for on all these rows. With ``updates`` it is only started, and no weights are fitted."""
+    symbols = model.symbols
+    kind, parts = chunk.symbols(symbols), []
+    for _, per_row, which in chunk.slabs(learned):
+        flat, lengths, _ = chunk.sequence(which, per_row, kind)
+        inputs, fresh, targets, real, _ = blocks(flat, lengths, symbols.end)
+        parts.append((inputs.astype(np.int32), fresh, targets.astype(np.int32), real))
+    data = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    del parts
+    positions, fitted = float(data[3].sum()), np.zeros(0)
+    if updates is not None:
+        model.train(*data, updates=updates)
+    else:
+        # As the model stood before it learned from them; the first block of a batch's run has none before it.
+        told = (np.zeros(data[0].size, np.float32), np.zeros(data[0].size, np.float32))
+        model.train(*data, rate=1e-3, told=told)
+        del data
+        fitted = Mixture(chunk, model, firsts, tokens).fitted(learned, told)
+    return np.concatenate([model.flat().astype(np.float64) * positions, [positions], fitted])
+
+
 class Mixture:
     """The four parts of a word's chance over the rows of a chunk."""
 
@@ -304,12 +314,15 @@ class Mixture:
         #: Training words that begin with the word's first id; the end is alone with its own.
         self.fellows = np.append(firsts[chunk.flat[begin[:-1]]], chunk.count[-1]).astype(np.float64)
 
-    def parts(self, per_row: np.ndarray, which: np.ndarray, without_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logarithms (4 x words), and each word's class of age: how many words stand before it."""
+    def parts(self, per_row: np.ndarray, which: np.ndarray, told: Callable[[int], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logarithms (4 x words), and each word's class of age: how many words stand before it.
+
+        With ``told``, which gives the model's logarithms for the next so many positions, each row's own words are taken
+        off the counts."""
         chunk = self.chunk
         flat, lengths, spot = chunk.sequence(which, per_row, self.kind)
         inputs, fresh, targets, real, token = blocks(flat, lengths, self.model.symbols.end)
-        own, boundary = self.model.log_probabilities(inputs, fresh, targets)
+        own, boundary = told(inputs.size) if told else self.model.log_probabilities(inputs, fresh, targets)
         chosen = real.ravel()
         token = token.ravel()[chosen]
         logs, begun = np.empty(len(flat)), np.empty(len(flat) + 1)
@@ -321,7 +334,7 @@ class Mixture:
         ended = begun[stop]
         ended[np.cumsum(per_row) - 1] = 0  # nothing follows the end of a text
         before, earlier, own_count = _recurrence(which, per_row)
-        count = chunk.count[which] - (own_count if without_own else 0)
+        count = chunk.count[which] - (own_count if told else 0)
         out = np.full((4, len(which)), NOTHING)
         out[0] = np.add.reduceat(logs, start) - begun[start] + ended
         seen = np.flatnonzero(count > 0)
@@ -332,23 +345,30 @@ class Mixture:
         out[3, again] = np.log(earlier[again] / before[again])
         return out, np.searchsorted(AGES, before, "right")
 
-    def fitted(self, wanted: np.ndarray, rounds: int = 25) -> np.ndarray:
-        """Tokens that each part of each class of age accounts for on the wanted training rows."""
-        ages = len(AGES) + 1
+    def fitted(self, wanted: np.ndarray, told: tuple[np.ndarray, np.ndarray], rounds: int = 25) -> np.ndarray:
+        """Tokens that each part of each class of age accounts for on the wanted training rows, by the model's
+        logarithms for their positions."""
+        ages, at = len(AGES) + 1, 0
         out = np.zeros((ages, 4))
-        found = [self.parts(per_row, which, without_own=True) for _, per_row, which in self.chunk.slabs(wanted)]
-        if found:
-            parts, age = np.concatenate([p for p, _ in found], 1), np.concatenate([a for _, a in found])
+
+        def following(n: int) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal at
+            at += n
+            return told[0][at - n : at], told[1][at - n : at]
+
+        found: list[list[np.ndarray]] = [[] for _ in range(ages)]
+        for _, per_row, which in self.chunk.slabs(wanted):
+            parts, age = self.parts(per_row, which, following)
+            parts -= parts.max(0)
+            likely = np.exp(parts, out=parts).astype(np.float32)
             for k in range(ages):
-                own = parts[:, age == k]
-                if own.shape[1]:
-                    likely = np.exp(own - own.max(0))
-                    weight = FIRST_WEIGHTS
-                    for _ in range(rounds):
-                        share = likely * weight[:, None]
-                        took = (share / share.sum(0)).sum(1)
-                        weight = (took + PRIOR_TOKENS * FIRST_WEIGHTS) / (took.sum() + PRIOR_TOKENS)
-                    out[k] = took
+                found[k].append(likely[:, age == k])
+        for k in range(ages):
+            weight = FIRST_WEIGHTS
+            for _ in range(rounds):
+                single = weight.astype(np.float32)
+                out[k] = weight * sum((x @ (1 / (single @ x)) for x in found[k]), np.zeros(4))
+                weight = (out[k] + PRIOR_TOKENS * FIRST_WEIGHTS) / (out[k].sum() + PRIOR_TOKENS)
         return out.ravel()
 
 

@@ -120,6 +120,25 @@ def test_chances_of_next_words_sum_to_at_most_one():
     assert (sums <= 1.0001).all() and sums[1:3] == pytest.approx([1, 1], abs=1e-4) and sums[0] > 0.2
 
 
+def test_every_training_row_teaches_the_whole_model_and_fits_the_weights():
+    counts = {"ab": 5, "abc": 2, "b": 7}
+    chunk, model, firsts = chunk_of(["ab b abc " * 30, "b", "", "ab abc cab"] * 5, counts)
+    held, size = model.params["qkv"].copy(), len(model.flat())
+    learned = np.arange(20) % 4 != 3
+    got = lm_scoring.taught(chunk, model, learned, firsts, 18)
+    assert (got[:size] / got[size]).astype(np.float32) == pytest.approx(model.flat()) and (model.params["qkv"] != held).all()
+    assert got[size + 1 :].sum() == pytest.approx((chunk.sizes + 1)[learned].sum())
+    assert len(lm_scoring.taught(chunk, model, learned, firsts, 18, updates=3)) == size + 1
+
+
+def test_training_tells_what_the_model_gave_before_it_learned():
+    model = small_model()
+    inputs, targets, fresh = drawn(model, 21), drawn(model, 21, 2), np.ones(21, bool)
+    want, told = model.log_probabilities(inputs, fresh, targets), (np.zeros(21 * BLOCK, np.float32), np.zeros(21 * BLOCK, np.float32))
+    model.train(inputs, fresh, targets, np.ones(inputs.shape, bool), batch=8, rate=0.0, told=told)
+    assert np.allclose(told[0], want[0], atol=1e-5) and np.allclose(told[1], want[1], atol=1e-5)
+
+
 def test_scores(docs, corpus, nothing):
     got = lm_scoring.score_documents(docs, updates=40, chunk_bytes=20_000).collect()
     counts: Counter = Counter()
