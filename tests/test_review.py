@@ -97,6 +97,22 @@ def test_lines_that_hold_forms_as_whole_words(spark):
     assert [tuple(r)[:3] for r in search.first_lines(search.lines_with(search.word_index(lines), forms), stamped, 1).orderBy("form").collect()] == [("a a", "e", 0), ("cafe", "d", 0), ("cafe the", "d", 0), ("the CAFE bar", "d", 0), ("日本", "d", 1)]
 
 
+def test_frequent_words_of_forms_give_no_places_and_long_forms_are_found(spark):
+    long = " ".join(f"w{k}" for k in range(17))
+    texts = ["the " * 500, f"x {long} {long}", long.removesuffix("16"), f"{long.removeprefix('w0 ')}", "a b " * 12, "the cat the"]
+    lines = spark.createDataFrame([("d", k, t) for k, t in enumerate(texts)], "doc_id string, line_no int, text string")
+    forms = ["the cat", "cat the", long, "a b " * 8, "a b " * 4, "b a b a b a b a b", "w15 w16 w0"]
+    index, table = search.word_index(lines), spark.createDataFrame([(f,) for f in forms], "form string")
+    want = set()
+    for k, t in enumerate(texts):
+        for f in forms:
+            at = [i for i in range(len(t.split())) if t.split()[i : i + len(f.split())] == f.split()]
+            want |= {("d", k, f, len(at), at[0])} if at else set()
+    assert {tuple(r) for r in search.lines_with(index, table).collect()} == want and len(want) == 7
+    # Of 502 times "the" only the one that begins a form goes on.
+    assert [tuple(r) for r in search.places(index, spark.createDataFrame([("the cat",)], "form string")).collect()] == [("d", 5, "the cat", 1, 0)]
+
+
 @pytest.fixture(scope="module")
 def in_question(spark, captions):
     lines, texts = captions
