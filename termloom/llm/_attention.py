@@ -8,8 +8,9 @@ is scored in the later block.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from numpy.lib.stride_tricks import as_strided
 
 #: Positions of a block: half a window.
 BLOCK = 32
@@ -91,7 +92,7 @@ class AttentionModel:
 
     def _space(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
         """Memory that batch after batch works in: fresh memory costs more than what is done in it."""
-        size, found = int(np.prod(shape)), self.spaces.get(name)
+        size, found = math.prod(shape), self.spaces.get(name)
         if found is None or len(found) < size or found.dtype != dtype:
             found = self.spaces[name] = np.empty(size, dtype)
         return found[:size].reshape(shape)
@@ -113,20 +114,35 @@ class AttentionModel:
             symbols,
         )
 
-    def _inside(self, inputs: np.ndarray, fresh: np.ndarray) -> dict[str, np.ndarray]:
+    def _told(self) -> np.ndarray:
+        """Queries, keys, values and what the next position gets directly, for each symbol: nothing else tells them."""
+        return self.params["embed"] @ self._weights(1, _units(self.params["embed"].dtype)[0])
+
+    def _heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the groups' and of the members' scores in :func:`_units`, what is added to the scores last."""
+        p, (scale, more) = self.params, _units(self.params["out"].dtype)
+        kind = p["out"].dtype.type
+        out, own = np.vstack([p["out"], p["out0"]]) * kind(scale), np.concatenate([p["own"], p["own0"][:, None]], 1) * kind(scale)
+        out[-1] += kind(more)
+        own[:, -1] += kind(more)
+        return out, own
+
+    def _inside(self, inputs: np.ndarray, fresh: np.ndarray, told: np.ndarray) -> dict[str, np.ndarray]:
         """States of blocks of input symbols, in order; ``fresh`` blocks have none before them. Weights of the keys
-        (``a``) are not divided by their sums (``total``); ``k`` is in :func:`_units`. They hold until the next call."""
+        (``a``) are not divided by their sums (``total``); ``k`` is in :func:`_units`, ``v`` is mixed already, ``y`` ends
+        in a one, for what is added to the scores. They hold until the next call."""
         p, n, d = self.params, len(inputs), self.width
-        x = p["embed"].take(inputs.ravel(), 0)
+        flat = inputs.ravel()
+        x = p["embed"].take(flat, 0)
         kind = x.dtype
         scale, more = _units(kind)
-        # Queries, keys, values and what the next position gets directly, behind an empty block.
+        # What the symbols tell, behind an empty block.
         every = self._space("every", ((n + 1) * BLOCK, 4 * d), kind)
         every[:BLOCK] = 0
-        np.matmul(x, self._weights(1, scale), out=every[BLOCK:])
+        np.take(told, flat, 0, out=every[BLOCK:], mode="clip")
         q = every[BLOCK:, :d].reshape(n, BLOCK, d)
         step, size = every.strides
-        k, v = (as_strided(every[:, low:], (n, 2 * BLOCK, d), (BLOCK * step, step, size)) for low in (d, 2 * d))
+        k, v = (np.ndarray((n, 2 * BLOCK, d), kind, every, low * size, (BLOCK * step, step, size)) for low in (d, 2 * d))
         a = np.matmul(q, k.transpose(0, 2, 1), out=self._space("a", (n, BLOCK, 2 * BLOCK), kind))
         a += (p["bias"][self.apart] * scale + more).astype(kind)
         # Nothing at all where a position doesn't look: next to nothing would be too small for quick arithmetic later.
@@ -136,8 +152,7 @@ class AttentionModel:
         total = a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, kind)
         o = np.matmul(a, v).reshape(-1, d)
         o /= total[:, None]
-        g = o @ p["mix"]
-        g += x
+        g = o + x
         # The symbol before the input, directly: nothing before a fresh block.
         first = np.flatnonzero(fresh) * BLOCK
         kept = g[first]
@@ -145,10 +160,11 @@ class AttentionModel:
         g[first] = kept
         u = g @ p["up"]
         u += p["up0"]
-        r = np.maximum(u, 0, out=u)
-        y = r @ p["down"]
-        y += g
-        y += p["down0"]
+        r = np.clip(u, 0, None, out=u)
+        y = self._space("y", (n * BLOCK, d + 1), kind)
+        y[:, d] = 1
+        np.matmul(r, p["down"], out=y[:, :d])
+        y[:, :d] += g + p["down0"]
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "o": o, "g": g, "r": r, "y": y}
 
     def _weights(self, queries: float, keys: float) -> np.ndarray:
@@ -156,6 +172,7 @@ class AttentionModel:
         out = np.concatenate([self.params["qkv"], self.params["last"]], 1)
         out[:, :d] *= kind.type(queries * d**-0.5)
         out[:, d : 2 * d] *= kind.type(keys)
+        out[:, 2 * d : 3 * d] = out[:, 2 * d : 3 * d] @ self.params["mix"]
         return out
 
     def log_probabilities(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, most: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
@@ -163,38 +180,34 @@ class AttentionModel:
         follows begins a word (or ends the text). Blocks are worked on in parts of about ``most`` positions."""
         n = len(inputs)
         own, boundary = np.zeros(n * BLOCK, np.float32), np.zeros(n * BLOCK, np.float32)
-        step = max(1, most // BLOCK)
+        step, symbols, heads = max(1, most // BLOCK), self._told(), self._heads()
         for low in range(0, n, step):
             # The block before is read again, for its keys and values.
             lead = int(low > 0)
             lone = fresh[low - lead : low + step].copy()
             lone[0] |= lead > 0
-            y = self._inside(inputs[low - lead : low + step], lone)["y"][lead * BLOCK :]
+            y = self._inside(inputs[low - lead : low + step], lone, symbols)["y"][lead * BLOCK :]
             place = slice(low * BLOCK, low * BLOCK + len(y))
-            own[place], boundary[place] = self._scores(y, targets[low : low + step].ravel())["logs"]
+            own[place], boundary[place] = self._scores(y, targets[low : low + step].ravel(), heads)["logs"]
         return own, boundary
 
-    def _scores(self, y: np.ndarray, t: np.ndarray) -> dict[str, np.ndarray]:
+    def _scores(self, y: np.ndarray, t: np.ndarray, heads: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
         """Raised scores of the groups (``z``) with their sums and the targets' places and, in the order of the targets'
         groups' turns and for groups of several symbols only, those of the members (``z2``); and the logarithms that
         :meth:`log_probabilities` gives. The scores hold until the next call."""
-        p, members, kind = self.params, self.symbols.members, y.dtype
-        scale, more = (kind.type(x) for x in _units(kind))
+        members, kind, (out, weights) = self.symbols.members, y.dtype, heads
         group = t // members
         turn = self.turn[group]
         order = np.argsort(turn, kind="stable")
         ends = np.cumsum(np.bincount(turn, minlength=self.groups))[: self.choices]
         n = int(ends[-1]) if len(ends) else 0
-        z = np.matmul(y, p["out"] * scale, out=self._space("z", (len(t), self.groups), kind))
-        z += p["out0"] * scale + more
+        z = np.matmul(y, out, out=self._space("z", (len(t), self.groups), kind))
         order = order[:n]
         ys, z2, low = y.take(order, 0), self._space("z2", (n, members), kind), 0
-        weights, biases = p["own"] * scale, p["own0"] * scale + more
         for g, high in zip(self.turns.tolist(), ends.tolist(), strict=False):
             if high > low:
                 np.matmul(ys[low:high], weights[g], out=z2[low:high])
                 low = high
-        z2 += biases.take(group[order], 0)
         raised(z), raised(z2)
         at = np.arange(len(t)) * self.groups + group
         at2 = np.arange(n) * members + (t - group * members)[order]
@@ -211,12 +224,12 @@ class AttentionModel:
 
     def _learned(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, real: np.ndarray, through: bool) -> tuple[float, dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """The same, with what :meth:`log_probabilities` gives."""
-        p, f = self.params, self._inside(inputs, fresh)
+        p, f = self.params, self._inside(inputs, fresh, self._told())
         n, d, y = len(inputs), self.width, f["y"]
         kind = y.dtype
         weight = real.ravel().astype(kind)
         weight /= max(1.0, float(weight.sum()))
-        s = self._scores(y, targets.ravel())
+        s = self._scores(y, targets.ravel(), self._heads())
         z, z2, order, ys, ends = s["z"], s["z2"], s["order"], s["ys"], s["ends"]
         loss = -float(s["logs"][0] @ weight)
         sorted_weight = weight[order]
@@ -225,33 +238,27 @@ class AttentionModel:
         z2 *= (sorted_weight / s["total2"])[:, None]
         z2.reshape(-1)[s["at2"]] -= sorted_weight
         ones = np.ones(len(z), kind)
-        grad = {"out": y.T @ z, "out0": ones @ z, "own": np.zeros_like(p["own"]), "own0": np.zeros_like(p["own0"])}
+        out, own = y.T @ z, np.zeros((self.groups, d + 1, z2.shape[1]), kind)
         dy = z @ p["out"].T
-        dys, low = np.empty_like(ys), 0
+        dys, low = np.zeros((len(order) + 1, d), kind), 0
         for g, high in zip(self.turns.tolist(), ends.tolist(), strict=False):
             if high > low:
                 part = z2[low:high]
-                np.matmul(ys[low:high].T, part, out=grad["own"][g])
-                np.matmul(ones[low:high], part, out=grad["own0"][g])
+                np.matmul(ys[low:high].T, part, out=own[g])
                 np.matmul(part, p["own"][g].T, out=dys[low:high])
                 low = high
-        dy[order] += dys
+        grad = {"out": out[:d], "out0": out[d], "own": own[:, :d], "own0": own[:, d]}
+        # Back in the order of the positions; those without a choice in their group take the last row, of zeros.
+        place = np.full(len(z), len(order))
+        place[order] = np.arange(len(order))
+        dy += dys.take(place, 0)
         grad["down"], grad["down0"] = f["r"].T @ dy, ones @ dy
         du = dy @ p["down"].T
         du *= f["r"] > 0
         grad["up"], grad["up0"] = f["g"].T @ du, ones @ du
         dg = du @ p["up"].T
         dg += dy
-        grad["mix"] = f["o"].T @ dg
-        # What each input gave the position after it, unless that begins a fresh block.
-        dl = np.zeros_like(dg)
-        dl[:-1] = dg[1:]
-        first = np.flatnonzero(fresh) * BLOCK
-        dl[first[first > 0] - 1] = 0
-        if through:
-            dx = self._attended(grad, f, dg, dl, fresh)
-        else:
-            grad["last"], dx = f["x"].T @ dl, dl @ p["last"].T
+        dx = self._attended(grad, f, dg, fresh, through)
         dx += dg
         flat = inputs.ravel()
         order = np.argsort(flat.astype(np.uint16) if len(p["embed"]) <= 1 << 16 else flat, kind="stable")
@@ -261,35 +268,40 @@ class AttentionModel:
         grad["embed"][kinds[begin]] = np.add.reduceat(dx.take(order, 0), begin, 0)
         return loss, grad, s["logs"]
 
-    def _attended(self, grad: dict[str, np.ndarray], f: dict[str, np.ndarray], dg: np.ndarray, dl: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    def _attended(self, grad: dict[str, np.ndarray], f: dict[str, np.ndarray], dg: np.ndarray, fresh: np.ndarray, through: bool) -> np.ndarray:
         """Gradients through the attention and to the position after: adds those of their parameters, returns that of
         the embedded inputs."""
-        n, d, kind = len(fresh), self.width, dg.dtype
+        p, n, d, kind = self.params, len(fresh), self.width, dg.dtype
         scale = _units(kind)[0]
-        do = dg @ self.params["mix"].T
-        do /= f["total"][:, None]
+        do = dg / f["total"][:, None]
         a = f["a"]
         # The sum of da * a over the keys is that of do * o over the width.
         less = ((do * f["o"]) @ np.ones(d, kind)).reshape(n, BLOCK, 1)
         do = do.reshape(n, BLOCK, d)
-        dv = np.matmul(a.transpose(0, 2, 1), do)
+        back, both = self._space("back", (n, BLOCK, 4 * d), kind), self._space("both", (n, 2 * BLOCK, 2 * d), kind)
+        np.matmul(a.transpose(0, 2, 1), do, out=both[..., d:])
         da = np.matmul(do, f["v"].transpose(0, 2, 1), out=self._space("da", a.shape, kind))
         da -= less
         da *= a
-        sums = (np.ones(n, kind) @ da.reshape(n, -1)).reshape(BLOCK, 2 * BLOCK)
-        grad["bias"] = np.bincount(self.apart.ravel(), np.where(self.seen, sums, 0).ravel(), 2 * BLOCK).astype(kind)
-        back = self._space("back", (n, BLOCK, 4 * d), kind)
         np.matmul(da, f["k"], out=back[..., :d])  # too large by the units of the keys
-        dk = np.matmul(da.transpose(0, 2, 1), f["q"])
-        for part, low in ((dk, d), (dv, 2 * d)):  # what the block before got, unless it is another sequence's
-            part[fresh, :BLOCK] = 0
-            back[..., low : low + d] = part[:, BLOCK:]
-            back[:-1, :, low : low + d] += part[1:, :BLOCK]
+        np.matmul(da.transpose(0, 2, 1), f["q"], out=both[..., :d])
+        # Keys and values get from their own block and from the one after it; a fresh block gives nothing to the one before.
+        np.add(both[:-1, BLOCK:], both[1:, :BLOCK], out=back[:-1, :, d : 3 * d])
+        back[-1, :, d : 3 * d] = both[-1, BLOCK:]
         back = back.reshape(-1, 4 * d)
-        back[:, 3 * d :] = dl
+        # What each input gave the position after it, unless that begins a fresh block.
+        back[:-1, 3 * d :] = dg[1:]
+        back[np.append(np.flatnonzero(fresh[1:]) + 1, n) * BLOCK - 1, 3 * d :] = 0
         own = f["x"].T @ back
-        own[:, :d] *= kind.type(d**-0.5 / scale)
-        grad["qkv"], grad["last"] = own[:, : 3 * d], own[:, 3 * d :]
+        grad["last"], mixed = own[:, 3 * d :], own[:, 2 * d : 3 * d]
+        grad["mix"] = p["qkv"][:, 2 * d :].T @ mixed
+        if through:
+            own[:, :d] *= kind.type(d**-0.5 / scale)
+            grad["qkv"] = np.concatenate([own[:, : 2 * d], mixed @ p["mix"].T], 1)
+            sums = (np.ones(n, kind) @ da.reshape(n, -1)).reshape(BLOCK, 2 * BLOCK)
+            grad["bias"] = np.bincount(self.apart.ravel(), np.where(self.seen, sums, 0).ravel(), 2 * BLOCK).astype(kind)
+        else:
+            back[:, : 3 * d] = 0
         return back @ self._weights(1 / scale, 1).T
 
     def train(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, real: np.ndarray, updates: int | None = None, batch: int = 128, run: int = 8, rate: float = 4e-3, through: bool = True, seed: int = 11, told: tuple[np.ndarray, np.ndarray] | None = None) -> list[float]:

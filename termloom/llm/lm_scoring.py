@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._attention import AttentionModel, Symbols, blocks
 from ._bytebpe import Library, forget
-from ._shared import CHUNK_BYTES, Scratch, WordNumbers, bucket_count, chunks, each_chunk, exchange, id_and_text, one_thread, pack, pack_words, release, remainder, replies_of, slabs, tokenizer_path, unpack, unpack_table, unpack_words, with_replies
+from ._shared import CHUNK_BYTES, Scratch, bucket_count, chunks, each_chunk, exchange, id_and_text, one_thread, pack, pack_words, release, remainder, replies_of, tokenizer_path, unpack, unpack_table, with_replies
 from .word_bpe import IdTable, decode_ids
 
 #: Chunks are larger than elsewhere: a chunk asks for each of its words once.
@@ -30,27 +31,28 @@ PRIOR_TOKENS = 200.0
 NOTHING = -1e30
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case (bytes know no other letters and no other space)."""
-    return text.encode().lower().split()
-
-
 def numbered(rows: pa.Table) -> pa.Table:
-    """A chunk of ``doc_id, text`` as one row: ids, words a row, the words' numbers, and the distinct words with checksums."""
+    """A chunk of ``doc_id, text`` as one row: ids, words a row, the words' numbers, and the distinct words with checksums.
+
+    Words stand between ASCII white space; A-Z are put in lower case and no other letters."""
     forget()
-    numbers, ids, sizes, flat = WordNumbers(), [], [], []
-    for part, texts in slabs(rows, 1 << 20):
-        ids += part
-        for text in texts:
-            own = numbers.of(words_of(text))
-            sizes.append(len(own))
-            flat.append(own)
-    words = list(numbers)
-    checks = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    every = np.concatenate([*flat, np.zeros(0, np.int32)])
-    lists = {"ids": (ids, pa.int64()), "sizes": (np.array(sizes, np.int32), pa.int32()), "numbers": (every, pa.int32()), "checks": (checks, pa.uint32())}
-    columns = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind)) for k, (v, kind) in lists.items()}
-    return pa.table(columns | {"words": pa.array([b"\n".join(words)], pa.binary())})
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(rows.column("text")))
+    split = pc.ascii_split_whitespace(texts)
+    # A text without words is split into one empty word.
+    sizes = np.where(pc.binary_length(texts).to_numpy() > 0, pc.list_value_length(split).to_numpy(), 0)
+    flat = pc.list_flatten(split)
+    found = flat.filter(pc.not_equal(flat, "")).combine_chunks().dictionary_encode()
+    words = in_one(found.dictionary, "\n")
+    checks = np.fromiter(map(zlib.crc32, words.split(b"\n") if words else ()), np.uint32, len(found.dictionary))
+    lists = {"ids": rows.column("doc_id").to_pylist(), "sizes": sizes, "numbers": found.indices, "checks": checks}
+    kinds = {"ids": pa.int64(), "sizes": pa.int32(), "numbers": pa.int32(), "checks": pa.uint32()}
+    columns = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kinds[k])) for k, v in lists.items()}
+    return pa.table(columns | {"words": pa.array([words], pa.binary())})
+
+
+def in_one(words: pa.StringArray, between: str) -> bytes:
+    """All words in one text; Arrow joins them faster than their Python strings are made."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), between)[0].as_py().encode()
 
 
 class Numbered:
@@ -173,23 +175,22 @@ def score_documents(
             yield b, len(head).to_bytes(8, "little") + head + pack(counts[own].tobytes())
 
     def answer(lists: list[bytes]) -> tuple:
-        total: dict[str, int] = {}
-        asked = []
+        texts, counts = [], []
         for x in lists:
             n = int.from_bytes(x[:8], "little")
-            words = unpack_words(x[8 : 8 + n])
-            asked.append(words)
-            for w, c in zip(words, np.frombuffer(unpack(x[8 + n :]), np.uint32).tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-        every_word = list(total)
-        ids = IdTable(Library(path), every_word, [f" {w}" for w in every_word])
-        count = np.fromiter(total.values(), np.float64, len(total))
+            texts.append(unpack(x[8 : 8 + n]).decode())
+            counts.append(np.frombuffer(unpack(x[8 + n :]), np.uint32))
+        found = pc.list_flatten(pc.split_pattern(pa.array(texts, pa.large_string()), "\n")).dictionary_encode()
+        del texts
+        which = found.indices.to_numpy()
+        count = np.bincount(which, np.concatenate(counts), len(found.dictionary))
+        ids = IdTable(Library(path), (" " + in_one(found.dictionary.cast(pa.string()), "\n ").decode()).split("\n"))
         subwords = np.bincount(ids.flat, np.repeat(count, ids.lengths), vocabulary).astype(np.int64)
         firsts = np.bincount(ids.flat[ids.ends - ids.lengths], count, vocabulary).astype(np.int64)
         replies = []
-        for words in asked:
-            head = ids.reply(words)
-            replies.append(len(head).to_bytes(8, "little") + head + pack(np.fromiter((total[w] for w in words), np.uint64, len(words)).tobytes()))
+        for own in np.split(which, np.cumsum([len(c) for c in counts])[:-1]):
+            head = ids.cut(own)
+            replies.append(len(head).to_bytes(8, "little") + head + pack(count[own].astype(np.uint64).tobytes()))
         used = np.flatnonzero(subwords)
         return replies, (int(count.sum()), int((count > 0).sum())), pack(np.concatenate([used.astype(np.int64), subwords[used], firsts[used]]).tobytes())
 

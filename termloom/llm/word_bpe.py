@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -71,10 +72,17 @@ class IdTable:
     def __init__(self, library: Library, words: list[str], shown: list[str] | None = None) -> None:
         self.flat, self.ends = library.encode(shown or words)
         self.lengths = np.diff(self.ends, prepend=0)
-        self.number = {w: k for k, w in enumerate(words)}
+        self.words = words
+
+    @functools.cached_property
+    def number(self) -> dict[str, int]:
+        return {w: k for k, w in enumerate(self.words)}
 
     def reply(self, words: list[str]) -> bytes:
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return self.cut(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+
+    def cut(self, which: np.ndarray) -> bytes:
+        """The ids of the words with these numbers."""
         lengths = self.lengths[which]
         at = np.repeat(self.ends[which] - np.cumsum(lengths), lengths) + np.arange(int(lengths.sum()))
         return code_ids(self.flat[at], lengths)

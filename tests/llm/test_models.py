@@ -120,6 +120,30 @@ def test_chances_of_next_words_sum_to_at_most_one():
     assert (sums <= 1.0001).all() and sums[1:3] == pytest.approx([1, 1], abs=1e-4) and sums[0] > 0.2
 
 
+def test_what_symbols_tell_is_made_once_for_each():
+    model = small_model()
+    told, p, d = model._told(), model.params, model.width
+    assert told.shape == (len(model.symbols.frequency), 4 * d)
+    assert told[:, 2 * d : 3 * d] == pytest.approx(p["embed"] @ p["qkv"][:, 2 * d :] @ p["mix"], abs=1e-5)
+    inputs = drawn(model, 5)
+    f = model._inside(inputs, np.array([True, False, True, False, False]), told)
+    assert (f["v"][:, BLOCK:] == told[inputs][..., 2 * d : 3 * d]).all()
+    assert f["y"].shape == (inputs.size, d + 1) and (f["y"][:, d] == 1).all()
+
+
+def test_words_of_a_chunk_in_several_pieces():
+    odd = ["", " ", "\t\n\v\f\r ", "a b", " A  Ab\xa0c \x1c\x1d\x85 d\u2003e ", "\u0130 É ABC\x00 x", "Z" * 50, "\ufeff b\rb", "a\n\nb ", "жИзнь"]
+    batch = pa.table({"doc_id": pa.array([*range(9), None], pa.int64()), "text": odd}).to_batches()[0]
+    rows = pa.Table.from_batches([batch.slice(3, 4), batch.slice(0, 2), batch.slice(2, 0), batch.slice(7), batch.slice(2, 1)])
+    chunk = lm_scoring.Numbered(lm_scoring.numbered(rows), 3)
+    words = chunk.words.as_py().split(b"\n")
+    want = [t.encode().lower().split() for t in rows.column("text").to_pylist()]
+    assert chunk.ids == rows.column("doc_id").to_pylist() and chunk.sizes.tolist() == [len(w) for w in want]
+    assert [words[k] for k in chunk.numbers] == [w for row in want for w in row] and len(set(words)) == len(words)
+    assert sorted(w.encode() for _, own, _ in chunk.lists() for w in own) == sorted(words)
+    assert not list(lm_scoring.Numbered(lm_scoring.numbered(pa.table({"doc_id": [1], "text": [" "]})), 3).lists())
+
+
 def test_every_training_row_teaches_the_whole_model_and_fits_the_weights():
     counts = {"ab": 5, "abc": 2, "b": 7}
     chunk, model, firsts = chunk_of(["ab b abc " * 30, "b", "", "ab abc cab"] * 5, counts)
