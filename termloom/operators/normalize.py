@@ -35,7 +35,12 @@ def normalize(texts: DataFrame, lines: DataFrame, pack: Pack, decisions: DataFra
 
     Matching runs once; every view reads the table of annotations that it leaves.
     """
-    found = resolve_overlaps(find_annotations(texts, pack, lines))
+    return run_of(resolve_overlaps(find_annotations(texts, pack, lines)), texts, lines, decisions, answers, force)
+
+
+def run_of(found: DataFrame, texts: DataFrame, lines: DataFrame, decisions: DataFrame | None = None, answers: DataFrame | None = None, force: bool = False) -> Run:
+    """The run of annotations that were found before, with overlaps resolved: :func:`normalize` without its matching, for
+    decisions on what these annotations ask."""
     if decisions is not None:
         found = apply_local(found, decisions)
     found = settled(found, "found")
